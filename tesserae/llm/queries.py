@@ -66,6 +66,29 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/')
 """
 
 
+def op5_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.llm.lm import lm_score, remainder
+
+    held_out = remainder("doc_id", 7) == 2
+    scored = lm_score(table(spark, sf_dir, "documents"), ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.llm.jaccard import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.llm.toxicity import held_out, toxicity, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(~held_out("doc_id")).select("doc_id", "toxic")
+    scored = toxicity(docs, train(docs, labels))
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tesserae.llm.mixing import mix
 
@@ -110,7 +133,7 @@ SELECT page_id, host, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_droppe
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_quality_rules, op3_byte_bpe, op4_url_reputation, op9_mixing, op10_line_dedup)
+    found = (op1_quality_rules, op3_byte_bpe, op4_url_reputation, op5_hidden_markov, op6_ngram_jaccard, op7_toxicity, op9_mixing, op10_line_dedup)
     return {f.__name__: f for f in found}
 
 
