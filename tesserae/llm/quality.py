@@ -21,7 +21,7 @@ from tesserae.llm.common import SPACE, words
 #: Buckets of the hashed n-grams: this bounds the tables of counts, whatever the corpus.
 BUCKETS = 10_000
 #: Mean log ratio a document must reach.
-THRESHOLD = -0.25
+THRESHOLD = -0.03
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 
 
