@@ -89,6 +89,12 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
 
 
+def op8_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.llm.embedding import near_dedup
+
+    return near_dedup(table(spark, sf_dir, "embeddings"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tesserae.llm.mixing import mix
 
@@ -133,7 +139,7 @@ SELECT page_id, host, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_droppe
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_quality_rules, op3_byte_bpe, op4_url_reputation, op5_hidden_markov, op6_ngram_jaccard, op7_toxicity, op9_mixing, op10_line_dedup)
+    found = (op1_quality_rules, op3_byte_bpe, op4_url_reputation, op5_hidden_markov, op6_ngram_jaccard, op7_toxicity, op8_nn_descent, op9_mixing, op10_line_dedup)
     return {f.__name__: f for f in found}
 
 
