@@ -7,11 +7,12 @@ which common beginnings are one path; all sets go down the tree together, an ove
 below it, and a subtree is left as soon as the lengths that remain can't reach the threshold. Links are exact: similarities
 are compared as integers.
 
-Equal sets become one node first. Groups of candidates that are small are joined at once, each list of members once however
-many n-grams name it. Members of large groups are put into families, the components by common n-grams. In a family every
-set is compared with a few hubs; what the hubs don't unite is joined in blocks, two blocks in a tree, so no task holds a
-family, and pairs that are in one component already are left out. No pairs are listed but links, and of these only such as
-unite two components of a task.
+Equal sets become one node first. Members of a small group are held against each other by their prefixes alone, in a tree of
+prefixes: what two prefixes share, and what lies behind them at most, leaves few pairs. These pairs, and the n-grams of large
+groups, make families, the components of candidates. Only sets in families are made in full. A family that fits a block is
+joined in one tree. In a larger one every set is compared with a few hubs; what the hubs don't unite is joined in blocks, two
+blocks in a tree, so no task holds a family, and pairs that are in one component already are left out. In full joins no
+pairs are listed but links, and of these only such as unite two components of a task.
 
 Defined cases: a null or empty text has an empty set and links with nothing; a text of fewer words than n has one n-gram, all
 of it; repeated rows, and rows of the same id, are documents of their own and share their set's component; a component
@@ -37,7 +38,7 @@ from tesserae.llm.graph import components
 ship(__name__)
 
 WORDS, PERCENT = 4, 85
-#: Members of a group that is joined at once; hubs of a family; members of a block; n-grams that are put last, at most.
+#: Members of a group that is joined by prefixes; hubs of a family; members of a block; n-grams that are put last, at most.
 SMALL, HUBS, BLOCK, FREQUENT = 64, 4, 512, 1 << 20
 #: Words whose hash a worker remembers; n-grams that it counts before it hands them on.
 CACHE, HELD = 200_000, 6_000_000
@@ -132,13 +133,13 @@ def described(frequent: np.ndarray, rank: np.ndarray, n: int, percent: int):
             ids = np.arange(rid, rid + len(sets))
             rid += len(sets)
             marks = np.array([divmod(xxhash.xxh3_128_intdigest(s.tobytes()), 1 << 64) for s in sets], np.uint64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids), pa.array([len(s) for s in sets], pa.int64()), signed(marks[:, 0]), signed(marks[:, 1]), lists([prefix_of(s, frequent, rank, percent) for s in sets])], ["_key", "rid", "n", "h1", "h2", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column("_key"), batch.column("_mark"), pa.array(ids), pa.array([len(s) for s in sets], pa.int64()), signed(marks[:, 0]), signed(marks[:, 1]), lists([prefix_of(s, frequent, rank, percent) for s in sets])], ["_key", "_mark", "rid", "n", "h1", "h2", "prefix"])
 
     return run
 
 
 def full_sets(n: int):
-    """node and its n-grams, for rows whose text has the node's set; another row may bear the same id."""
+    """family, node and its n-grams, for rows whose text has the node's set; another row may bear the same id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHash()
@@ -146,7 +147,7 @@ def full_sets(n: int):
             sets = [ngrams(x, known, n) for x in texts_in(batch, "_text")]
             h1, h2 = (batch.column(c).to_pylist() for c in ("h1", "h2"))
             same = [i for i, s in enumerate(sets) if divmod(xxhash.xxh3_128_intdigest(s.tobytes()), 1 << 64) == (h1[i] % (1 << 64), h2[i] % (1 << 64))]
-            yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(same, pa.int64())), lists([sets[i] for i in same])], ["node", "grams"])
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(same, pa.int64())) for c in ("family", "node")] + [lists([sets[i] for i in same])], ["family", "node", "grams"])
 
     return run
 
@@ -167,19 +168,47 @@ class Union(dict):
         return a != b
 
 
-def tree_join(nodes: list[int], labels: list[int], sets: list[np.ndarray], percent: int, block: list[int] | None = None) -> list[tuple[int, int]]:
-    """Links that unite the members' components. With block (of each member), only pairs of different blocks are compared.
+def upper(n: np.ndarray, d: int) -> np.ndarray:
+    return -(-n // d)
+
+
+class Exact:
+    """What two sets must share: 100 * both >= percent * (a + b - both)."""
+
+    def __init__(self, percent: int):
+        self.percent = percent
+
+    def least(self, own: np.ndarray, low: int, high: int) -> np.ndarray:
+        """What a set must share at least with one of a size from low to high."""
+        return upper(self.percent * (own + low), 100 + self.percent)
+
+    def pairs(self, own: np.ndarray, other: int) -> np.ndarray:
+        return self.least(own, other, other)
+
+
+class OfPrefixes(Exact):
+    """What two prefixes must share. All that sets share and prefixes don't lies behind one of the prefixes."""
+
+    def least(self, own: np.ndarray, low: int, high: int) -> np.ndarray:
+        behind = np.maximum(upper(self.percent * own, 100), -(-self.percent * high // 100)) - 1
+        return upper(self.percent * (own + low), 100 + self.percent) - behind
+
+
+def tree_join(nodes: list[int], labels: list[int], sets: list[np.ndarray], sizes: np.ndarray, rule: Exact, block: list[int] | None = None) -> list[tuple[int, int]]:
+    """Links that unite the members' components by the rule; by prefixes, all pairs. sizes: of the whole sets. With block (of
+    each member), only pairs of different blocks are compared.
 
     The members' n-grams, the most common first, are stored in a tree whose edges are runs of n-grams. Going down, a run is
     held against all members still in play at once.
     """
-    union, out, sizes = Union(), [], np.array([len(s) for s in sets])
+    union, out, lengths = Union(), [], np.array([len(s) for s in sets])
+    every = isinstance(rule, OfPrefixes)
     flat, inverse, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     place = np.empty(len(flat), np.int64)
     place[np.lexsort((flat, -times))] = np.arange(len(flat))
     shared = int((times > 1).sum())  # n-grams behind these are in one set only and overlap with nothing
-    ends = np.cumsum(sizes)
-    ordered = [np.sort(place[inverse[e - s : e]]) for s, e in zip(sizes, ends)]
+    ends = np.cumsum(lengths)
+    ordered = [np.sort(place[inverse[e - s : e]]) for s, e in zip(lengths, ends)]
     ordered = [x[: np.searchsorted(x, shared)] for x in ordered]
     has = np.zeros((len(sets), shared), bool)
     for i, x in enumerate(ordered):
@@ -198,19 +227,20 @@ def tree_join(nodes: list[int], labels: list[int], sets: list[np.ndarray], perce
         overlap = overlap + has[np.ix_(alive, first[depth:end])].sum(1)
         # The most that any set below can still share with each member in play.
         remain = max(len(ordered[i]) for i in below.tolist()) - end
-        best = np.minimum(overlap + remain, sizes[alive])
-        keep = 100 * best >= percent * (sizes[alive] + sizes[below].min() - best)
+        keep = np.minimum(overlap + remain, lengths[alive]) >= rule.least(sizes[alive], int(sizes[below].min()), int(sizes[below].max()))
         alive, overlap = alive[keep], overlap[keep]
         if not len(alive):
             continue
         at = lo
         while at < hi and len(ordered[order[at]]) == end:
             leaf = order[at]
-            ok = (100 * overlap >= percent * (sizes[alive] + sizes[leaf] - overlap)) & (alive != leaf)
+            ok = (overlap >= rule.pairs(sizes[alive], int(sizes[leaf]))) & (alive != leaf)
+            if every:  # once for a pair, and only if one could be most of the other
+                ok &= alive > leaf
             if group is not None:
                 ok &= group[alive] != group[leaf]
             for i in alive[ok].tolist():
-                if union.join(labels[i], labels[leaf]):
+                if every or union.join(labels[i], labels[leaf]):
                     out.append((nodes[i], nodes[leaf]))
             at += 1
         while at < hi:
@@ -221,29 +251,30 @@ def tree_join(nodes: list[int], labels: list[int], sets: list[np.ndarray], perce
     return out
 
 
-def by_group(names: list[str], percent: int, blocks: bool):
+def by_group(names: list[str], rule: Exact, label: str = "node", block: str | None = None, size: str | None = None):
     """The tree join of each group of rows; rows come sorted by the group's columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held, out = None, [], []
 
         def join() -> None:
-            nodes, labels, block, sets = zip(*held)
+            nodes, labels, blocks, sizes, sets = zip(*held)
             if len(set(labels)) > 1:
-                out.extend(tree_join(list(nodes), list(labels), list(sets), percent, list(block) if len(set(block)) > 1 else None))
+                out.extend(tree_join(list(nodes), list(labels), list(sets), np.array(sizes), rule, list(blocks) if len(set(blocks)) > 1 else None))
 
         for batch in batches:
             keys = list(zip(*(batch.column(c).to_pylist() for c in names)))
-            nodes, labels = batch.column("node").to_pylist(), batch.column("label").to_pylist()
-            block = batch.column("block").to_pylist() if blocks else [0] * len(keys)
+            nodes, labels = batch.column("node").to_pylist(), batch.column(label).to_pylist()
+            blocks = batch.column(block).to_pylist() if block else [0] * len(keys)
             grams = batch.column("grams")
             ends, values = grams.offsets.to_numpy(), grams.values.to_numpy().view(np.uint64)
+            sizes = batch.column(size).to_pylist() if size else np.diff(ends).tolist()
             for i, k in enumerate(keys):
                 if k != key and held:
                     join()
                     held = []
                 key = k
-                held.append((nodes[i], labels[i], block[i], values[ends[i] : ends[i + 1]].copy()))
+                held.append((nodes[i], labels[i], blocks[i], sizes[i], values[ends[i] : ends[i + 1]].copy()))
             if len(out) > 10_000:
                 yield pairs(out)
                 out = []
@@ -275,7 +306,7 @@ def against_hubs(percent: int):
 
 
 def jaccard_links(rows: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """rows: _key, _text. The described rows with their node, and links that unite all components of nodes."""
+    """rows: _key, _text, _mark. The described rows with their node, and links that unite all components of nodes."""
     kind = rows.schema["_key"].dataType.simpleString()
     counted = rows.select("_text").mapInArrow(repeated(n), "gram long, c long").groupBy("gram").agg(F.sum("c").alias("c")).where(F.col("c") > SMALL)
     top = counted.orderBy(F.desc("c"), "gram").limit(FREQUENT).toArrow()
@@ -283,35 +314,37 @@ def jaccard_links(rows: DataFrame, n: int, percent: int) -> tuple[DataFrame, Dat
     rank = np.empty(len(grams), np.int64)
     rank[np.lexsort((grams, times))] = np.arange(len(grams))
     by_gram = np.argsort(grams)
-    sets = staged(rows.mapInArrow(described(grams[by_gram], rank[by_gram], n, percent), f"_key {kind}, {SETS}"), "sets")
+    sets = staged(rows.mapInArrow(described(grams[by_gram], rank[by_gram], n, percent), f"_key {kind}, _mark long, {SETS}"), "sets")
 
     nodes = sets.where("n > 0").groupBy("h1", "h2").agg(F.min("rid").alias("node"))
-    owned = staged(sets.select("_key", "rid", "n", "h1", "h2").join(nodes, ["h1", "h2"], "left"), "nodes")
+    owned = staged(sets.drop("prefix").join(nodes, ["h1", "h2"], "left"), "nodes")
     first = owned.where("rid = node").select("_key", "node", "h1", "h2")
     postings = sets.join(first.select(F.col("node").alias("rid")), "rid").select(F.col("rid").alias("node"), F.explode("prefix").alias("gram"))
     shared = staged(postings.withColumn("m", F.count("*").over(W.partitionBy("gram"))).where("m > 1"), "shared")
-    wanted = first.join(shared.select("node").distinct(), "node")
-    wanted = wanted.select(F.col("_key").alias("_id"), "node", "h1", "h2")
-    full = rows.join(wanted, rows["_key"].eqNullSafe(wanted["_id"])).select("_text", "node", "h1", "h2")
-    full = staged(full.mapInArrow(full_sets(n), "node long, grams array<long>").dropDuplicates(["node"]), "full-sets")
-
-    # Small groups: each list of members once.
+    # Small groups: each list of members once, by prefixes.
     members = shared.where(F.col("m") <= SMALL).groupBy("gram").agg(F.sort_array(F.collect_list("node")).alias("members"))
     members = members.select("members").distinct().select(F.xxhash64("members").alias("g1"), F.hash("members").alias("g2"), F.explode("members").alias("node"))
-    joined = members.join(full, "node").select("g1", "g2", "node", F.col("node").alias("label"), "grams")
-    small = joined.repartition("g1", "g2").sortWithinPartitions("g1", "g2", "node").mapInArrow(by_group(["g1", "g2"], percent, False), "a long, b long")
-    links = staged(small, "links")
-
-    large = shared.where(F.col("m") > SMALL)
-    if large.limit(1).count():
-        # A family is known by its least node. An n-gram leads from each of its nodes to the least of them.
-        leads = large.withColumn("least", F.min("node").over(W.partitionBy("gram"))).select("node", "least").distinct()
-        alone = leads.select("node").distinct()
-        family = alone.join(components(leads, "node", "least"), "node", "left").select("node", F.coalesce("label", "node").alias("family"))
-        family = staged(family, "families")
+    joined = members.join(sets.select(F.col("rid").alias("node"), "n", F.col("prefix").alias("grams")), "node")
+    near = joined.repartition("g1", "g2").sortWithinPartitions("g1", "g2", "node").mapInArrow(by_group(["g1", "g2"], OfPrefixes(percent), size="n"), "a long, b long")
+    # Large groups: an n-gram leads from each of its nodes to the least of them.
+    leads = shared.where(F.col("m") > SMALL).select("node", F.min("node").over(W.partitionBy("gram")).alias("least")).where("node <> least")
+    family = components(near.union(leads).distinct()).select("node", F.col("label").alias("family"))
+    counted = family.groupBy("family").agg(F.count("*").alias("members"))
+    family = staged(family.join(counted, "family"), "families")
+
+    wanted = first.join(family.select("node", "family"), "node").select(F.col("_key").alias("_id"), "node", "family", "h1", "h2")
+    full = rows.join(wanted, rows["_key"].eqNullSafe(wanted["_id"])).select("_text", "node", "family", "h1", "h2")
+    full = staged(full.mapInArrow(full_sets(n), "family long, node long, grams array<long>"), "full-sets")
+    exact, pair = Exact(percent), "a long, b long"
+    fits = full.join(counted.where(F.col("members") <= BLOCK), "family", "left_semi")
+    links = fits.repartition("family").sortWithinPartitions("family", "node").mapInArrow(by_group(["family"], exact), pair)
+    links = staged(links, "links")
+
+    family = family.where(F.col("members") > BLOCK).select("family", "node")
+    if family.limit(1).count():
         hub = family.withColumn("r", F.row_number().over(W.partitionBy("family").orderBy(F.xxhash64("node"), "node"))).where(F.col("r") <= HUBS)
-        hubs = hub.join(full, "node").groupBy("family").agg(F.collect_list(F.struct("node", "grams")).alias("hubs"))
-        star = family.join(full, "node").join(hubs, "family").select("node", "grams", "hubs").mapInArrow(against_hubs(percent), "a long, b long")
+        hubs = hub.select("node").join(full, "node").groupBy("family").agg(F.collect_list(F.struct("node", "grams")).alias("hubs"))
+        star = full.join(hubs, "family").select("node", "grams", "hubs").mapInArrow(against_hubs(percent), pair)
         links = staged(links.union(star), "links")
         so_far = components(links)
         labelled = family.join(so_far, "node", "left").select("family", "node", F.coalesce("label", "node").alias("label"))
@@ -319,23 +352,31 @@ def jaccard_links(rows: DataFrame, n: int, percent: int) -> tuple[DataFrame, Dat
         sizes = labelled.groupBy("family", "label").agg(F.count("*").alias("c"))
         main = sizes.groupBy("family").agg(F.max(F.struct("c", "label"))["label"].alias("main"), F.count("*").alias("parts"), F.sum("c").alias("all"), (F.sum("c") - F.max("c")).alias("rest"))
         rest = labelled.join(main.where("parts > 1"), "family").withColumn("outer", F.col("label") != F.col("main"))
-        many = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
-        rest = rest.withColumns({"outer_blocks": many("rest"), "inner_blocks": F.ceil((F.col("all") - F.col("rest")) / BLOCK).cast("int")})
+        rest = rest.withColumns({"outer_blocks": F.ceil(F.col("rest") / BLOCK).cast("int"), "inner_blocks": F.ceil((F.col("all") - F.col("rest")) / BLOCK).cast("int")})
         rest = staged(rest.withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col("outer"), F.col("outer_blocks")).otherwise(F.col("inner_blocks"))).cast("int")).select("family", "node", "label", "outer", "own", "outer_blocks", "inner_blocks"), "rest")
         # Outer blocks are numbered from 0, inner ones behind them. An outer block meets every other; inner ones don't meet.
         others = F.when(F.col("outer"), F.sequence(F.lit(0), F.col("outer_blocks") + F.col("inner_blocks") - 1)).otherwise(F.sequence(F.lit(0), F.col("outer_blocks") - 1))
         block = F.when(F.col("outer"), F.col("own")).otherwise(F.col("own") + F.col("outer_blocks"))
         dealt = rest.withColumn("block", block).withColumn("other", F.explode(others))
         dealt = dealt.select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "label")
-        dealt = dealt.join(full, "node").repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "node")
-        links = staged(links.union(dealt.mapInArrow(by_group(["family", "i", "j"], percent, True), "a long, b long")), "links")
+        dealt = dealt.join(full.select("node", "grams"), "node").repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "node")
+        links = staged(links.union(dealt.mapInArrow(by_group(["family", "i", "j"], exact, "label", "block"), pair)), "links")
     return owned, links
 
 
-def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """key, n_shingles and component_id of every row; linked: 100 * intersection >= percent * union."""
-    owned, links = jaccard_links(docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")), n, percent)
+def jaccard_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """key, mark (the text's hash), n_shingles, component_id and head of every row; head: the one row that stands for its
+    component, by the least id. Linked: 100 * intersection >= percent * union."""
+    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.xxhash64(text).alias("_mark"))
+    owned, links = jaccard_links(rows, n, percent)
     labelled = owned.join(components(links), "node", "left").withColumn("class", F.coalesce("label", "node"))
-    least = labelled.where("n > 0").groupBy(F.col("class").alias("c")).agg(F.min("_key").alias("least"))
+    least = labelled.where("class IS NOT NULL").groupBy(F.col("class").alias("c")).agg(F.min(F.struct(F.col("_key").isNull().alias("x"), "_key", "rid")).alias("l"))
     out = labelled.join(least, labelled["class"] == least["c"], "left")
-    return out.select(F.col("_key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("least", "_key").alias("component_id"))
+    component = F.when(F.col("class").isNull(), F.col("_key")).otherwise(F.col("l._key"))
+    head = F.col("class").isNull() | (F.col("rid") == F.col("l.rid"))
+    return out.select(F.col("_key").alias(key), F.col("_mark").alias("mark"), F.col("n").alias("n_shingles"), component.alias("component_id"), head.alias("head"))
+
+
+def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """key, n_shingles and component_id of every row."""
+    return jaccard_groups(docs, text, key, n, percent).select(key, "n_shingles", "component_id")
