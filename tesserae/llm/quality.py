@@ -8,7 +8,7 @@ reaches the threshold. Scores come from exact integer counts, summed in the orde
 Defined cases: a null or empty text has no words, score 0, and fails the plain rules; without trusted rows both
 multinomials are alike, all scores are 0 and only the plain rules decide; a label with null id or null quality trusts
 nothing; a document that has several labels is trusted if any is 1; documents with a null id are never trusted; repeated
-rows are counted and judged one by one; columns other than id and text are left alone.
+rows are counted and judged one by one; other columns are left alone, but those of a result's name are replaced.
 """
 
 from __future__ import annotations
@@ -58,7 +58,8 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, text: str = "text", key: str
     import math
 
     ids = trusted.select(F.col(trusted.columns[0]).alias("_id")).where("_id IS NOT NULL").distinct().withColumn("_t", F.lit(1))
-    marked = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text")).join(ids, "_id", "left")
+    # Both sides grow with the corpus, so neither is broadcast even where it would still be small enough.
+    marked = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text")).join(ids.hint("merge"), "_id", "left")
     grams = marked.select("_t", words(F.col("_text")).alias("_w")).select("_t", F.explode(buckets(F.col("_w"), n)).alias("b"))
     rows = grams.groupBy("b").agg(F.count("*").alias("raw"), F.count("_t").alias("target")).collect()  # n rows at most
     raw, target = {r.b: r.raw for r in rows}, {r.b: r.target for r in rows}
