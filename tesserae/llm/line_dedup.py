@@ -1,7 +1,7 @@
 """Line dedup by the frequency of lines within a site.
 
 For each host and line, the pages of the host that hold the line are divided by all pages of the host; lines whose share is
-above the ratio are boilerplate, and are dropped from every page of that host. Lines are compared without the white space at
+above the limit are boilerplate, and are dropped from every page of that host. Lines are compared without the white space at
 their ends, and by 128 bits of hash, so that no line's text is shuffled.
 
 Defined cases: a null text stays null and has no lines; lines without a word are neither counted nor dropped; a host with
@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from tesserae.llm.common import SPACE, staged
 
-RATIO, MIN_PAGES = 0.1, 10
+#: A line on more than so many percent of a host's pages is boilerplate, if the host has so many pages at least.
+PERCENT, MIN_PAGES = 30, 10
 
 
 def mark(line: Column) -> Column:
@@ -26,23 +27,23 @@ def mark(line: Column) -> Column:
     return F.when(core != "", F.struct(F.xxhash64(core).alias("a"), F.xxhash64(F.lit("line"), core).alias("b")))
 
 
-def boilerplate(pages: DataFrame, host: Column, lines: Column, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """host, marks: the marks of each host's lines above the ratio. Fewer than lines per page divided by ratio for a host."""
+def boilerplate(pages: DataFrame, host: Column, lines: Column, percent: int = PERCENT, min_pages: int = MIN_PAGES) -> DataFrame:
+    """host, marks: the marks of each host's lines above the limit. Fewer than lines per page over the share for a host."""
     found = pages.select(host.alias("host"), lines.alias("_lines"))
     totals = found.groupBy("host").agg(F.count("*").alias("_pages")).where(F.col("_pages") >= min_pages)
     own = F.array_distinct(F.filter(F.transform("_lines", mark), lambda x: x.isNotNull()))
     counted = found.select("host", F.explode(own).alias("m")).groupBy("host", "m").agg(F.count("*").alias("_n")).where("_n > 1")
-    common = counted.join(totals, counted["host"].eqNullSafe(totals["host"])).drop(totals["host"]).where(F.col("_n") > ratio * F.col("_pages"))
+    common = counted.join(totals, counted["host"].eqNullSafe(totals["host"])).drop(totals["host"]).where(100 * F.col("_n") > percent * F.col("_pages"))
     return common.groupBy("host").agg(F.sort_array(F.collect_list("m")).alias("marks"))
 
 
-def line_dedup(pages: DataFrame, host: Column, text: str = "text", break_at: str = "\n", glue: str = "\n", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def line_dedup(pages: DataFrame, host: Column, text: str = "text", break_at: str = "\n", glue: str = "\n", percent: int = PERCENT, min_pages: int = MIN_PAGES) -> DataFrame:
     """pages with the boilerplate lines out of text, and n_lines, n_dropped.
 
     break_at: the pattern at which a text is cut into lines; glue: what they are put together with again.
     """
     lines = F.split(F.col(text), break_at)
-    known = staged(boilerplate(pages, host, lines, ratio, min_pages), "boilerplate")
+    known = staged(boilerplate(pages, host, lines, percent, min_pages), "boilerplate")
     known = known.select(F.col("host").alias("_host"), F.col("marks").alias("_marks"))
     out = pages.withColumn("_own_host", host)
     # The table of boilerplate is written, so its true size decides: a small one is broadcast, for a large one both sides
