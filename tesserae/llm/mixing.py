@@ -19,7 +19,7 @@ from tesserae.llm.common import staged, unstage
 
 WEIGHTS, MAX_EPOCHS = (5, 2, 1), 3
 #: Rows that a key range should hold.
-RANGE_ROWS = 20_000
+RANGE_ROWS = 2_000
 
 
 def n_words(text: Column) -> Column:
