@@ -18,6 +18,12 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(docs, trusted).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.llm.licenses import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -131,7 +137,7 @@ l AS (SELECT rid, host, unnest(lines) AS line, generate_subscripts(lines, 1) AS
 m AS (SELECT *, regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS core FROM l),
 c AS (SELECT host, core, count(DISTINCT rid) AS n FROM m WHERE core <> '' GROUP BY 1, 2),
 t AS (SELECT host, count(*) AS pages FROM p GROUP BY 1),
-b AS (SELECT host, core FROM c JOIN t USING (host) WHERE pages >= 10 AND n > 1 AND n > 0.1 * pages),
+b AS (SELECT host, core FROM c JOIN t USING (host) WHERE pages >= 10 AND n > 1 AND 100 * n > 30 * pages),
 k AS (SELECT m.rid, count(*) AS n_lines, count(b.core) AS n_dropped, string_agg(line, chr(10) ORDER BY i) FILTER (WHERE b.core IS NULL) AS kept FROM m LEFT JOIN b USING (host, core) GROUP BY 1)
 SELECT page_id, host, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_dropped, 0)::BIGINT AS n_dropped,
   CASE WHEN html IS NULL THEN NULL WHEN n_dropped = 0 THEN html ELSE coalesce(kept, '') END AS text FROM p LEFT JOIN k USING (rid)
@@ -139,7 +145,7 @@ SELECT page_id, host, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_droppe
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_quality_rules, op3_byte_bpe, op4_url_reputation, op5_hidden_markov, op6_ngram_jaccard, op7_toxicity, op8_nn_descent, op9_mixing, op10_line_dedup)
+    found = (op1_quality_rules, op2_license_scan, op3_byte_bpe, op4_url_reputation, op5_hidden_markov, op6_ngram_jaccard, op7_toxicity, op8_nn_descent, op9_mixing, op10_line_dedup)
     return {f.__name__: f for f in found}
 
 
