@@ -190,8 +190,10 @@ class OfPrefixes(Exact):
     """What two prefixes must share. All that sets share and prefixes don't lies behind one of the prefixes."""
 
     def least(self, own: np.ndarray, low: int, high: int) -> np.ndarray:
-        behind = np.maximum(upper(self.percent * own, 100), -(-self.percent * high // 100)) - 1
-        return upper(self.percent * (own + low), 100 + self.percent) - behind
+        # Sizes that are too far from a set's own can't be its partners', so they don't count.
+        low, high = np.maximum(upper(self.percent * own, 100), low), np.minimum(100 * own // self.percent, high)
+        behind = upper(self.percent * np.maximum(own, high), 100) - 1
+        return np.where(low <= high, upper(self.percent * (own + low), 100 + self.percent) - behind, 1 << 60)
 
 
 def tree_join(nodes: list[int], labels: list[int], sets: list[np.ndarray], sizes: np.ndarray, rule: Exact, block: list[int] | None = None) -> list[tuple[int, int]]:
