@@ -60,7 +60,7 @@ def strength() -> Column:
     """Aggregate: the prior's strength by the children's n, k and their parent's rate mu."""
     chance = F.col("mu") * (1 - F.col("mu"))
     over = F.sum((F.col("k") - F.col("n") * F.col("mu")) ** 2 - F.col("n") * chance)
-    rho = over / F.sum(F.col("n") * (F.col("n") - 1) * chance)
+    rho = F.try_divide(over, F.sum(F.col("n") * (F.col("n") - 1) * chance))
     return F.coalesce(F.when(rho > 0, F.least(F.greatest(1 / rho - 1, F.lit(WEAKEST)), F.lit(STRONGEST))), F.lit(STRONGEST))
 
 
