@@ -19,15 +19,16 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import ship
+from tesserae.llm.common import ship, staged
 
 ship(__name__)
 
-#: Characters of a chunk that are its own, characters by which it reaches into the next, and characters of a text from
-#: which its chunks are dealt out to several tasks.
-CHUNK, OVERLAP, LONG = 1 << 16, 1 << 10, 1 << 22
+#: Characters of a chunk that are its own, and by which it reaches into the next; characters of a chunk that is dealt out,
+#: and of a text from which its chunks are.
+CHUNK, OVERLAP, PART, LONG = 1 << 16, 1 << 10, 1 << 20, 1 << 22
 #: Distinct pieces whose ids a worker remembers.
 CACHE = 200_000
 
@@ -45,7 +46,7 @@ def boundaries(pattern: regex.Pattern, text: str, start: int, end: int) -> list[
 
 def stitched(pattern: regex.Pattern, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> Iterator[list[str]]:
     """The pre-tokens of text, a list for each stretch between two stitches."""
-    size, sure, k = len(text), 0, 0
+    size, k = len(text), 0
     if size <= chunk + overlap:
         yield pattern.findall(text)
         return
@@ -66,7 +67,7 @@ def stitched(pattern: regex.Pattern, text: str, chunk: int = CHUNK, overlap: int
             meet = limit if limit > mine[0] else mine[0]
             following = boundaries(pattern, text, meet, end)
         yield cut(text, [p for p in mine if p <= meet])
-        mine, sure, k = [p for p in following if p >= meet], meet, k + 1
+        mine, k = [p for p in following if p >= meet], k + 1
 
 
 def cut(text: str, at: list[int]) -> list[str]:
@@ -134,16 +135,98 @@ def digests(path: str, pattern: str, with_ids: bool) -> Callable[[Iterator[pa.Re
     return run
 
 
+def near_ends(pattern: str, chunk: int, overlap: int):
+    """Of each chunk, the boundaries in its first characters that overlap, and in its last; places in the whole text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compiled = regex.compile(pattern)
+        for batch in batches:
+            heads, tails = [], []
+            for k, text in zip(batch.column("k").to_pylist(), batch.column("part").to_pylist()):
+                found = boundaries(compiled, text, 0, len(text))
+                sure = found[-2] if len(found) > 1 else -1  # the last pre-token could go on behind the chunk
+                heads.append([k * chunk + p for p in found if p <= overlap])
+                tails.append([k * chunk + p for p in found if chunk <= p <= sure])
+            yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("k"), pa.array(heads, pa.list_(pa.int64())), pa.array(tails, pa.list_(pa.int64()))], ["rid", "k", "heads", "tails"])
+
+    return run
+
+
+def encoded_parts(path: str, pattern: str, chunk: int):
+    """The ids of each chunk's own stretch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = Codec(read_ranks(path), pattern)
+        for batch in batches:
+            ids = []
+            for k, text, lo, hi in zip(*(batch.column(c).to_pylist() for c in ("k", "part", "lo", "hi"))):
+                # Boundaries are the stretch's own: the pattern looks ahead, so the text goes on behind it.
+                at = boundaries(codec.pattern, text, lo - k * chunk, len(text))
+                ids.append(codec.encode(cut(text, [p for p in at if p <= hi - k * chunk])))
+            yield pa.RecordBatch.from_arrays([batch.column("_key"), batch.column("rid"), batch.column("k"), pa.array(ids, pa.binary())], ["_key", "rid", "k", "ids"])
+
+    return run
+
+
+def put_together(path: str, pattern: str, with_ids: bool):
+    """A row for each text from its parts, which come in order; hashes are fed part by part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec, rid, state = Codec(read_ranks(path), pattern), None, None
+
+        def row() -> pa.RecordBatch:
+            key, n, a, b, kept = state
+            made = [key, pa.array([n], pa.int64()), pa.array([a.hexdigest()]), pa.array([b.hexdigest()])]
+            names = ["_key", "n_tokens", "ids_sha256", "decoded_sha256"]
+            return pa.RecordBatch.from_arrays(made + [pa.array([b"".join(kept)], pa.binary())] * with_ids, names + ["ids"] * with_ids)
+
+        for batch in batches:
+            for i, (r, ids) in enumerate(zip(batch.column("rid").to_pylist(), batch.column("ids").to_pylist())):
+                if r != rid:
+                    if state:
+                        yield row()
+                    rid, state = r, [batch.column("_key").slice(i, 1), 0, hashlib.sha256(), hashlib.sha256(), []]
+                state[1] += len(ids) // 4
+                state[2].update(ids)
+                state[3].update(codec.decode(ids))
+                if with_ids:
+                    state[4].append(ids)
+        if state:
+            yield row()
+
+    return run
+
+
 def encode(docs: DataFrame, path: str, pattern: str, text: str | Column = "text", key: str = "doc_id", with_ids: bool = False) -> DataFrame:
     """key, n_tokens, ids_sha256, decoded_sha256 of every row, and with_ids the ids themselves as bytes.
 
-    path: the rank file, which every worker must be able to read. Nothing is shuffled; a text's chunks are stitched where
-    the text is, so a task holds one text and its ids at a time.
+    path: the rank file, which every worker must be able to read. Most texts are encoded where they are, and nothing is
+    shuffled. The chunks of very long texts are dealt out: tasks pre-tokenise them, places where neighbours agree are found,
+    tasks encode the stretches between, and the hashes run over these in order. A text with neighbours that don't agree
+    within the overlap is encoded in one task.
     """
     frame = docs.select(F.col(key).alias("_key"), (F.col(text) if isinstance(text, str) else text).alias("_text"))
     kind = frame.schema["_key"].dataType.simpleString()
     schema = f"_key {kind}, {SCHEMA}" + ", ids binary" * with_ids
-    return frame.mapInArrow(digests(path, pattern, with_ids), schema).withColumnRenamed("_key", key)
+    size = F.coalesce(F.length("_text"), F.lit(0))
+    if (frame.agg(F.max(size)).first()[0] or 0) <= LONG:
+        return frame.mapInArrow(digests(path, pattern, with_ids), schema).withColumnRenamed("_key", key)
+
+    short = frame.where(size <= LONG).mapInArrow(digests(path, pattern, with_ids), schema)
+    long = frame.where(size > LONG).withColumn("rid", F.monotonically_increasing_id())
+    dealt = long.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.length("_text") - 1) / PART))))
+    dealt = staged(dealt.select("_key", "rid", "k", F.expr(f"substring(_text, CAST(k * {PART} + 1 AS INT), {PART + OVERLAP})").alias("part")), "chunks").repartition("rid", "k")
+    ends = staged(dealt.select("rid", "k", "part").mapInArrow(near_ends(pattern, PART, OVERLAP), "rid long, k long, heads array<long>, tails array<long>"), "ends")
+    order = W.partitionBy("rid").orderBy("k")
+    met = ends.withColumns({"hi": F.array_min(F.array_intersect("tails", F.lead("heads").over(order))), "last": F.lead("k").over(order).isNull()})
+    met = met.withColumns({"lo": F.lag("hi").over(order), "apart": F.max(F.col("hi").isNull() & ~F.col("last")).over(W.partitionBy("rid"))})
+    met = met.select("rid", "k", "apart", F.coalesce("lo", F.lit(0)).alias("lo"), F.coalesce("hi", F.lit(1 << 60)).alias("hi"))
+    parts = dealt.join(met.where("NOT apart").drop("apart"), ["rid", "k"]).select("_key", "rid", "k", "part", "lo", "hi")
+    ids = parts.mapInArrow(encoded_parts(path, pattern, PART), f"_key {kind}, rid long, k long, ids binary")
+    whole = ids.repartition("rid").sortWithinPartitions("rid", "k").mapInArrow(put_together(path, pattern, with_ids), schema)
+    apart = dealt.join(met.where("apart").select("rid").distinct(), "rid").groupBy("rid").agg(F.first("_key").alias("_key"), F.sort_array(F.collect_list(F.struct("k", F.expr(f"substring(part, 1, {PART})").alias("p")))).alias("parts"))
+    rest = apart.select("_key", F.array_join(F.transform("parts", lambda x: x["p"]), "").alias("_text")).mapInArrow(digests(path, pattern, with_ids), schema)
+    return short.union(whole).union(rest).withColumnRenamed("_key", key)
 
 
 def decode(frame: DataFrame, path: str, ids: str = "ids", to: str = "text") -> DataFrame:

@@ -134,6 +134,19 @@ def test_bpe(spark, corpus):
     assert collections.Counter(r.text for r in back.collect()) == collections.Counter(t or "" for _, t, _ in rows)
 
 
+def test_bpe_of_dealt_chunks(spark, monkeypatch):
+    path, pattern, bpe = tokenizers()
+    for name, value in (("LONG", 150), ("PART", 60), ("OVERLAP", 20)):
+        monkeypatch.setattr(tokenizer, name, value)
+    draw = random.Random(9)
+    rows = [(i, "".join(draw.choice(["a", "Zz", " ", "  ", "\n", "'s", "1", "!?", "é", "x" * 9]) for _ in range(draw.choice([0, 40, 200, 700]))), "s") for i in range(60)]
+    rows += [(60, "y" * 500, "s"), (61, "z " + " " * 400 + "w", "s"), (0, rows[0][1], "s"), (62, None, "s")]
+    got = tokenizer.encode(docs(spark, rows), path, pattern, with_ids=True).collect()
+    want = [(i, np.array(bpe.encode_ordinary(t or ""), "<u4").tobytes(), hashlib.sha256((t or "").encode()).hexdigest()) for i, t, _ in rows]
+    assert sorted(map(str, want)) == sorted(str((r.doc_id, bytes(r.ids), r.decoded_sha256)) for r in got)
+    assert all(r.ids_sha256 == hashlib.sha256(r.ids).hexdigest() and r.n_tokens == len(r.ids) // 4 for r in got)
+
+
 def test_stitches():
     import regex
 
