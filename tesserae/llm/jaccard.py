@@ -143,7 +143,7 @@ def full_sets(n: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHash()
-        for batch in batches:
+        for batch in (whole.slice(i, 512) for whole in batches for i in range(0, whole.num_rows, 512)):
             sets = [ngrams(x, known, n) for x in texts_in(batch, "_text")]
             h1, h2 = (batch.column(c).to_pylist() for c in ("h1", "h2"))
             same = [i for i, s in enumerate(sets) if divmod(xxhash.xxh3_128_intdigest(s.tobytes()), 1 << 64) == (h1[i] % (1 << 64), h2[i] % (1 << 64))]
@@ -287,6 +287,10 @@ def by_group(names: list[str], rule: Exact, label: str = "node", block: str | No
     return run
 
 
+def chained(first, second):
+    return lambda batches: second(first(batches))
+
+
 def pairs(links: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], ["a", "b"])
 
@@ -321,29 +325,30 @@ def jaccard_links(rows: DataFrame, n: int, percent: int) -> tuple[DataFrame, Dat
     nodes = sets.where("n > 0").groupBy("h1", "h2").agg(F.min("rid").alias("node"))
     owned = staged(sets.drop("prefix").join(nodes, ["h1", "h2"], "left"), "nodes")
     first = owned.where("rid = node").select("_key", "node", "h1", "h2")
-    postings = sets.join(first.select(F.col("node").alias("rid")), "rid").select(F.col("rid").alias("node"), F.explode("prefix").alias("gram"))
+    copies = owned.where("rid <> node").select("rid")
+    postings = sets.join(copies, "rid", "left_anti").select(F.col("rid").alias("node"), "n", F.explode("prefix").alias("gram"))
     shared = staged(postings.withColumn("m", F.count("*").over(W.partitionBy("gram"))).where("m > 1"), "shared")
-    # Small groups: each list of members once, by prefixes.
+    # Small groups: each list of members once, by what of their prefixes is shared with anyone at all.
     members = shared.where(F.col("m") <= SMALL).groupBy("gram").agg(F.sort_array(F.collect_list("node")).alias("members"))
     members = members.select("members").distinct().select(F.xxhash64("members").alias("g1"), F.hash("members").alias("g2"), F.explode("members").alias("node"))
-    joined = members.join(sets.select(F.col("rid").alias("node"), "n", F.col("prefix").alias("grams")), "node")
-    near = joined.repartition("g1", "g2").sortWithinPartitions("g1", "g2", "node").mapInArrow(by_group(["g1", "g2"], OfPrefixes(percent), size="n"), "a long, b long")
+    own = shared.groupBy("node").agg(F.first("n").alias("n"), F.collect_list("gram").alias("grams"))
+    near = members.join(own, "node").repartition("g1", "g2").sortWithinPartitions("g1", "g2", "node").mapInArrow(by_group(["g1", "g2"], OfPrefixes(percent), size="n"), "a long, b long")
     # Large groups: an n-gram leads from each of its nodes to the least of them.
     leads = shared.where(F.col("m") > SMALL).select("node", F.min("node").over(W.partitionBy("gram")).alias("least")).where("node <> least")
     family = components(near.union(leads).distinct()).select("node", F.col("label").alias("family"))
-    counted = family.groupBy("family").agg(F.count("*").alias("members"))
-    family = staged(family.join(counted, "family"), "families")
+    family = staged(family.join(family.groupBy("family").agg(F.count("*").alias("members")), "family"), "families")
 
-    wanted = first.join(family.select("node", "family"), "node").select(F.col("_key").alias("_id"), "node", "family", "h1", "h2")
-    full = rows.join(wanted, rows["_key"].eqNullSafe(wanted["_id"])).select("_text", "node", "family", "h1", "h2")
-    full = staged(full.mapInArrow(full_sets(n), "family long, node long, grams array<long>"), "full-sets")
-    exact, pair = Exact(percent), "a long, b long"
-    fits = full.join(counted.where(F.col("members") <= BLOCK), "family", "left_semi")
-    links = fits.repartition("family").sortWithinPartitions("family", "node").mapInArrow(by_group(["family"], exact), pair)
-    links = staged(links, "links")
+    # The texts of families; both sides grow with the corpus, so neither is broadcast even where it is still small enough.
+    wanted = first.join(family, "node").select(F.col("_key").alias("_id"), "node", "family", "members", "h1", "h2")
+    texts = rows.select("_key", "_text").join(wanted.hint("merge"), rows["_key"].eqNullSafe(wanted["_id"])).drop("_key", "_id")
+    texts = staged(texts, "texts")
+    exact, pair, made = Exact(percent), "a long, b long", full_sets(n)
+    fits = texts.where(F.col("members") <= BLOCK).repartition("family").sortWithinPartitions("family", "node")
+    links = staged(fits.mapInArrow(chained(made, by_group(["family"], exact)), pair), "links")
 
     family = family.where(F.col("members") > BLOCK).select("family", "node")
     if family.limit(1).count():
+        full = staged(texts.where(F.col("members") > BLOCK).mapInArrow(made, "family long, node long, grams array<long>"), "full-sets")
         hub = family.withColumn("r", F.row_number().over(W.partitionBy("family").orderBy(F.xxhash64("node"), "node"))).where(F.col("r") <= HUBS)
         hubs = hub.select("node").join(full, "node").groupBy("family").agg(F.collect_list(F.struct("node", "grams")).alias("hubs"))
         star = full.join(hubs, "family").select("node", "grams", "hubs").mapInArrow(against_hubs(percent), pair)
