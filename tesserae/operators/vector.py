@@ -21,8 +21,12 @@ def top_k(store: DataFrame, query: list[float], k: int = TOP_K, vector: str = "e
 
 
 def top_k_each(store: DataFrame, queries: DataFrame, k: int = TOP_K, vector: str = "embedding", key: str = "vec_id") -> DataFrame:
-    """query_id, key, score, rank of every query's k nearest. queries: query_id, query; a stated set, held against all rows."""
-    pairs = store.select(key, F.col(vector).alias("_v")).join(F.broadcast(queries.select("query_id", "query")))
+    """query_id, key, score, rank of every query's k nearest. queries: query_id, query; a stated set, held against all rows.
+
+    The planner broadcasts a set that is small by its statistics, and else pairs partitions of both sides in blocks; each task
+    keeps its own k of every query.
+    """
+    pairs = store.select(key, F.col(vector).alias("_v")).crossJoin(queries.select("query_id", "query"))
     scored = pairs.select("query_id", key, squared_distance(F.col("_v"), F.col("query")).alias("score"))
     ranked = scored.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("score", key)).cast("long"))
     return ranked.where(F.col("rank") <= k)
