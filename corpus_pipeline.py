@@ -33,6 +33,11 @@ def with_text(docs: DataFrame, text: Column) -> Column:
     return row.withField("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else row
 
 
+def id_key(name: str) -> Column:
+    """An id as text that is never null, so that joins and windows deal rows out by the same columns."""
+    return F.when(F.col(name).isNull(), "null").otherwise(F.concat(F.lit("id "), F.col(name).cast("string")))
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the quality rules keep; trusted are the documents labelled 1."""
     trusted = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").select("doc_id")
@@ -51,9 +56,8 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the least id. Empty texts are groups of one."""
-    heads = jaccard_groups(docs.select("doc_id", "text")).where("head").groupBy("doc_id", "mark").agg(F.count("*").alias("_heads"))
-    rows = packed(docs, F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_mark"))
-    met = rows.join(heads, rows["_id"].eqNullSafe(heads["doc_id"]) & (rows["_mark"] == heads["mark"])).select("_row", "_id", "_mark", "_heads")
+    heads = jaccard_groups(docs.select("doc_id", "text")).where("head").groupBy(id_key("doc_id").alias("_id"), F.col("mark").alias("_mark")).agg(F.count("*").alias("_heads"))
+    met = packed(docs, id_key("doc_id").alias("_id"), F.xxhash64("text").alias("_mark")).join(heads, ["_id", "_mark"])
     # Rows may be alike in id and text: as many stay as are heads.
     order = W.partitionBy("_id", "_mark").orderBy(F.xxhash64("_row"))
     return met.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= F.col("_heads")).select("_row.*")
@@ -64,15 +68,15 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     size = n_words(F.col("text"))
     taken = mix(docs.select("doc_id", "text", "source")).where("taken > 0")
     # Rows may be alike in id and size: they share what is taken of them.
-    shares = taken.groupBy("doc_id", "size").agg(F.sort_array(F.collect_list("taken")).alias("_shares"))
-    rows = packed(docs, "text", F.col("doc_id").alias("_id"), size.alias("_size"))
-    met = rows.join(shares, rows["_id"].eqNullSafe(shares["doc_id"]) & (rows["_size"] == shares["size"])).select("_row", "text", "_id", "_size", "_shares")
+    shares = taken.groupBy(id_key("doc_id").alias("_id"), F.col("size").alias("_size")).agg(F.sort_array(F.collect_list("taken")).alias("_shares"))
+    met = packed(docs, id_key("doc_id").alias("_id"), size.alias("_size")).join(shares, ["_id", "_size"])
     order = W.partitionBy("_id", "_size").orderBy(F.xxhash64("_row"))
     met = met.withColumn("_taken", F.get("_shares", F.row_number().over(order) - 1)).where("_taken IS NOT NULL").drop("_shares")
     copies = met.withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_taken") - 1) / F.col("_size")))))
     left = F.col("_taken") - F.col("_copy") * F.col("_size")
-    pieces = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), 0)
-    text = F.when(left >= F.col("_size"), F.col("text")).otherwise(F.array_join(F.slice(pieces, 1, left.cast("int")), ""))
+    body = F.col("_row.text")
+    pieces = F.regexp_extract_all(body, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), 0)
+    text = F.when(left >= F.col("_size"), body).otherwise(F.array_join(F.slice(pieces, 1, left.cast("int")), ""))
     return copies.select(with_text(docs, text).alias("_row")).select("_row.*")
 
 
