@@ -325,7 +325,7 @@ def jaccard_links(rows: DataFrame, n: int, percent: int) -> tuple[DataFrame, Dat
     nodes = sets.where("n > 0").groupBy("h1", "h2").agg(F.min("rid").alias("node"))
     owned = staged(sets.drop("prefix").join(nodes, ["h1", "h2"], "left"), "nodes")
     first = owned.where("rid = node").select("_key", "node", "h1", "h2")
-    copies = owned.where("rid <> node").select("rid")
+    copies = staged(owned.where("rid <> node").select("rid"), "copies")  # its true size decides whether all sets are dealt anew
     postings = sets.join(copies, "rid", "left_anti").select(F.col("rid").alias("node"), "n", F.explode("prefix").alias("gram"))
     shared = staged(postings.withColumn("m", F.count("*").over(W.partitionBy("gram"))).where("m > 1"), "shared")
     # Small groups: each list of members once, by what of their prefixes is shared with anyone at all.
