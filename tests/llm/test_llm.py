@@ -332,6 +332,42 @@ def test_embeddings(spark, monkeypatch):
     assert embedding.near_dedup(frame.limit(0)).count() == 0
 
 
+def unlike(draw, x, cosine):
+    """A vector at that cosine from x."""
+    y = draw.standard_normal(len(x))
+    x = x / np.linalg.norm(x)
+    y -= (y @ x) * x
+    return cosine * x + math.sqrt(1 - cosine**2) * y / np.linalg.norm(y)
+
+
+def test_embeddings_across_full_lists(spark):
+    draw = np.random.default_rng(5)
+    one = draw.standard_normal(64)
+    two = unlike(draw, one, 0.925)
+    vecs = [unlike(draw, c, 0.998) for c in (one, two) for _ in range(40)]
+    x = np.array(vecs)
+    near = embedding.cosines(x, x) >= 0.9
+    assert near.all() and embedding.cosines(x[:40], x[:40]).min() > 0.992 > embedding.cosines(x[:40], x[40:]).max()
+    vecs += list(draw.standard_normal((60, 64)))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vecs)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding.near_dedup(frame).collect()}
+    assert got == {i: (79, 0) if i < 80 else (0, i) for i in range(140)}
+
+
+@pytest.mark.parametrize("small", [0, embedding.SMALL if hasattr(embedding, "SMALL") else 0])
+def test_embeddings_pairs_beside_a_large_group(spark, monkeypatch, small):
+    monkeypatch.setattr(embedding, "SMALL", small, raising=False)
+    draw = np.random.default_rng(6)
+    centre = draw.standard_normal(64)
+    vecs = [unlike(draw, centre, 0.98) for _ in range(1000)]
+    for x in draw.standard_normal((1000, 64)):
+        vecs += [x, unlike(draw, x, 0.92)]
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vecs)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.component_id for r in embedding.near_dedup(frame).collect()}
+    assert {got[i] for i in range(1000)} == {0}
+    assert sum(got[i + 1] == i for i in range(1000, 3000, 2)) >= (1000 if small else 985)
+
+
 # 9 ------------------------------------------------------------------------------------------------------------------
 
 
