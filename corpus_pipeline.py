@@ -22,6 +22,10 @@ from tesserae.llm.tokenizer import encode
 #: No SQL: the first stage hashes by a function that SQL engines don't share, and the last is no SQL.
 ORACLE_SQL = None
 
+#: A line on more than so many percent of a source's documents is boilerplate. Sources are far wider than hosts, so a passage
+#: that they share is on a smaller part of them than one of a site's template is.
+LINE_PERCENT = 10
+
 
 def packed(docs: DataFrame, *names: str) -> DataFrame:
     """The row in one column, so that no name of its own can clash, beside the columns that a stage reads."""
@@ -50,7 +54,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows, their texts without the lines that are boilerplate of their source."""
-    out = line_dedup(packed(docs, "text", F.col("source").alias("_source")), F.col("_source"))
+    out = line_dedup(packed(docs, "text", F.col("source").alias("_source")), F.col("_source"), percent=LINE_PERCENT)
     return out.select(with_text(docs, F.col("text")).alias("_row")).select("_row.*")
 
 

@@ -443,6 +443,14 @@ def test_pipeline(spark, corpus, tmp_path):
     assert collections.Counter((r.doc_id, r.n_tokens) for r in last) == collections.Counter((r.doc_id, len(bpe.encode_ordinary(r.text or ""))) for r in now.collect())
 
 
+def test_pipeline_drops_shared_passages(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    draw = random.Random(7)
+    rows = [(i, prose(draw, 60) + f" own{i}" + ("\nOn a fifth of them." if i % 5 == 0 else "") + ("\nOn a tenth of them." if i % 10 == 1 else ""), "s") for i in range(40)]
+    got = {r.doc_id: r.text for r in pipeline.line_dedup_stage(spark, docs(spark, rows), "").collect()}
+    assert got == {i: t.replace("\nOn a fifth of them.", "") for i, t, _ in rows}
+
+
 def write(df, path):
     df.write.parquet(path)
     return path
