@@ -25,6 +25,8 @@ ORACLE_SQL = None
 #: A line on more than so many percent of a source's documents is boilerplate. Sources are far wider than hosts, so a passage
 #: that they share is on a smaller part of them than one of a site's template is.
 LINE_PERCENT = 10
+#: Near-duplicates share this percentage of their shingles of so many words, at least; op6's own contract is another.
+SHINGLE, NEAR_PERCENT = 5, 80
 
 
 def packed(docs: DataFrame, *names: str) -> DataFrame:
@@ -60,7 +62,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the least id. Empty texts are groups of one."""
-    heads = jaccard_groups(docs.select("doc_id", "text")).where("head").groupBy(id_key("doc_id").alias("_id"), F.col("mark").alias("_mark")).agg(F.count("*").alias("_heads"))
+    heads = jaccard_groups(docs.select("doc_id", "text"), n=SHINGLE, percent=NEAR_PERCENT).where("head").groupBy(id_key("doc_id").alias("_id"), F.col("mark").alias("_mark")).agg(F.count("*").alias("_heads"))
     met = packed(docs, id_key("doc_id").alias("_id"), F.xxhash64("text").alias("_mark")).join(heads, ["_id", "_mark"])
     # Rows may be alike in id and text: as many stay as are heads.
     order = W.partitionBy("_id", "_mark").orderBy(F.xxhash64("_row"))

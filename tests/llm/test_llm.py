@@ -451,6 +451,24 @@ def test_pipeline_drops_shared_passages(spark):
     assert got == {i: t.replace("\nOn a fifth of them.", "") for i, t, _ in rows}
 
 
+def test_pipeline_joins_near_copies_on_five_words(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    words = [f"v{i}" for i in range(100)]
+    near, far = list(words), list(words)
+    for i in (20, 50):
+        near[i] = f"x{i}"
+    for i in (20, 50, 80):
+        far[i] = f"y{i}"
+
+    def share(a, b, n):
+        a, b = ({tuple(x[i : i + n]) for i in range(len(x) - n + 1)} for x in (a, b))
+        return len(a & b) / len(a | b)
+
+    assert share(words, near, 5) >= 0.8 > share(words, far, 5) and share(words, near, 4) < 0.85 and share(near, far, 5) < 0.8
+    rows = [(i, " ".join(x), "s") for i, x in enumerate((words, near, far))]
+    assert sorted(r.doc_id for r in pipeline.jaccard_join(spark, docs(spark, rows), "").collect()) == [0, 2]
+
+
 def write(df, path):
     df.write.parquet(path)
     return path
