@@ -154,8 +154,8 @@ class Template:
         most = 0
         until = -1
         for lo, hi in spans:
-            if lo <= until - (n + slack):
-                continue  # the last window holds all that an instance here could
+            if hi <= until:
+                continue  # the last window holds all that an instance here could, with as many words inserted as slack
             window = words[lo : hi + slack]
             until = hi + slack
             if sum((Counter(window) & Counter(self.words)).values()) > most:

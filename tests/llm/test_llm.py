@@ -97,6 +97,18 @@ def test_licenses(spark):
     assert got == collections.Counter(want)
 
 
+def test_licenses_behind_a_stray_word():
+    t = licenses.Template("t", " ".join(f"w{i}" for i in range(100)), 85)
+    instance = [f"w{i}" for i in range(100) if i != 10]
+    instance[60:60] = ["inserted"] * 25
+    for gap in range(0, 120):
+        words = ["filler"] * 10 + ["w10"] + ["filler"] * gap + instance + ["filler"] * 60
+        places = collections.defaultdict(list)
+        for i, w in enumerate(words):
+            places[w].append(i)
+        assert t.best(words, places) >= 99, gap
+
+
 def test_alignment_is_a_common_subsequence():
     draw = random.Random(2)
     for _ in range(300):
