@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import tempfile
 import uuid
@@ -38,10 +39,33 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, UPPER.lower())
 
 
+def id_key(key: Column) -> Column:
+    """An id as text that is never null, so that joins and windows deal rows out by the same columns."""
+    return F.when(key.isNull(), "null").otherwise(F.concat(F.lit("id "), key.cast("string")))
+
+
+#: Words of 64 bits in a sieve, of which each is a row of what is broadcast: 4 MB of them at most, whatever the corpus.
+SIEVE = 1 << 18
+
+
+def sieve(rows: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with _maybe: false only for rows whose keys are not in wanted, true for the others and some more.
+
+    A filter of fixed size, so that what a join doesn't need isn't shuffled to it. Of more keys than it has bits it lets
+    nearly all through: the join behind it is right in any case. keys: names that both frames have.
+    """
+    hashed = lambda df: df.withColumn("_h", F.xxhash64(*keys)).withColumns({"_slot": F.pmod("_h", F.lit(SIEVE)), "_bit": F.expr("shiftleft(1L, CAST(pmod(shiftright(_h, 40), 64) AS INT))")})
+    bits = hashed(wanted.select(*keys)).groupBy("_slot").agg(F.bit_or("_bit").alias("_bits"))
+    met = hashed(rows).join(F.broadcast(bits), "_slot", "left")
+    return met.withColumn("_maybe", F.coalesce(F.col("_bits").bitwiseAND(F.col("_bit")) != 0, F.lit(False))).drop("_h", "_slot", "_bit", "_bits")
+
+
 def stage_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; only where none is named, a folder of this machine."""
+    """The shared folder that the cluster names. Only a session in one process may do without: it gets a folder of its own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir is not set: it must name a folder that the driver and all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='tesserae-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")

@@ -28,18 +28,19 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import ship, staged
+from tesserae.llm.common import id_key, ship, sieve, staged, unstage
 from tesserae.llm.graph import components
 
 ship(__name__)
 
 WORDS, PERCENT = 4, 85
-#: Members of a group that is joined by prefixes; hubs of a family; members of a block; n-grams that are put last, at most.
-SMALL, HUBS, BLOCK, FREQUENT = 64, 4, 512, 1 << 20
+#: Members of a group that is joined by prefixes; those of one whose members are weighed against each other first; hubs of a
+#: family; members of a block; n-grams that are put last, at most.
+SMALL, CLOSE, HUBS, BLOCK, FREQUENT = 64, 16, 4, 512, 1 << 20
 #: Words whose hash a worker remembers; n-grams that it counts before it hands them on.
 CACHE, HELD = 200_000, 6_000_000
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -107,7 +108,8 @@ def repeated(n: int):
     return run
 
 
-def prefix_of(grams: np.ndarray, frequent: np.ndarray, rank: np.ndarray, percent: int) -> np.ndarray:
+def prefix_of(grams: np.ndarray, frequent: np.ndarray, rank: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
+    """The first n-grams of a set in the order that all share, and how many of them are not among the frequent."""
     size = len(grams)
     length = size - -(-percent * size // 100) + 1 if size else 0
     at = np.searchsorted(frequent, grams)
@@ -115,14 +117,15 @@ def prefix_of(grams: np.ndarray, frequent: np.ndarray, rank: np.ndarray, percent
     inside = at < len(frequent)
     late[inside] = frequent[at[inside]] == grams[inside]
     first = grams[~late][:length]
-    if len(first) < length:
+    rare = len(first)
+    if rare < length:
         last = np.flatnonzero(late)
         last = last[np.argsort(rank[at[last]], kind="stable")]
-        first = np.concatenate([first, grams[last[: length - len(first)]]])
-    return first
+        first = np.concatenate([first, grams[last[: length - rare]]])
+    return first, rare
 
 
-SETS = "rid long, n long, h1 long, h2 long, prefix array<long>"
+SETS = "rid long, n int, h1 long, h2 long, rare int, prefix array<long>"
 
 
 def described(frequent: np.ndarray, rank: np.ndarray, n: int, percent: int):
@@ -133,7 +136,8 @@ def described(frequent: np.ndarray, rank: np.ndarray, n: int, percent: int):
             ids = np.arange(rid, rid + len(sets))
             rid += len(sets)
             marks = np.array([divmod(xxhash.xxh3_128_intdigest(s.tobytes()), 1 << 64) for s in sets], np.uint64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([batch.column("_key"), batch.column("_mark"), pa.array(ids), pa.array([len(s) for s in sets], pa.int64()), signed(marks[:, 0]), signed(marks[:, 1]), lists([prefix_of(s, frequent, rank, percent) for s in sets])], ["_key", "_mark", "rid", "n", "h1", "h2", "prefix"])
+            firsts = [prefix_of(s, frequent, rank, percent) for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column("_key"), batch.column("_mark"), pa.array(ids), pa.array([len(s) for s in sets], pa.int32()), signed(marks[:, 0]), signed(marks[:, 1]), pa.array([x[1] for x in firsts], pa.int32()), lists([x[0] for x in firsts])], ["_key", "_mark", "rid", "n", "h1", "h2", "rare", "prefix"])
 
     return run
 
@@ -311,6 +315,44 @@ def against_hubs(percent: int):
     return run
 
 
+def meeting(percent: int) -> Column:
+    """Of the members l of an n-gram's list, those whose first shared n-gram with another could be this one: sizes and places
+    must leave enough to share. Every pair that links passes in the list of its first shared n-gram."""
+
+    def could(x: Column, y: Column) -> Column:
+        most = F.least(x["n"] - x["at"], y["n"] - y["at"]).cast("long")
+        return (x["node"] != y["node"]) & ((100 + percent) * most >= percent * (x["n"].cast("long") + y["n"]))
+
+    return F.when(F.size("l") > CLOSE, F.col("l")).otherwise(F.filter("l", lambda x: F.exists("l", lambda y: could(x, y))))
+
+
+def candidates(sets: DataFrame, percent: int) -> DataFrame:
+    """a, b: edges whose components hold all links. sets: node, n, rare, prefix, a row for each node."""
+    postings = sets.select("node", "n", "rare", F.posexplode("prefix").alias("at", "gram"))
+    # Frequent n-grams are as many as the order knows at most; what they need is aggregated before it is shuffled.
+    late = postings.where("at >= rare").drop("rare")
+    hot = staged(late.groupBy("gram").agg(F.min("node").alias("least"), F.count("*").alias("m")).where("m > 1"), "hot")
+    led = late.join(F.broadcast(hot.where(F.col("m") > SMALL)), "gram")
+    few = late.join(F.broadcast(hot.where(F.col("m") <= SMALL).select("gram")), "gram", "left_semi")
+    # All others: a list for each n-gram of few nodes; of more, which the order didn't know, each node has a row of its own.
+    of_gram = W.partitionBy("gram")
+    met = postings.where("at < rare").drop("rare").unionByName(few).withColumns({"m": F.count("*").over(of_gram), "least": F.min("node").over(of_gram)}).where("m > 1")
+    alone = F.when(F.col("m") > SMALL, F.col("node")).otherwise(-1)
+    shared = staged(met.groupBy("gram", alone.alias("alone")).agg(F.min("least").alias("least"), F.collect_list(F.struct("node", "n", "at")).alias("l")), "shared")
+
+    members = shared.where("alone < 0").select(F.array_sort(F.transform(meeting(percent), lambda x: x["node"])).alias("members")).where("size(members) > 1")
+    members = staged(members.distinct().select(F.xxhash64("members").alias("g1"), F.hash("members").alias("g2"), F.explode("members").alias("node")), "lists")
+    # Each list of members is joined once, by all that their prefixes share with anyone.
+    own = shared.select("gram", F.explode("l").alias("x")).select("x.node", "x.n", "gram").union(led.select("node", "n", "gram"))
+    own = sieve(own, members, ["node"]).where("_maybe").groupBy("node").agg(F.first("n").alias("n"), F.collect_list("gram").alias("grams"))
+    near = members.join(own, "node").repartition("g1", "g2").sortWithinPartitions("g1", "g2", "node").mapInArrow(by_group(["g1", "g2"], OfPrefixes(percent), size="n"), "a long, b long")
+    # An n-gram of many nodes leads from each to the least of them.
+    leads = led.select("node", "least").union(shared.where("alone >= 0").select("alone", "least")).where("node <> least")
+    found = staged(near.union(leads).distinct(), "candidates")
+    unstage(hot, shared, members)
+    return found
+
+
 def jaccard_links(rows: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """rows: _key, _text, _mark. The described rows with their node, and links that unite all components of nodes."""
     kind = rows.schema["_key"].dataType.simpleString()
@@ -322,29 +364,29 @@ def jaccard_links(rows: DataFrame, n: int, percent: int) -> tuple[DataFrame, Dat
     by_gram = np.argsort(grams)
     sets = staged(rows.mapInArrow(described(grams[by_gram], rank[by_gram], n, percent), f"_key {kind}, _mark long, {SETS}"), "sets")
 
-    nodes = sets.where("n > 0").groupBy("h1", "h2").agg(F.min("rid").alias("node"))
-    owned = staged(sets.drop("prefix").join(nodes, ["h1", "h2"], "left"), "nodes")
-    first = owned.where("rid = node").select("_key", "node", "h1", "h2")
-    copies = staged(owned.where("rid <> node").select("rid"), "copies")  # its true size decides whether all sets are dealt anew
-    postings = sets.join(copies, "rid", "left_anti").select(F.col("rid").alias("node"), "n", F.explode("prefix").alias("gram"))
-    shared = staged(postings.withColumn("m", F.count("*").over(W.partitionBy("gram"))).where("m > 1"), "shared")
-    # Small groups: each list of members once, by what of their prefixes is shared with anyone at all.
-    members = shared.where(F.col("m") <= SMALL).groupBy("gram").agg(F.sort_array(F.collect_list("node")).alias("members"))
-    members = members.select("members").distinct().select(F.xxhash64("members").alias("g1"), F.hash("members").alias("g2"), F.explode("members").alias("node"))
-    own = shared.groupBy("node").agg(F.first("n").alias("n"), F.collect_list("gram").alias("grams"))
-    near = members.join(own, "node").repartition("g1", "g2").sortWithinPartitions("g1", "g2", "node").mapInArrow(by_group(["g1", "g2"], OfPrefixes(percent), size="n"), "a long, b long")
-    # Large groups: an n-gram leads from each of its nodes to the least of them.
-    leads = shared.where(F.col("m") > SMALL).select("node", F.min("node").over(W.partitionBy("gram")).alias("least")).where("node <> least")
-    family = components(near.union(leads).distinct()).select("node", F.col("label").alias("family"))
+    # Sets that occur once are nodes by themselves; only the others are looked up, in a table that is written, so that its
+    # true size decides how, and a set of very many rows can be split.
+    twice = staged(sets.where("n > 0").groupBy("h1", "h2").agg(F.min("rid").alias("first"), F.count("*").alias("c")).where("c > 1").drop("c"), "twice")
+    owned = sets.join(twice, ["h1", "h2"], "left").withColumn("node", F.when(F.col("n") > 0, F.coalesce("first", "rid"))).drop("first")
+    owned = staged(owned.withColumn("prefix", F.when(F.col("rid") == F.col("node"), F.col("prefix"))), "nodes")
+    unstage(sets, twice)
+    first = owned.where("rid = node")
+    near = candidates(first.select("node", "n", "rare", "prefix"), percent)
+    family = components(near).select("node", F.col("label").alias("family"))
     family = staged(family.join(family.groupBy("family").agg(F.count("*").alias("members")), "family"), "families")
-
-    # The texts of families; both sides grow with the corpus, so neither is broadcast even where it is still small enough.
-    wanted = first.join(family, "node").select(F.col("_key").alias("_id"), "node", "family", "members", "h1", "h2")
-    texts = rows.select("_key", "_text").join(wanted.hint("merge"), rows["_key"].eqNullSafe(wanted["_id"])).drop("_key", "_id")
-    texts = staged(texts, "texts")
+    unstage(near)
+
+    # The texts of families. Both sides grow with the corpus, so neither is broadcast even where it is still small enough;
+    # the sieve keeps texts of no family out of the shuffle. Rows that are alike in id and text are one.
+    wanted = staged(first.join(family, "node").select(id_key(F.col("_key")).alias("_id"), "_mark", "node", "family", "members", "h1", "h2"), "wanted")
+    bare = sieve(rows.select(id_key(F.col("_key")).alias("_id"), "_mark", "_text"), wanted, ["_id", "_mark"]).where("_maybe").drop("_maybe")
+    alike = W.partitionBy("_id", "_mark").orderBy("_id")
+    bare = bare.withColumn("_nth", F.row_number().over(alike)).where("_nth = 1").drop("_nth")
+    texts = staged(bare.join(wanted.hint("merge"), ["_id", "_mark"]).drop("_id", "_mark"), "texts")
     exact, pair, made = Exact(percent), "a long, b long", full_sets(n)
     fits = texts.where(F.col("members") <= BLOCK).repartition("family").sortWithinPartitions("family", "node")
     links = staged(fits.mapInArrow(chained(made, by_group(["family"], exact)), pair), "links")
+    unstage(wanted)
 
     family = family.where(F.col("members") > BLOCK).select("family", "node")
     if family.limit(1).count():
@@ -368,6 +410,8 @@ def jaccard_links(rows: DataFrame, n: int, percent: int) -> tuple[DataFrame, Dat
         dealt = dealt.select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "label")
         dealt = dealt.join(full.select("node", "grams"), "node").repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "node")
         links = staged(links.union(dealt.mapInArrow(by_group(["family", "i", "j"], exact, "label", "block"), pair)), "links")
+        unstage(full, rest)
+    unstage(texts)
     return owned, links
 
 
@@ -377,11 +421,12 @@ def jaccard_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", n:
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.xxhash64(text).alias("_mark"))
     owned, links = jaccard_links(rows, n, percent)
     labelled = owned.join(components(links), "node", "left").withColumn("class", F.coalesce("label", "node"))
-    least = labelled.where("class IS NOT NULL").groupBy(F.col("class").alias("c")).agg(F.min(F.struct(F.col("_key").isNull().alias("x"), "_key", "rid")).alias("l"))
+    # Written before it is joined, so that a class of very many rows can be split there.
+    least = staged(labelled.where("class IS NOT NULL").groupBy(F.col("class").alias("c")).agg(F.min(F.struct(F.col("_key").isNull().alias("x"), "_key", "rid")).alias("l")), "classes")
     out = labelled.join(least, labelled["class"] == least["c"], "left")
     component = F.when(F.col("class").isNull(), F.col("_key")).otherwise(F.col("l._key"))
     head = F.col("class").isNull() | (F.col("rid") == F.col("l.rid"))
-    return out.select(F.col("_key").alias(key), F.col("_mark").alias("mark"), F.col("n").alias("n_shingles"), component.alias("component_id"), head.alias("head"))
+    return out.select(F.col("_key").alias(key), F.col("_mark").alias("mark"), F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"), head.alias("head"))
 
 
 def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int = WORDS, percent: int = PERCENT) -> DataFrame:
