@@ -273,7 +273,8 @@ def by_group(names: list[str], rule: Exact, label: str = "node", block: str | No
             nodes, labels = batch.column("node").to_pylist(), batch.column(label).to_pylist()
             blocks = batch.column(block).to_pylist() if block else [0] * len(keys)
             grams = batch.column("grams")
-            ends, values = grams.offsets.to_numpy(), grams.values.to_numpy().view(np.uint64)
+            ends, values = grams.offsets.to_numpy(), grams.values.to_numpy()
+            values = values.view(f"u{values.itemsize}")
             sizes = batch.column(size).to_pylist() if size else np.diff(ends).tolist()
             for i, k in enumerate(keys):
                 if k != key and held:
@@ -315,15 +316,26 @@ def against_hubs(percent: int):
     return run
 
 
-def meeting(percent: int) -> Column:
-    """Of the members l of an n-gram's list, those whose first shared n-gram with another could be this one: sizes and places
-    must leave enough to share. Every pair that links passes in the list of its first shared n-gram."""
+def with_partner(could) -> Column:
+    """Of the members l of a list, those that could link with another of them; of long lists all."""
+    return F.when(F.size("l") > CLOSE, F.col("l")).otherwise(F.filter("l", lambda x: F.exists("l", lambda y: (x["node"] != y["node"]) & could(x, y))))
+
+
+def by_place(percent: int):
+    """Whether two sets could link if this n-gram is the first that they share, at their places in the order: what comes from
+    here on must be enough. Each pair that links passes in the list of the first n-gram that it shares."""
+    return lambda x, y: (100 + percent) * F.least(x["n"] - x["at"], y["n"] - y["at"]).cast("long") >= percent * (x["n"].cast("long") + y["n"])
+
+
+def by_shared(percent: int):
+    """Whether two sets could link by their sizes n, and by how many n-grams of their prefixes (m) others share at all."""
 
     def could(x: Column, y: Column) -> Column:
-        most = F.least(x["n"] - x["at"], y["n"] - y["at"]).cast("long")
-        return (x["node"] != y["node"]) & ((100 + percent) * most >= percent * (x["n"].cast("long") + y["n"]))
+        both, large = x["n"].cast("long") + y["n"], F.greatest(x["n"], y["n"]).cast("long")
+        near = 100 * F.least(x["n"], y["n"]).cast("long") >= percent * large
+        return near & (100 * (100 + percent) * F.least(x["m"], y["m"]).cast("long") > 100 * percent * both - percent * (100 + percent) * large)
 
-    return F.when(F.size("l") > CLOSE, F.col("l")).otherwise(F.filter("l", lambda x: F.exists("l", lambda y: could(x, y))))
+    return could
 
 
 def candidates(sets: DataFrame, percent: int) -> DataFrame:
@@ -340,16 +352,20 @@ def candidates(sets: DataFrame, percent: int) -> DataFrame:
     alone = F.when(F.col("m") > SMALL, F.col("node")).otherwise(-1)
     shared = staged(met.groupBy("gram", alone.alias("alone")).agg(F.min("least").alias("least"), F.collect_list(F.struct("node", "n", "at")).alias("l")), "shared")
 
-    members = shared.where("alone < 0").select(F.array_sort(F.transform(meeting(percent), lambda x: x["node"])).alias("members")).where("size(members) > 1")
+    # Each list of members once.
+    members = shared.where("alone < 0").withColumn("l", with_partner(by_place(percent))).select(F.array_sort(F.transform("l", lambda x: x["node"])).alias("members")).where("size(members) > 1")
     members = staged(members.distinct().select(F.xxhash64("members").alias("g1"), F.hash("members").alias("g2"), F.explode("members").alias("node")), "lists")
-    # Each list of members is joined once, by all that their prefixes share with anyone.
+    # What the prefixes of members share with any others. 32 bits do: n-grams taken for one another only add candidates.
     own = shared.select("gram", F.explode("l").alias("x")).select("x.node", "x.n", "gram").union(led.select("node", "n", "gram"))
-    own = sieve(own, members, ["node"]).where("_maybe").groupBy("node").agg(F.first("n").alias("n"), F.collect_list("gram").alias("grams"))
-    near = members.join(own, "node").repartition("g1", "g2").sortWithinPartitions("g1", "g2", "node").mapInArrow(by_group(["g1", "g2"], OfPrefixes(percent), size="n"), "a long, b long")
+    own = sieve(own, members, ["node"]).where("_maybe").select("node", "n", F.hash("gram").alias("gram"))
+    own = staged(own.groupBy("node").agg(F.first("n").alias("n"), F.collect_list("gram").alias("grams")), "own")
+    weighed = members.join(own.select("node", "n", F.size("grams").alias("m")), "node").groupBy("g1", "g2").agg(F.collect_list(F.struct("node", "n", "m")).alias("l"))
+    left = weighed.select("g1", "g2", F.explode(with_partner(by_shared(percent))).alias("x")).select("g1", "g2", "x.node")
+    near = left.join(own, "node").repartition("g1", "g2").sortWithinPartitions("g1", "g2", "node").mapInArrow(by_group(["g1", "g2"], OfPrefixes(percent), size="n"), "a long, b long")
     # An n-gram of many nodes leads from each to the least of them.
     leads = led.select("node", "least").union(shared.where("alone >= 0").select("alone", "least")).where("node <> least")
     found = staged(near.union(leads).distinct(), "candidates")
-    unstage(hot, shared, members)
+    unstage(hot, shared, members, own)
     return found
 
 
