@@ -1,50 +1,58 @@
 """Quality rules: a hashed n-gram log-likelihood ratio between a trusted target and the raw corpus.
 
 Word unigrams and bigrams are hashed into a fixed number of buckets. The buckets of all documents make one multinomial,
-those of the trusted documents another, both with one added to each count. A document's score is the mean over its n-grams
-of ln(p_target / p_raw): above 0 it is more like the target. A document is kept if it passes the plain rules and its score
-reaches the threshold. Scores come from exact integer counts, summed in the order of the text, so reruns agree.
-
-Defined cases: a null or empty text has no words, score 0, and fails the plain rules; without trusted rows both
-multinomials are alike, all scores are 0 and only the plain rules decide; a label with null id or null quality trusts
-nothing; a document that has several labels is trusted if any is 1; documents with a null id are never trusted; repeated
-rows are counted and judged one by one; other columns are left alone, but those of a result's name are replaced.
+those of the trusted documents another, smoothed towards the first by so many counts that follow it. A document's score is
+the mean over its n-grams of ln(p_target / p_raw): above 0 it is more like the target. A document is kept if it passes the
+plain rules and its score reaches the threshold.
+
+No document is judged by counts of its own: documents fall into folds by the hash of their id, and each fold is judged by
+the counts of all the others, raw and trusted. So trusted documents get no bonus for having been counted. Counts are exact
+integers, and a document's ratios are added in the order of its text, so reruns agree.
+
+Defined cases: a null or empty text has no words, score 0, and fails the plain rules; a fold without trusted rows in the
+others gets score 0, and only the plain rules decide; a label with null id or null quality trusts nothing; a document that
+has several labels is trusted if any is 1; documents with a null id are never trusted; repeated rows are counted and judged
+one by one, all in the fold of their id; an empty table gives an empty result; other columns stay as they are, whatever
+their names, but those of a result's name are replaced.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import SPACE, words
+from tesserae.llm.common import SPACE, id_key, sieve, staged, words
 
-#: Buckets of the hashed n-grams: this bounds the tables of counts, whatever the corpus.
-BUCKETS = 10_000
+#: Buckets of the hashed n-grams, and folds: these bound the tables of counts, whatever the corpus. Counts for each bucket
+#: that follow the raw corpus, on average.
+BUCKETS, FOLDS, PRIOR = 10_000, 5, 30
 #: Mean log ratio a document must reach.
 THRESHOLD = -0.03
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def measured(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with _words, and the plain measures n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
-    body = F.coalesce(F.col(text), F.lit(""))
+def measured(rows: DataFrame) -> DataFrame:
+    """rows with words, and the plain measures of text."""
+    body = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    out = docs.withColumns({"_words": words(F.col(text)), "_lines": lines})
-    n = F.size("_words")
+    out = rows.withColumns({"words": words(F.col("text")), "lines": lines})
+    n = F.size("words")
     # The 3-word windows sorted by hash: equal ones stand side by side. Sorted again by place, each window covers three
     # words or as many as lie before the next one's.
-    windows = F.when(n >= 3, F.transform(F.slice("_words", 1, F.greatest(n - 2, F.lit(0))), lambda x, i: F.struct(F.xxhash64(x, F.get("_words", i + 1), F.get("_words", i + 2)).alias("h"), i.alias("i"))))
-    out = out.withColumn("_windows", F.sort_array(F.coalesce(windows, F.array().cast("array<struct<h:bigint,i:int>>"))))
-    twin = lambda x, j: (F.get("_windows", j - 1)["h"] == x["h"]) | (F.get("_windows", j + 1)["h"] == x["h"])
-    out = out.withColumn("_twins", F.sort_array(F.transform(F.filter("_windows", lambda x, j: F.coalesce(twin(x, j), F.lit(False))), lambda x: x["i"])))
-    covered = F.aggregate(F.transform("_twins", lambda p, j: F.least(F.coalesce(F.get("_twins", j + 1) - p, F.lit(3)), F.lit(3))), F.lit(0), lambda a, x: a + x)
+    windows = F.when(n >= 3, F.transform(F.slice("words", 1, F.greatest(n - 2, F.lit(0))), lambda x, i: F.struct(F.xxhash64(x, F.get("words", i + 1), F.get("words", i + 2)).alias("h"), i.alias("i"))))
+    out = out.withColumn("windows", F.sort_array(F.coalesce(windows, F.array().cast("array<struct<h:bigint,i:int>>"))))
+    twin = lambda x, j: (F.get("windows", j - 1)["h"] == x["h"]) | (F.get("windows", j + 1)["h"] == x["h"])
+    out = out.withColumn("twins", F.sort_array(F.transform(F.filter("windows", lambda x, j: F.coalesce(twin(x, j), F.lit(False))), lambda x: x["i"])))
+    covered = F.aggregate(F.transform("twins", lambda p, j: F.least(F.coalesce(F.get("twins", j + 1) - p, F.lit(3)), F.lit(3))), F.lit(0), lambda a, x: a + x)
     return out.withColumns({
         "n_words": n.cast("long"),
         "word_chars": F.length(F.regexp_replace(body, f"{SPACE}+", "")).cast("long"),
         "n_symbols": F.length(F.regexp_replace(body, "[^#*$%&|<>]+", "")).cast("long"),
-        "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
+        "n_dup_lines": (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"),
         "n_repeat_words": covered.cast("long"),
-    }).drop("_lines", "_windows", "_twins")
+    }).drop("lines", "windows", "twins")
 
 
 def buckets(word_list: Column, n: int) -> Column:
@@ -53,33 +61,51 @@ def buckets(word_list: Column, n: int) -> Column:
     return F.concat(one, F.transform(F.slice(word_list, 2, F.greatest(F.size(word_list) - 1, F.lit(0))), lambda x, i: F.pmod(F.xxhash64(F.get(word_list, i), x), F.lit(n)).cast("int")))
 
 
-def log_ratios(docs: DataFrame, trusted: DataFrame, text: str = "text", key: str = "doc_id", n: int = BUCKETS) -> list[float]:
-    """ln(p_target / p_raw) of each bucket. trusted: a frame with the ids of the target's documents."""
-    import math
+def fold_of(key: Column, folds: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit("fold"), id_key(key)), F.lit(folds)).cast("int")
 
-    ids = trusted.select(F.col(trusted.columns[0]).alias("_id")).where("_id IS NOT NULL").distinct().withColumn("_t", F.lit(1))
+
+def counted(docs: DataFrame, text: str, key: str, n: int, folds: int) -> DataFrame:
+    """fold, b, c: how often each bucket occurs in the documents of each fold. Counted before anything is shuffled."""
+    grams = docs.select(fold_of(F.col(key), folds).alias("fold"), words(F.col(text)).alias("w")).select("fold", F.explode(buckets(F.col("w"), n)).alias("b"))
+    return grams.groupBy("fold", "b").agg(F.count("*").alias("c"))
+
+
+def log_ratios(docs: DataFrame, trusted: DataFrame, text: str = "text", key: str = "doc_id", n: int = BUCKETS, folds: int = FOLDS) -> DataFrame:
+    """fold, ratios: ln(p_target / p_raw) of each bucket by the counts of all other folds, a row for each fold.
+
+    trusted: a frame with the ids of the target's documents. Texts are shuffled only to learn which of them are trusted, and
+    a sieve keeps most of the others out.
+    """
+    ids = staged(trusted.select(F.col(trusted.columns[0]).alias("id")).where("id IS NOT NULL").distinct(), "trusted")
+    bare = sieve(docs.select(F.col(key).alias("id"), F.col(text).alias("text")), ids, ["id"]).where("_maybe").drop("_maybe")
     # Both sides grow with the corpus, so neither is broadcast even where it would still be small enough.
-    marked = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text")).join(ids.hint("merge"), "_id", "left")
-    grams = marked.select("_t", words(F.col("_text")).alias("_w")).select("_t", F.explode(buckets(F.col("_w"), n)).alias("b"))
-    rows = grams.groupBy("b").agg(F.count("*").alias("raw"), F.count("_t").alias("target")).collect()  # n rows at most
-    raw, target = {r.b: r.raw for r in rows}, {r.b: r.target for r in rows}
-    all_raw, all_target = sum(raw.values()), sum(target.values())
-    if not all_target:
-        return [0.0] * n
-    return [math.log((target.get(b, 0) + 1) / (all_target + n) * (all_raw + n) / (raw.get(b, 0) + 1)) for b in range(n)]
-
-
-def judge(docs: DataFrame, ratios: list[float], text: str = "text", threshold: float = THRESHOLD, min_words: int = MIN_WORDS, max_repeat_percent: int = MAX_REPEAT_PERCENT) -> DataFrame:
-    """docs with the plain measures, base_failed, llr and kept."""
-    table = F.split(F.lit(",".join(map(repr, ratios))), ",").cast("array<double>")
-    out = measured(docs, text)
-    grams = buckets(F.col("_words"), len(ratios))
-    out = out.withColumn("_grams", grams)
-    total = F.aggregate("_grams", F.lit(0.0), lambda a, b: a + F.get(table, b))
+    target = counted(bare.join(ids.hint("merge"), "id", "left_semi"), "text", "id", n, folds).withColumnRenamed("c", "t")
+    raw = counted(docs, text, key, n, folds).withColumnRenamed("c", "r")
+    grid = docs.sparkSession.range(folds * n).select(F.floor(F.col("id") / n).cast("int").alias("fold"), (F.col("id") % n).cast("int").alias("b"))
+    table = grid.join(raw, ["fold", "b"], "left").join(target, ["fold", "b"], "left").select("fold", "b", F.coalesce("r", F.lit(0)).alias("r"), F.coalesce("t", F.lit(0)).alias("t"))
+    # From here on there are folds * n rows.
+    of_bucket, of_fold = W.partitionBy("b"), W.partitionBy("fold")
+    others = table.select("fold", "b", *((F.sum(c).over(of_bucket) - F.col(c)).alias(c) for c in "rt"))
+    others = others.withColumns({f"all_{c}": F.sum(c).over(of_fold) for c in "rt"})
+    share = (F.col("r") + 1) / (F.col("all_r") + n)
+    ratio = F.when(F.col("all_t") > 0, F.log((F.col("t") / share + PRIOR * n) / (F.col("all_t") + PRIOR * n))).otherwise(0.0)
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("b", ratio.alias("x")))), lambda p: p["x"])
+    return staged(others.groupBy("fold").agg(listed.alias("ratios")), "ratios")
+
+
+def judge(docs: DataFrame, ratios: DataFrame, text: str = "text", key: str = "doc_id", n: int = BUCKETS, folds: int = FOLDS, threshold: float = THRESHOLD, min_words: int = MIN_WORDS, max_repeat_percent: int = MAX_REPEAT_PERCENT) -> DataFrame:
+    """docs with the plain measures, base_failed, llr and kept. ratios: from log_ratios() with the same n and folds."""
+    # The row goes along in one column, so that no name of its own can clash. Of ratios there is a row for each fold.
+    rows = docs.select(F.struct("*").alias("row"), F.col(text).alias("text"), fold_of(F.col(key), folds).alias("fold"))
+    out = measured(rows.join(F.broadcast(ratios), "fold", "left")).withColumn("grams", buckets(F.col("words"), n))
+    total = F.aggregate("grams", F.lit(0.0), lambda a, b: a + F.get("ratios", b))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    out = out.withColumns({"base_failed": failed, "llr": F.when(F.size("_grams") > 0, total / F.size("_grams")).otherwise(0.0)})
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold)).drop("_grams", "_words")
+    out = out.withColumns({"base_failed": failed, "llr": F.when(F.size("grams") > 0, total / F.size("grams")).otherwise(0.0)})
+    out = out.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
+    made = [*MEASURES, "base_failed", "llr", "kept"]
+    return out.select(*(F.col("row")[c].alias(c) for c in docs.columns if c not in made), *made)
 
 
 def quality_rules(docs: DataFrame, trusted: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
-    return judge(docs, log_ratios(docs, trusted, text, key), text, threshold)
+    return judge(docs, log_ratios(docs, trusted, text, key), text, key, threshold=threshold)
