@@ -3,19 +3,25 @@
 The most frequent training words are classes of their own; every other word, known or not, belongs to a class by its last
 two bytes, and the end of a text is a class. A text's probability is that of its classes, by the scaled forward recursion
 over the whole text, times that of each word within its class, (c + 1) / (n + v + 1) with the count c of the word and the
-tokens n and types v of the class; so all texts' probabilities sum to 1. Baum-Welch counts come from all training texts:
-every task sums the expected counts of its partition, Spark adds them in fixed point, so that no order of adding matters,
-and the driver holds one table of states by classes, whose size doesn't grow. The start is fitted on a small sample.
+tokens n and types v of the class; so all texts' probabilities sum to 1.
+
+Training starts from the classes' shares among all training texts, told apart by fixed noise in each state, and goes on in
+rounds of Baum-Welch over all of them until the likelihood of a token rises by less than a stated share, at MOST rounds.
+Every task sums the expected counts of its partition, Spark adds them in fixed point, and the driver holds one table of
+states by classes, whose size doesn't grow. Within a task, sums run in single precision, so that another partitioning can
+change a score in its last digits; reruns over the same partitions agree. Texts are tokenised once: the classes of all
+words are written to the shared folder, two bytes each, and rounds and scores read these.
 
 For training, texts are cut into segments, all of which are used; a segment that doesn't begin a text starts from the
 states' shares. The score itself is exact over the whole text, however long.
 
 Counts of words grow with the corpus and stay a distributed table. The most frequent are looked up in each worker, up to a
-fixed number; all others are joined.
+fixed number of words of a fixed length at most; all others are joined.
 
 Defined cases: a null or empty text is the end alone; without training texts all classes are equally likely and all counts
-0; a null id counts as an empty one where its remainder is taken; repeated rows are learnt and scored one by one; ties of
-frequency are broken by the word's bytes; columns other than id and text are left out.
+0; a null id counts as an empty one where its remainder is taken; ids may repeat, with any texts: rows are learnt and scored
+one by one; ties of frequency are broken by the word's bytes; an empty table gives an empty result; columns other than id
+and text are left out.
 """
 
 from __future__ import annotations
@@ -31,15 +37,15 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import ship, staged, unstage
+from tesserae.llm.common import ship, staged
 
 ship(__name__)
 
 STATES, OWN_CLASSES, SUFFIX_CLASSES = 8, 8192, 1024
-#: Words that workers look up rather than join; distinct words a worker counts before it hands them on.
-LOOKED_UP, HELD = 1 << 18, 300_000
-#: Rounds over the sample and over the corpus; texts of the sample, and the longest that it takes.
-SAMPLE_ROUNDS, ROUNDS, SAMPLE, SAMPLE_CHARS = 25, 2, 400, 20_000
+#: Words that workers look up rather than join, and their bytes at most; distinct words a worker counts before it hands them on.
+LOOKED_UP, LONGEST, HELD = 1 << 18, 64, 300_000
+#: Rounds at most, and the relative rise of the log-likelihood below which they end.
+MOST, SETTLED = 20, 1e-3
 SEGMENT, BATCH_TOKENS = 256, 1_000_000
 FIXED = 1 << 20
 
@@ -79,6 +85,12 @@ class Model:
     def __init__(self, pi: np.ndarray, occ: np.ndarray, a: np.ndarray, e: np.ndarray):
         self.pi, self.occ, self.a, self.e = pi, occ, a, e
 
+    @staticmethod
+    def first(share: np.ndarray, states: int) -> Model:
+        """What training starts from: each state emits the classes by their shares among all tokens, with noise of a fixed seed."""
+        noise = np.random.default_rng(17).gamma(2.0, 0.5, (len(share), states))
+        return Model.of_counts(np.zeros(states), np.eye(states) * 50, 1e6 * share[:, None] * noise, share)
+
     @staticmethod
     def of_counts(pi: np.ndarray, a: np.ndarray, e: np.ndarray, share: np.ndarray) -> Model:
         """From expected counts; share: of each class among all tokens, to which the states' are smoothed."""
@@ -113,8 +125,8 @@ def log_likelihoods(model: Model, seqs: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def expected(model: Model, seqs: list[np.ndarray], first: np.ndarray, into: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
-    """Add a batch's expected counts. first: which segments begin a text."""
+def expected(model: Model, seqs: list[np.ndarray], first: np.ndarray, into: tuple[np.ndarray, np.ndarray, np.ndarray]) -> float:
+    """Add a batch's expected counts; its log-likelihood. first: which segments begin a text."""
     pi, a, e = into
     flat, offsets, running, order = ragged(seqs)
     first, k = first[order], len(model.pi)
@@ -146,6 +158,7 @@ def expected(model: Model, seqs: list[np.ndarray], first: np.ndarray, into: tupl
     a += xi * model.a
     for s in range(k):
         e[:, s] += np.bincount(seen, gamma[:, s], len(e))
+    return float(np.log(scale, dtype=float).sum())
 
 
 def segments(ids: np.ndarray) -> list[np.ndarray]:
@@ -189,100 +202,120 @@ def class_sizes(classes: Classes):
     return run
 
 
-def expected_in(model: Model, classes: Classes):
-    """A partition's expected counts in fixed point: a row for each class, each state's transitions, and the starts."""
+def width(n: int) -> str:
+    """The integers that classes are written as."""
+    return "<u2" if n <= 1 << 16 else "<u4"
+
+
+TOKENS = "rid long, n_tokens long, known long, base double, own double, rare array<binary>, ids binary"
+
+
+def tokenised(classes: Classes, log_of: dict[bytes, float], has_end: bool):
+    """Each text's classes, what is due for its words that are looked up (base: log10(c + 1) of all; own: of those within
+    classes of several words), and its other words. log_of: log10(c + 1) of the words looked up."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rid, kind = TaskContext.get().partitionId() << 40, width(classes.n)
+        get, n_own = log_of.get, classes.n_own
+        for batch in batches:
+            rows, begun, size = [], 0, 0
+            for i, text in enumerate(texts_in(batch)):
+                ws = words_of(text)
+                logs = list(map(get, ws))
+                rare = [w for w, x in zip(ws, logs) if x is None] if None in logs else []
+                ids = classes.ids(ws)
+                common = sum(x for x in logs if x is not None) if rare else sum(logs)
+                own = sum(x for x, c in zip(logs, ids.tolist()) if c >= n_own and x is not None)
+                rows.append((rid, len(ids), len(ws) - len(rare) + has_end, common, own, rare, ids.astype(kind).tobytes()))
+                rid, size = rid + 1, size + len(ids)
+                if size > BATCH_TOKENS or i + 1 == batch.num_rows:
+                    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.binary())
+                    made = [pa.array(list(x), t) for x, t in zip(zip(*rows), kinds)]
+                    head = [batch.column(c).slice(begun, len(rows)) for c in ("_key", "_train")]
+                    yield pa.RecordBatch.from_arrays(head + made, ["_key", "_train", "rid", "n_tokens", "known", "base", "own", "rare", "ids"])
+                    rows, begun, size = [], i + 1, 0
+
+    return run
+
+
+def expected_in(model: Model):
+    """A partition's expected counts in fixed point: a row for each class, each state's transitions, the starts, and the
+    log-likelihood."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k = len(model.pi)
-        into = np.zeros(k), np.zeros((k, k)), np.zeros((classes.n, k))
+        n, k = model.e.shape
+        into, loglik = (np.zeros(k), np.zeros((k, k)), np.zeros((n, k))), 0.0
         seqs, first, tokens = [], [], 0
         for batch in batches:
-            for text in texts_in(batch):
-                own = segments(classes.ids(words_of(text)))
+            for ids in texts_in(batch, "ids"):
+                own = segments(np.frombuffer(ids, width(n)))
                 seqs += own
                 first += [True] + [False] * (len(own) - 1)
                 tokens += sum(map(len, own))
                 if tokens >= BATCH_TOKENS:
-                    expected(model, seqs, np.array(first), into)
+                    loglik += expected(model, seqs, np.array(first), into)
                     seqs, first, tokens = [], [], 0
         if seqs:
-            expected(model, seqs, np.array(first), into)
-        table = np.rint(np.concatenate([into[2], into[1], into[0][None]]) * FIXED).astype(np.int64)
+            loglik += expected(model, seqs, np.array(first), into)
+        last = np.zeros(k)
+        last[0] = loglik
+        table = np.rint(np.concatenate([into[2], into[1], into[0][None], last[None]]) * FIXED).astype(np.int64)
         rows = np.flatnonzero(table.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(rows)] + [pa.array(np.ascontiguousarray(table[rows, s])) for s in range(k)], ["row"] + [f"s{s}" for s in range(k)])
 
     return run
 
 
-def start(texts: list[bytes], classes: Classes, share: np.ndarray, states: int, rounds: int) -> Model:
-    """A model fitted to a sample, from states that differ by a fixed seed."""
-    draw = np.random.default_rng(17)
-    model = Model.of_counts(np.zeros(states), np.eye(states) * 50, 10 * share[:, None] * draw.gamma(2.0, 0.5, (classes.n, states)) * len(texts), share)
-    seqs = [segments(classes.ids(words_of(x))) for x in texts]
-    first = np.array([i == 0 for own in seqs for i in range(len(own))])
-    flat = [x for own in seqs for x in own]
-    for _ in range(rounds if flat else 0):
-        into = np.zeros(states), np.zeros((states, states)), np.zeros((classes.n, states))
-        expected(model, flat, first, into)
-        model = Model.of_counts(*into, share)
-    return model
-
-
-SCORED = "rid long, n_tokens long, known long, base double, model double, rare array<binary>"
+def trained(train: DataFrame, share: np.ndarray, states: int, most: int = MOST, settled: float = SETTLED) -> tuple[Model, list[float]]:
+    """A model of all training texts, and the log-likelihood of each round. train: ids, the classes of each text's tokens."""
+    model, curve, n = Model.first(share, states), [], len(share)
+    columns = [f"s{s}" for s in range(states)]
+    schema = "row long, " + ", ".join(f"{c} long" for c in columns)
+    while len(curve) < most:
+        got = train.select("ids").mapInArrow(expected_in(model), schema).groupBy("row").agg(*(F.sum(c).alias(c) for c in columns)).collect()
+        table = np.zeros((n + states + 2, states))
+        for r in got:  # a row for each class and state
+            table[r[0]] = r[1:]
+        table /= FIXED
+        model = Model.of_counts(table[-2], table[n:-2], table[:n], share)
+        curve.append(table[-1, 0])
+        if len(curve) > 1 and curve[-1] - curve[-2] < settled * abs(curve[-2]):
+            break
+    return model, curve
 
 
-def scored_by(model: Model, classes: Classes, log_of: dict[bytes, float], within: np.ndarray, log_all: float, end_log: float):
+def scored_by(model: Model, within: np.ndarray, log_all: float, end_log: float):
     """Scores but for the rare words' log10(c + 1), which is due in base and model alike. within: of each class, log10 of
-    what its words' c + 1 are divided by; log_all: the same for base; log_of: log10(c + 1) of the words looked up."""
-
-    def finish(rows: list[tuple], seqs: list[np.ndarray], schema: pa.Schema, keys: list[pa.Array]) -> pa.RecordBatch:
-        scores = log_likelihoods(model, seqs)
-        n = np.fromiter(map(len, seqs), np.int64, len(seqs))
-        found = np.array([r[1] for r in rows])
-        own = np.array([r[2] for r in rows])
-        inner = np.array([within[s].sum() for s in seqs])
-        made = [pa.array([r[0] for r in rows], pa.int64()), pa.array(n), pa.array([r[3] for r in rows], pa.int64()), pa.array(found + end_log - n * log_all), pa.array(scores + own - inner), pa.array([r[4] for r in rows], pa.list_(pa.binary()))]
-        names = ["rid", "n_tokens", "known", "base", "model", "rare"]
-        return pa.RecordBatch.from_arrays([pa.concat_arrays(keys)] + made, ["_key"] + names)
+    what its words' c + 1 are divided by; log_all: the same for base."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rid = TaskContext.get().partitionId() << 40
-        rows, seqs, keys, tokens = [], [], [], 0
-        get, n_own = log_of.get, classes.n_own
         for batch in batches:
-            begun = 0
-            for i, text in enumerate(texts_in(batch)):
-                ws = words_of(text)
-                logs = list(map(get, ws))
-                rare = [w for w, x in zip(ws, logs) if x is None] if None in logs else []
-                ids = classes.ids(ws)
-                common = sum(x for x in logs if x is not None) if rare else sum(logs)
-                own = sum(x for x, c in zip(logs, ids.tolist()) if c >= n_own and x is not None)
-                rows.append((rid, common, own, len(ws) - len(rare) + (end_log > 0), rare))
-                rid += 1
-                seqs.append(ids)
-                tokens += len(ids)
-                if tokens >= 4 * BATCH_TOKENS:
-                    keys.append(batch.column(0).slice(begun, i + 1 - begun))
-                    yield finish(rows, seqs, batch.schema, keys)
-                    rows, seqs, keys, tokens, begun = [], [], [], 0, i + 1
-            if begun < batch.num_rows:
-                keys.append(batch.column(0).slice(begun))
-        if rows:
-            yield finish(rows, seqs, None, keys)
+            begun, size = 0, 0
+            lengths = batch.column("n_tokens").to_numpy()
+            for i, n in enumerate(lengths.tolist()):
+                size += n
+                if size >= 4 * BATCH_TOKENS or i + 1 == batch.num_rows:
+                    part = batch.slice(begun, i + 1 - begun)
+                    seqs = [np.frombuffer(x, width(len(within))) for x in texts_in(part, "ids")]
+                    inner = np.array([within[s].sum() for s in seqs])
+                    own, base = part.column("own").to_numpy(), part.column("base").to_numpy()
+                    made = [pa.array(base + end_log - lengths[begun : i + 1] * log_all), pa.array(log_likelihoods(model, seqs) + own - inner)]
+                    names = ["_key", "rid", "n_tokens", "known"]
+                    yield pa.RecordBatch.from_arrays([part.column(c) for c in names] + made, [*names, "base", "model"])
+                    begun, size = i + 1, 0
 
     return run
 
 
-def lm_score(docs: DataFrame, training: Column, text: str = "text", key: str = "doc_id", states: int = STATES, own_classes: int = OWN_CLASSES, rounds: int = ROUNDS, looked_up: int = LOOKED_UP) -> DataFrame:
+def lm_score(docs: DataFrame, training: Column, text: str = "text", key: str = "doc_id", states: int = STATES, own_classes: int = OWN_CLASSES, most: int = MOST, looked_up: int = LOOKED_UP) -> DataFrame:
     """key, n_tokens, n_known, train_tokens, base_score and score of every row; it learns from the rows where training holds."""
-    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"), training.alias("_train"))
-    train = rows.where("_train").select("_key", "_text")
+    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.coalesce(training, F.lit(False)).alias("_train"))
+    train = rows.where("_train")
     counts = staged(train.select("_text").mapInArrow(counted, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), "word-counts")
     n_docs = train.count()
     n_words, n_types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     n_all, v_all = n_words + n_docs, n_types + (n_docs > 0)
-    top = counts.orderBy(F.desc("c"), "word").limit(looked_up).toArrow()
+    top = counts.where(F.octet_length("word") <= LONGEST).orderBy(F.desc("c"), "word").limit(looked_up).toArrow()
     by_count = sorted(zip((-x for x in top["c"].to_pylist()), top["word"].to_pylist()))
     classes = Classes([w for _, w in by_count[:own_classes]])
     log_of = {w: math.log10(1 - c) for c, w in by_count}
@@ -295,24 +328,15 @@ def lm_score(docs: DataFrame, training: Column, text: str = "text", key: str = "
     within[classes.end] = 0.0
     share = (size + 1) / (size.sum() + classes.n)
 
-    ids = [r[0] for r in train.where(f"_key IS NOT NULL AND length(_text) <= {SAMPLE_CHARS}").select("_key").orderBy(F.xxhash64(F.col("_key")), "_key").limit(SAMPLE).collect()]
-    picked = train.where(F.col("_key").isin(ids)).orderBy(F.xxhash64(F.col("_key")), "_key", "_text").limit(SAMPLE).collect() if ids else []
-    model = start([r["_text"].encode() for r in picked], classes, share, states, SAMPLE_ROUNDS)
-    columns = [f"s{s}" for s in range(states)]
-    for _ in range(rounds):
-        got = train.select("_text").mapInArrow(expected_in(model, classes), "row long, " + ", ".join(f"{c} long" for c in columns)).groupBy("row").agg(*(F.sum(c).alias(c) for c in columns)).collect()
-        table = np.zeros((classes.n + states + 1, states))
-        for r in got:
-            table[r[0]] = r[1:]
-        table /= FIXED
-        model = Model.of_counts(table[-1], table[classes.n : -1], table[: classes.n], share)
+    kind = rows.schema["_key"].dataType.simpleString()
+    tokens = staged(rows.mapInArrow(tokenised(classes, log_of, n_docs > 0), f"_key {kind}, _train boolean, {TOKENS}"), "tokens")
+    model, _ = trained(tokens.where("_train"), share, states, most)
 
     log_all, end_log = math.log10(n_all + v_all + 1), math.log10(n_docs + 1)
-    kind = rows.schema["_key"].dataType.simpleString()
-    scored = staged(rows.select("_key", "_text").mapInArrow(scored_by(model, classes, log_of, within, log_all, end_log), f"_key {kind}, {SCORED}"), "scored")
+    scored = tokens.select("_key", "rid", "n_tokens", "known", "base", "own", "ids").mapInArrow(scored_by(model, within, log_all, end_log if n_docs else 0.0), f"_key {kind}, rid long, n_tokens long, known long, base double, model double")
     # log10(c + 1) in fixed point, so that sums don't depend on their order.
-    rare = scored.select("rid", F.explode("rare").alias("word")).join(counts, "word", "left")
+    rare = tokens.select("rid", F.explode("rare").alias("word")).join(counts, "word", "left")
     due = rare.groupBy("rid").agg(F.sum(F.round(F.log10(F.coalesce("c", F.lit(0)) + 1) * 1e12).cast("long")).alias("due"), F.count("c").alias("more"))
-    out = scored.drop("rare").join(due, "rid", "left")
+    out = scored.join(due, "rid", "left")
     extra = F.coalesce(F.col("due") / 1e12, F.lit(0.0))
     return out.select(F.col("_key").alias(key), "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"), (F.col("base") + extra).alias("base_score"), (F.col("model") + extra).alias("score"))
