@@ -2,8 +2,9 @@
 
 A text is cut into chunks that overlap. Each chunk is pre-tokenised alone, from its first character, which may lie within
 a pre-token. Matching goes only forward, so from the first position at which two neighbouring chunks both begin a
-pre-token their pre-tokens agree: there the chunks are stitched. Then the pieces are encoded, and decoding concatenates
-the bytes of the ids.
+pre-token their pre-tokens agree: there the chunks are stitched. Then the pieces are encoded, by joining neighbours of the
+least rank, and decoding concatenates the bytes of the ids. Chunks are a few thousand characters long, so that any text of
+some pages has several; those of very long texts are dealt out to many tasks.
 
 Defined cases: a null text counts as empty; an empty text has no ids and decodes to no bytes; a text whose chunks never
 agree within the overlap (such as one long run of letters) is pre-tokenised on from the last sure boundary; repeated rows
@@ -15,6 +16,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Callable, Iterator
+from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
 import regex
@@ -28,7 +30,7 @@ ship(__name__)
 
 #: Characters of a chunk that are its own, and by which it reaches into the next; characters of a chunk that is dealt out,
 #: and of a text from which its chunks are.
-CHUNK, OVERLAP, PART, LONG = 1 << 16, 1 << 10, 1 << 20, 1 << 22
+CHUNK, OVERLAP, PART, LONG = 1 << 12, 1 << 9, 1 << 20, 1 << 22
 #: Distinct pieces whose ids a worker remembers.
 CACHE = 200_000
 
@@ -74,15 +76,46 @@ def cut(text: str, at: list[int]) -> list[str]:
     return [text[a:b] for a, b in zip(at, at[1:])]
 
 
+def merged(piece: bytes, ranks: dict[bytes, int], longest: int) -> list[int]:
+    """The ids of a pre-token. Of all neighbours that together are a token, those of the least rank are joined first, the
+    leftmost of equal ones; longest: the bytes of the longest token."""
+    if piece in ranks:
+        return [ranks[piece]]
+    n = len(piece)
+    end = list(range(1, n + 1))  # of the part that begins at each place, 0 where none begins any more
+    before = list(range(-1, n - 1))  # where the part before begins
+    heap = [(rank, i, i + 2) for i in range(n - 1) if (rank := ranks.get(piece[i : i + 2])) is not None]
+    heapify(heap)
+
+    def offer(i: int, stop: int) -> None:
+        if stop - i <= longest and (rank := ranks.get(piece[i:stop])) is not None:
+            heappush(heap, (rank, i, stop))
+
+    while heap:
+        _, i, stop = heappop(heap)
+        j = end[i]
+        if not j or j == n or end[j] != stop:
+            continue  # one of the two has been joined with another
+        end[i], end[j] = stop, 0
+        if before[i] >= 0:
+            offer(before[i], stop)
+        if stop < n:
+            before[stop] = i
+            offer(i, end[stop])
+    out, i = [], 0
+    while i < n:
+        out.append(ranks[piece[i : end[i]]])
+        i = end[i]
+    return out
+
+
 class Codec:
     """Encodes pieces by ranks, and ids back to bytes."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        import tiktoken
-
-        self.pattern = regex.compile(pattern)
+        self.pattern, self.ranks = regex.compile(pattern), ranks
         self.bytes_of = {v: k for k, v in ranks.items()}
-        self.bpe = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.longest = max(map(len, ranks), default=0)
         self.known: dict[str, bytes] = {}
 
     def encode(self, pieces: list[str]) -> bytes:
@@ -91,7 +124,7 @@ class Codec:
         for piece in pieces:
             ids = known.get(piece)
             if ids is None:
-                ids = b"".join(i.to_bytes(4, "little") for i in self.bpe.encode_ordinary(piece))
+                ids = b"".join(i.to_bytes(4, "little") for i in merged(piece.encode(), self.ranks, self.longest))
                 if len(piece) < 64:
                     if len(known) >= CACHE:
                         known.clear()
