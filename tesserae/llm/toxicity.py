@@ -7,7 +7,9 @@ that go with the label most clearly, up to a fixed number.
 
 Defined cases: a null or empty text has no words and gets the score of the intercept; a null label or id teaches nothing; a
 document with several labels is toxic if any is 1; without labelled rows, or with one label only, every score is the share
-of toxic rows with one of each kind added; repeated rows are learnt from and scored one by one; other columns are left out.
+of toxic rows with one of each kind added; rows that are alike in id and text teach once and are scored one by one; rows of
+one id with other texts are rows of their own; of more labelled rows than the sample takes, those with the least hashes of
+the id enter, then of the text; an empty table gives an empty result; other columns are left out.
 """
 
 from __future__ import annotations
@@ -59,7 +61,8 @@ def swapped(words: set[str]) -> set[str]:
 def seen_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         words = [sorted(words_of(x.as_py())) for x in batch.column("_text")]
-        yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(words, pa.list_(pa.string()))], ["toxic", "words"])
+        names = ["_key", "_mark", "toxic"]
+        yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + [pa.array(words, pa.list_(pa.string()))], [*names, "words"])
 
 
 class Classifier:
@@ -73,29 +76,42 @@ class Classifier:
         return 1 / (1 + math.exp(-z)) if z > -700 else 0.0
 
 
-def fitted(words: list[str], rows: list[list[str]], toxic: np.ndarray, penalty: float = PENALTY) -> Classifier:
-    """By Adam over all rows: mean logistic loss, ridge, and penalty times the mean squared change under the swaps."""
-    at = {w: i for i, w in enumerate(words)}
-    n = len(rows)
+class Loss:
+    """Mean logistic loss, ridge, and penalty times the mean squared change of the logit under the swaps."""
+
+    def __init__(self, words: list[str], rows: list[list[str]], toxic: np.ndarray, penalty: float):
+        self.at, self.toxic, self.penalty, self.n = {w: i for i, w in enumerate(words)}, toxic, penalty, len(rows)
+        naming = [set(own) for own in rows if any(w in SWAP for w in own)]
+        self.n_naming, self.held = len(naming), self.sparse(rows)
+        self.minus, self.plus = self.sparse(naming), self.sparse([swapped(own) for own in naming])
 
-    def sparse(sets) -> tuple[np.ndarray, np.ndarray]:
-        pairs = [(r, at[w]) for r, own in enumerate(sets) for w in own if w in at]
+    def sparse(self, sets) -> tuple[np.ndarray, np.ndarray]:
+        """Row and word of each word that is known."""
+        pairs = [(r, self.at[w]) for r, own in enumerate(sets) for w in own if w in self.at]
         return (np.array([p[0] for p in pairs], np.int64), np.array([p[1] for p in pairs], np.int64))
 
-    r, f = sparse(rows)
-    naming = [set(own) for own in rows if any(w in SWAP for w in own)]
-    minus, plus = sparse(naming), sparse([swapped(own) for own in naming])
-    w, b = np.zeros(len(words)), math.log((toxic.sum() + 1) / (n - toxic.sum() + 1))
+    def of(self, w: np.ndarray, b: float) -> tuple[float, np.ndarray]:
+        """The loss and its gradient, the intercept's last."""
+        k, (r, f) = len(w), self.held
+        z = np.clip(b + np.bincount(r, w[f], self.n), -500, 500)
+        loss = np.logaddexp(0, z).mean() - (z * self.toxic).mean() + RIDGE / 2 * (w @ w)
+        off = (1 / (1 + np.exp(-z)) - self.toxic) / self.n
+        grad = np.bincount(f, off[r], k) + RIDGE * w
+        if self.n_naming:
+            change = np.bincount(self.plus[0], w[self.plus[1]], self.n_naming) - np.bincount(self.minus[0], w[self.minus[1]], self.n_naming)
+            loss += self.penalty * (change @ change) / self.n_naming
+            change *= 2 * self.penalty / self.n_naming
+            grad += np.bincount(self.plus[1], change[self.plus[0]], k) - np.bincount(self.minus[1], change[self.minus[0]], k)
+        return loss, np.append(grad, off.sum())
+
+
+def fitted(words: list[str], rows: list[list[str]], toxic: np.ndarray, penalty: float = PENALTY) -> Classifier:
+    """By Adam over all rows."""
+    loss = Loss(words, rows, toxic, penalty)
+    w, b = np.zeros(len(words)), math.log((toxic.sum() + 1) / (len(rows) - toxic.sum() + 1))
     m, v = np.zeros(len(words) + 1), np.zeros(len(words) + 1)
     for step in range(1, ROUNDS + 1):
-        z = b + np.bincount(r, w[f], n)
-        off = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - toxic) / n
-        grad = np.bincount(f, off[r], len(words)) + RIDGE * w
-        if naming:
-            change = np.bincount(plus[0], w[plus[1]], len(naming)) - np.bincount(minus[0], w[minus[1]], len(naming))
-            change *= 2 * penalty / len(naming)
-            grad += np.bincount(plus[1], change[plus[0]], len(words)) - np.bincount(minus[1], change[minus[0]], len(words))
-        g = np.append(grad, off.sum())
+        _, g = loss.of(w, b)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]
@@ -103,11 +119,17 @@ def fitted(words: list[str], rows: list[list[str]], toxic: np.ndarray, penalty:
 
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", sample: int = SAMPLE, penalty: float = PENALTY) -> Classifier:
-    """labels: key and toxic. Only the sample's rows are read with their texts, and no more than sample ids are broadcast."""
+    """labels: key and toxic. Only the sample's rows are read with their words; no more than sample ids, and no more than sample
+    pairs of an id and a text's hash, are broadcast, and no more than sample rows reach the driver."""
     known = labels.where(f"`{key}` IS NOT NULL AND toxic IS NOT NULL").groupBy(key).agg(F.max("toxic").cast("int").alias("toxic"))
     ids = known.orderBy(F.xxhash64(F.col(key)), key).limit(sample)
-    rows = docs.select(F.col(key), F.col(text).alias("_text")).join(F.broadcast(ids), key).select("_text", "toxic")
-    rows = staged(rows.mapInArrow(seen_words, "toxic int, words array<string>"), "labelled")
+    all_rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.xxhash64(text).alias("_mark"))
+    marked = all_rows.select("_key", "_mark").join(F.broadcast(ids.withColumnRenamed(key, "_key")), "_key").distinct()
+    picked = staged(marked.orderBy(F.xxhash64("_key"), "_key", "_mark").limit(sample), "picked")
+    rows = all_rows.join(F.broadcast(picked), ["_key", "_mark"]).select("_key", "_mark", "_text", "toxic")
+    kind = rows.schema["_key"].dataType.simpleString()
+    words = rows.mapInArrow(seen_words, f"_key {kind}, _mark long, toxic int, words array<string>")
+    rows = staged(words.dropDuplicates(["_key", "_mark"]).select("toxic", "words"), "labelled")
     n, n_toxic = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not 0 < n_toxic < n:
         return Classifier([], np.zeros(0), math.log((n_toxic + 1) / (n - n_toxic + 1)))
