@@ -4,10 +4,13 @@ For each host and line, the pages of the host that hold the line are divided by
 above the limit are boilerplate, and are dropped from every page of that host. Lines are compared without the white space at
 their ends, and by 128 bits of hash, so that no line's text is shuffled.
 
-Defined cases: a null text stays null and has no lines; lines without a word are neither counted nor dropped; a host with
-fewer pages than min_pages loses no line, for its shares mean little; a null host is a host of its own; rows are pages,
-repeated rows and ids are pages of their own; a page that loses all its lines keeps an empty text; further columns stay as
-they are.
+A line on a single page of its host repeats nothing, so it isn't boilerplate however few pages the host has (min_hits); a
+floor for the pages of a host (min_pages) is there for those who want one, and is none by default.
+
+Defined cases: a null text stays null and has no lines; lines without a word are neither counted nor dropped; a null host is
+a host of its own; rows are pages, repeated rows and ids are pages of their own; a page that loses all its lines keeps an
+empty text; every other text is its lines that stay, put together again, whether one was dropped or none; an empty table
+gives an empty result; further columns stay as they are, whatever their names, but n_lines and n_dropped are replaced.
 """
 
 from __future__ import annotations
@@ -17,8 +20,8 @@ from pyspark.sql import functions as F
 
 from tesserae.llm.common import SPACE, staged
 
-#: A line on more than so many percent of a host's pages is boilerplate, if the host has so many pages at least.
-PERCENT, MIN_PAGES = 30, 10
+#: A line on more than so many percent of a host's pages is boilerplate, and on so many of them at least.
+PERCENT, MIN_HITS = 30, 2
 
 
 def mark(line: Column) -> Column:
@@ -27,29 +30,30 @@ def mark(line: Column) -> Column:
     return F.when(core != "", F.struct(F.xxhash64(core).alias("a"), F.xxhash64(F.lit("line"), core).alias("b")))
 
 
-def boilerplate(pages: DataFrame, host: Column, lines: Column, percent: int = PERCENT, min_pages: int = MIN_PAGES) -> DataFrame:
-    """host, marks: the marks of each host's lines above the limit. Fewer than lines per page over the share for a host."""
-    found = pages.select(host.alias("host"), lines.alias("_lines"))
-    totals = found.groupBy("host").agg(F.count("*").alias("_pages")).where(F.col("_pages") >= min_pages)
-    own = F.array_distinct(F.filter(F.transform("_lines", mark), lambda x: x.isNotNull()))
-    counted = found.select("host", F.explode(own).alias("m")).groupBy("host", "m").agg(F.count("*").alias("_n")).where("_n > 1")
-    common = counted.join(totals, counted["host"].eqNullSafe(totals["host"])).drop(totals["host"]).where(100 * F.col("_n") > percent * F.col("_pages"))
+def boilerplate(pages: DataFrame, percent: int = PERCENT, min_hits: int = MIN_HITS, min_pages: int = 1) -> DataFrame:
+    """host, marks: the marks of each host's lines above the limit, fewer than lines per page over the share for a host.
+    pages: host, lines."""
+    totals = pages.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
+    own = F.array_distinct(F.filter(F.transform("lines", mark), lambda x: x.isNotNull()))
+    counted = pages.select("host", F.explode(own).alias("m")).groupBy("host", "m").agg(F.count("*").alias("n")).where(F.col("n") >= min_hits)
+    common = counted.join(totals, counted["host"].eqNullSafe(totals["host"])).drop(totals["host"]).where(100 * F.col("n") > percent * F.col("pages"))
     return common.groupBy("host").agg(F.sort_array(F.collect_list("m")).alias("marks"))
 
 
-def line_dedup(pages: DataFrame, host: Column, text: str = "text", break_at: str = "\n", glue: str = "\n", percent: int = PERCENT, min_pages: int = MIN_PAGES) -> DataFrame:
+def line_dedup(pages: DataFrame, host: Column, text: str = "text", break_at: str = "\n", glue: str = "\n", percent: int = PERCENT, min_hits: int = MIN_HITS, min_pages: int = 1) -> DataFrame:
     """pages with the boilerplate lines out of text, and n_lines, n_dropped.
 
     break_at: the pattern at which a text is cut into lines; glue: what they are put together with again.
     """
-    lines = F.split(F.col(text), break_at)
-    known = staged(boilerplate(pages, host, lines, percent, min_pages), "boilerplate")
-    known = known.select(F.col("host").alias("_host"), F.col("marks").alias("_marks"))
-    out = pages.withColumn("_own_host", host)
+    # The row goes along in one column, so that no name of its own can clash.
+    packed = pages.select(F.struct("*").alias("row"), host.alias("host"), F.split(F.col(text), break_at).alias("lines"))
+    known = staged(boilerplate(packed.select("host", "lines"), percent, min_hits, min_pages), "boilerplate").withColumnRenamed("host", "of")
     # The table of boilerplate is written, so its true size decides: a small one is broadcast, for a large one both sides
     # are dealt by host, and hosts with very many pages are split at run time.
-    out = out.join(known, out["_own_host"].eqNullSafe(known["_host"]), "left").withColumn("_all", lines)
-    left = F.when(F.col("_marks").isNull(), F.col("_all")).otherwise(F.filter("_all", lambda x: ~F.coalesce(F.array_contains("_marks", mark(x)), F.lit(False))))
-    out = out.withColumn("_left", left)
-    out = out.withColumns({text: F.when(F.size("_left") == F.size("_all"), F.col(text)).otherwise(F.array_join("_left", glue)), "n_lines": F.when(F.col(text).isNull(), 0).otherwise(F.size("_all")).cast("long"), "n_dropped": F.when(F.col(text).isNull(), 0).otherwise(F.size("_all") - F.size("_left")).cast("long")})
-    return out.drop("_own_host", "_host", "_marks", "_all", "_left")
+    met = packed.join(known, packed["host"].eqNullSafe(known["of"]), "left")
+    left = F.filter("lines", lambda x: ~F.coalesce(F.array_contains("marks", mark(x)), F.lit(False)))
+    met = met.withColumn("left", F.when(F.col("marks").isNull(), F.col("lines")).otherwise(left))
+    n, n_left = (F.coalesce(F.size(c), F.lit(0)).cast("long") for c in ("lines", "left"))
+    body = F.when(F.col("lines").isNotNull(), F.array_join("left", glue))
+    made = [body.alias(c) if c == text else F.col("row")[c].alias(c) for c in pages.columns if c not in ("n_lines", "n_dropped")]
+    return met.select(*made, n.alias("n_lines"), (n - n_left).alias("n_dropped"))

@@ -1,12 +1,13 @@
 """Mixing sources to target weights.
 
-Every document has a key by hash, which is as good as random. Within each source documents stand in the order of their
+Every document has a key by hash of its id and text, which is as good as random. Within each source documents stand in the order of their
 keys; prefix sums of their token counts, in two levels (key ranges, then the rows of a range), tell which of them lie below
 the source's budget. A budget over the source's size repeats whole epochs first; the last epoch is cut at the exact token.
 
 Defined cases: a null text has size 0; a null source is a source of its own, the last; an empty table gives an empty
 result; rows that are alike in key, id and size stand in any order, which changes no result; a source without tokens has
-target 0; ties of keys are broken by the id, then by the size.
+target 0; ties of keys are broken by the id, then by the size; ids may repeat or be null, as the text tells their rows apart;
+a frame without the text's column is drawn by id alone, if the size is given; other columns are left out.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import staged, unstage
+from tesserae.llm.common import staged
 
 WEIGHTS, MAX_EPOCHS = (5, 2, 1), 3
 #: Rows that a key range should hold.
@@ -50,7 +51,8 @@ def targets(sources: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) -
 def mix(docs: DataFrame, size: Column | None = None, source: str = "source", key: str = "doc_id", text: str = "text", weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = "mix") -> DataFrame:
     """Every row's key, size, source_size, target and taken; taken: the tokens of it that the mix takes."""
     size = n_words(F.col(text)) if size is None else size
-    drawn = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit(""))))
+    body = F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")) if text in docs.columns else F.lit("")
+    drawn = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(":"), body).cast("binary"))
     rows = staged(docs.select(F.col(key).alias("_key"), F.col(source).alias("source"), size.alias("size"), drawn.alias("draw")), "sizes")
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     goals = targets(sources, weights, max_epochs)
@@ -66,7 +68,6 @@ def mix(docs: DataFrame, size: Column | None = None, source: str = "source", key
     placed = rows.withColumn("_range", F.substring("draw", 1, digits)).withColumn("_in", F.coalesce(F.sum("size").over(within), F.lit(0)))
     joined = placed.join(ranges, placed["source"].eqNullSafe(ranges["source"]) & (placed["_range"] == ranges["_range"]), "left")
     budget = F.floor("target")
-    epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
     epochs = F.when(F.col("source_size") > 0, F.expr("CAST(floor(target) AS BIGINT) DIV source_size")).otherwise(F.lit(0).cast("long"))
     rest = budget - epochs * F.col("source_size") - F.col("_before") - F.col("_in")
     part = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), rest))

@@ -86,6 +86,19 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+OP6_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS g FROM w),
+n AS (SELECT doc_id, len(g)::BIGINT AS n FROM s),
+u AS (SELECT doc_id, unnest(g) AS g FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM u a JOIN u b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 85 * (x.n + y.n - shared)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS node, doc_id AS reached FROM n UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.reached)
+SELECT n.doc_id, n.n AS n_shingles, min(r.reached) AS component_id FROM n JOIN r ON r.node = n.doc_id GROUP BY 1, 2
+"""
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tesserae.llm.toxicity import held_out, toxicity, train
 
@@ -101,6 +114,17 @@ def op8_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "embeddings"))
 
 
+OP8_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+g AS (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS norm FROM v WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b ON a.vec_id <> b.vec_id AND list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.9),
+r AS (SELECT vec_id AS node, vec_id AS reached FROM v UNION SELECT r.node, l.b FROM r JOIN l ON l.a = r.reached),
+c AS (SELECT node, min(reached) AS component_id FROM r GROUP BY 1),
+k AS (SELECT a, count(*) AS n FROM l GROUP BY 1)
+SELECT vec_id, coalesce(k.n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN c ON node = vec_id LEFT JOIN k ON a = vec_id
+"""
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tesserae.llm.mixing import mix
 
@@ -108,7 +132,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP9_SQL = r"""
-WITH RECURSIVE r AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5('mix:' || coalesce(doc_id::VARCHAR, '')) AS draw FROM documents),
+WITH RECURSIVE r AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5('mix:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS draw FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, 3 * sum(size)::BIGINT AS full_at, [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::BIGINT] AS w FROM r GROUP BY source),
 lv AS (
   SELECT 0 AS i, (SELECT sum(source_size)::DOUBLE FROM s) / (SELECT sum(w) FROM s) AS level
@@ -137,10 +161,10 @@ l AS (SELECT rid, host, unnest(lines) AS line, generate_subscripts(lines, 1) AS
 m AS (SELECT *, regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS core FROM l),
 c AS (SELECT host, core, count(DISTINCT rid) AS n FROM m WHERE core <> '' GROUP BY 1, 2),
 t AS (SELECT host, count(*) AS pages FROM p GROUP BY 1),
-b AS (SELECT host, core FROM c JOIN t USING (host) WHERE pages >= 10 AND n > 1 AND 100 * n > 30 * pages),
+b AS (SELECT host, core FROM c JOIN t USING (host) WHERE n > 1 AND 100 * n > 30 * pages),
 k AS (SELECT m.rid, count(*) AS n_lines, count(b.core) AS n_dropped, string_agg(line, chr(10) ORDER BY i) FILTER (WHERE b.core IS NULL) AS kept FROM m LEFT JOIN b USING (host, core) GROUP BY 1)
 SELECT page_id, host, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_dropped, 0)::BIGINT AS n_dropped,
-  CASE WHEN html IS NULL THEN NULL WHEN n_dropped = 0 THEN html ELSE coalesce(kept, '') END AS text FROM p LEFT JOIN k USING (rid)
+  CASE WHEN html IS NOT NULL THEN coalesce(kept, '') END AS text FROM p LEFT JOIN k USING (rid)
 """
 
 
@@ -150,4 +174,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_reputation": OP4_SQL, "op9_mixing": OP9_SQL, "op10_line_dedup": OP10_SQL}
+    return {"op4_url_reputation": OP4_SQL, "op6_ngram_jaccard": OP6_SQL, "op8_nn_descent": OP8_SQL, "op9_mixing": OP9_SQL, "op10_line_dedup": OP10_SQL}
