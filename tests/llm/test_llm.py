@@ -47,29 +47,44 @@ def base(text):
     return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(covered)
 
 
-def bucket(*words):
+def chained(*words):
     h = 42
     for w in words:
         h = xxhash.xxh64_intdigest(w.encode(), h)
-    return (h - (h >> 63 << 64)) % quality.BUCKETS
+    return h - (h >> 63 << 64)
+
+
+def bucket(*words):
+    return chained(*words) % quality.BUCKETS
+
+
+def fold(key):
+    return chained("fold", "null" if key is None else f"id {key}") % quality.FOLDS
 
 
 def test_quality(spark, corpus):
     rows = [*corpus, (100, "x y z x y z q x y z", "s"), (101, "a a a a", "s"), (102, "l1 #\nl1 #\n\n\nl2 é|\n", "s")]
     trusted = spark.createDataFrame([(i,) for i in range(0, 60, 2)] + [(None,), (2,)], "doc_id long")
     got = quality.quality_rules(docs(spark, rows), trusted).collect()
-    raw, target = collections.Counter(), collections.Counter()
+    raw, target = (collections.defaultdict(collections.Counter) for _ in range(2))
     grams = lambda t: (lambda w: [bucket(x) for x in w] + [bucket(a, b) for a, b in zip(w, w[1:])])(WORD.findall(t or ""))
-    for i, t, _ in rows:
-        raw.update(grams(t))
-        if i is not None and i < 60 and i % 2 == 0:
-            target.update(grams(t))
-    n, m, size = sum(raw.values()), sum(target.values()), quality.BUCKETS
-    ratio = lambda b: math.log((target[b] + 1) / (m + size) * (n + size) / (raw[b] + 1))
+    for f in range(quality.FOLDS):
+        for i, t, _ in rows:
+            if fold(i) != f:
+                raw[f].update(grams(t))
+                if i is not None and i < 60 and i % 2 == 0:
+                    target[f].update(grams(t))
+
+    def ratio(f, b):
+        n, m, size, prior = sum(raw[f].values()), sum(target[f].values()), quality.BUCKETS, quality.PRIOR * quality.BUCKETS
+        share = (raw[f][b] + 1) / (n + size)
+        return math.log((target[f][b] + prior * share) / (m + prior) / share)
+
     want = []
     for i, t, _ in rows:
         b, g = base(t), grams(t)
-        llr = sum(map(ratio, g)) / len(g) if g else 0.0
+        table = {x: ratio(fold(i), x) for x in set(g)}
+        llr = sum(map(table.__getitem__, g)) / len(g) if g else 0.0
         failed = b[0] < 50 or 100 * b[4] > 50 * b[0]
         want.append((i, *b, failed, not failed and llr >= quality.THRESHOLD, round(llr, 9)))
     seen = [(r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed, r.kept, round(r.llr, 9)) for r in got]
@@ -417,13 +432,15 @@ def test_lines(spark, corpus):
     rows = [(i, t, s) for i, t, s in corpus]
     got = line_dedup.line_dedup(docs(spark, rows), F.col("source")).collect()
     strip = lambda x: x.strip(" \t\n\x0b\x0c\r")
+    floor = {r.doc_id: r.text for r in line_dedup.line_dedup(docs(spark, rows), F.col("source"), min_pages=10**6).collect()}
+    assert floor == {i: t for i, t, _ in rows}
     pages, seen = collections.Counter(s for _, _, s in rows), collections.Counter()
     for _, t, s in rows:
         seen.update({(s, strip(x)) for x in (t or "").split("\n") if strip(x)})
     want = []
     for i, t, s in rows:
         lines = [] if t is None else t.split("\n")
-        kept = [x for x in lines if not (strip(x) and pages[s] >= 10 and seen[s, strip(x)] > 1 and 100 * seen[s, strip(x)] > 30 * pages[s])]
+        kept = [x for x in lines if not (strip(x) and seen[s, strip(x)] > 1 and 100 * seen[s, strip(x)] > 30 * pages[s])]
         want.append((i, None if t is None else "\n".join(kept), len(lines), len(lines) - len(kept)))
     assert sorted(map(str, want)) == sorted(str((r.doc_id, r.text, r.n_lines, r.n_dropped)) for r in got)
     assert any(w[3] for w in want) and line_dedup.line_dedup(docs(spark, []), F.col("source")).count() == 0
