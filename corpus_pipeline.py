@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import staged
+from tesserae.llm.common import id_key, sieve, staged
 from tesserae.llm.jaccard import jaccard_groups
 from tesserae.llm.line_dedup import line_dedup
 from tesserae.llm.mixing import mix, n_words
@@ -39,43 +39,55 @@ def with_text(docs: DataFrame, text: Column) -> Column:
     return row.withField("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else row
 
 
-def id_key(name: str) -> Column:
-    """An id as text that is never null, so that joins and windows deal rows out by the same columns."""
-    return F.when(F.col(name).isNull(), "null").otherwise(F.concat(F.lit("id "), F.col(name).cast("string")))
-
-
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the quality rules keep; trusted are the documents labelled 1."""
+    """Rows that the quality rules keep; trusted are the documents labelled 1.
+
+    A null or empty text goes, as it has too few words; rows that are alike, or have the same id or none, are judged one by
+    one; an empty table stays empty.
+    """
     trusted = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").select("doc_id")
     ratios = log_ratios(docs.select("doc_id", "text"), trusted)
     # A condition that isn't deterministic to the optimizer stays above the measures; else each use of them below it would
     # be written out again, nested, into the filter.
-    judged = judge(packed(docs, "text"), ratios).withColumn("_here", F.monotonically_increasing_id() >= 0)
+    judged = judge(packed(docs, "text", "doc_id"), ratios).withColumn("_here", F.monotonically_increasing_id() >= 0)
     return judged.where("kept AND _here").select("_row.*")
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows, their texts without the lines that are boilerplate of their source."""
+    """All rows, their texts without the lines that are boilerplate of their source.
+
+    A null text stays null; a text that loses all its lines is empty; rows without a source are a source of their own; rows
+    that are alike count one by one; an empty table stays empty.
+    """
     out = line_dedup(packed(docs, "text", F.col("source").alias("_source")), F.col("_source"), percent=LINE_PERCENT)
     return out.select(with_text(docs, F.col("text")).alias("_row")).select("_row.*")
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the least id. Empty texts are groups of one."""
-    heads = jaccard_groups(docs.select("doc_id", "text"), n=SHINGLE, percent=NEAR_PERCENT).where("head").groupBy(id_key("doc_id").alias("_id"), F.col("mark").alias("_mark")).agg(F.count("*").alias("_heads"))
-    met = packed(docs, id_key("doc_id").alias("_id"), F.xxhash64("text").alias("_mark")).join(heads, ["_id", "_mark"])
-    # Rows may be alike in id and text: as many stay as are heads.
+    """Of each group of linked documents the one with the least id. Empty texts are groups of one.
+
+    Of rows that are alike in id and text one stays, if that is the group's; a null id counts as the largest.
+    """
+    marked = jaccard_groups(docs.select("doc_id", "text"), n=SHINGLE, percent=NEAR_PERCENT).select(id_key(F.col("doc_id")).alias("_id"), F.col("mark").alias("_mark"), "head")
+    # Rows may be alike in id and text: as many stay as are heads. Rows that may be none go to the join, all others stay.
+    heads = staged(marked.groupBy("_id", "_mark").agg(F.count_if("head").alias("_heads"), F.count("*").alias("_rows")).where("_heads < _rows").drop("_rows"), "heads")
+    met = sieve(packed(docs, id_key(F.col("doc_id")).alias("_id"), F.xxhash64("text").alias("_mark")), heads, ["_id", "_mark"])
     order = W.partitionBy("_id", "_mark").orderBy(F.xxhash64("_row"))
-    return met.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= F.col("_heads")).select("_row.*")
+    asked = met.where("_maybe").withColumn("_n", F.row_number().over(order)).join(heads.hint("merge"), ["_id", "_mark"], "left")
+    return asked.where("_heads IS NULL OR _n <= _heads").select("_row").union(met.where("NOT _maybe").select("_row")).select("_row.*")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it. The one at which a source's budget is cut ends with the last word taken."""
+    """Each document as often as the mix takes it. The one at which a source's budget is cut ends with the last word taken.
+
+    Texts without words are never taken; rows that are alike share what is taken of them; rows without a source are a
+    source of their own; an empty table stays empty.
+    """
     size = n_words(F.col("text"))
     taken = mix(docs.select("doc_id", "text", "source")).where("taken > 0")
     # Rows may be alike in id and size: they share what is taken of them.
-    shares = taken.groupBy(id_key("doc_id").alias("_id"), F.col("size").alias("_size")).agg(F.sort_array(F.collect_list("taken")).alias("_shares"))
-    met = packed(docs, id_key("doc_id").alias("_id"), size.alias("_size")).join(shares, ["_id", "_size"])
+    shares = taken.groupBy(id_key(F.col("doc_id")).alias("_id"), F.col("size").alias("_size")).agg(F.sort_array(F.collect_list("taken")).alias("_shares"))
+    met = packed(docs, id_key(F.col("doc_id")).alias("_id"), size.alias("_size")).join(shares, ["_id", "_size"])
     order = W.partitionBy("_id", "_size").orderBy(F.xxhash64("_row"))
     met = met.withColumn("_taken", F.get("_shares", F.row_number().over(order) - 1)).where("_taken IS NOT NULL").drop("_shares")
     copies = met.withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_taken") - 1) / F.col("_size")))))
@@ -87,7 +99,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, the hashes of ids and bytes, and the ids, of every row."""
+    """doc_id, n_tokens, the hashes of ids and bytes, and the ids, of every row; a null text counts as empty."""
     return encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=True)
 
 
