@@ -65,29 +65,25 @@ def fold_of(key: Column, folds: int) -> Column:
     return F.pmod(F.xxhash64(F.lit("fold"), id_key(key)), F.lit(folds)).cast("int")
 
 
-def counted(docs: DataFrame, text: str, key: str, n: int, folds: int) -> DataFrame:
-    """fold, b, c: how often each bucket occurs in the documents of each fold. Counted before anything is shuffled."""
-    grams = docs.select(fold_of(F.col(key), folds).alias("fold"), words(F.col(text)).alias("w")).select("fold", F.explode(buckets(F.col("w"), n)).alias("b"))
-    return grams.groupBy("fold", "b").agg(F.count("*").alias("c"))
-
-
 def log_ratios(docs: DataFrame, trusted: DataFrame, text: str = "text", key: str = "doc_id", n: int = BUCKETS, folds: int = FOLDS) -> DataFrame:
     """fold, ratios: ln(p_target / p_raw) of each bucket by the counts of all other folds, a row for each fold.
 
     trusted: a frame with the ids of the target's documents. Texts are shuffled only to learn which of them are trusted, and
-    a sieve keeps most of the others out.
+    a sieve keeps most of the others out. Every text is cut into n-grams once, which are counted before they are shuffled.
     """
-    ids = staged(trusted.select(F.col(trusted.columns[0]).alias("id")).where("id IS NOT NULL").distinct(), "trusted")
-    bare = sieve(docs.select(F.col(key).alias("id"), F.col(text).alias("text")), ids, ["id"]).where("_maybe").drop("_maybe")
+    ids = staged(trusted.select(F.col(trusted.columns[0]).alias("id")).where("id IS NOT NULL").distinct().withColumn("trusted", F.lit(True)), "trusted")
+    bare = sieve(docs.select(F.col(key).alias("id"), F.col(text).alias("text")), ids, ["id"])
     # Both sides grow with the corpus, so neither is broadcast even where it would still be small enough.
-    target = counted(bare.join(ids.hint("merge"), "id", "left_semi"), "text", "id", n, folds).withColumnRenamed("c", "t")
-    raw = counted(docs, text, key, n, folds).withColumnRenamed("c", "r")
-    grid = docs.sparkSession.range(folds * n).select(F.floor(F.col("id") / n).cast("int").alias("fold"), (F.col("id") % n).cast("int").alias("b"))
-    table = grid.join(raw, ["fold", "b"], "left").join(target, ["fold", "b"], "left").select("fold", "b", F.coalesce("r", F.lit(0)).alias("r"), F.coalesce("t", F.lit(0)).alias("t"))
+    asked = bare.where("_maybe").join(ids.hint("merge"), "id", "left").select("id", "text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
+    rows = bare.where("NOT _maybe").select("id", "text", F.lit(False).alias("trusted")).union(asked)
+    # A bucket's place tells its fold, too: one number to group by.
+    grams = rows.select("trusted", (fold_of(F.col("id"), folds) * n).alias("from"), words(F.col("text")).alias("w")).select("trusted", "from", F.explode(buckets(F.col("w"), n)).alias("b"))
+    counts = grams.select((F.col("from") + F.col("b")).alias("id"), F.col("trusted").cast("long").alias("t")).groupBy("id").agg(F.count("*").alias("r"), F.sum("t").alias("t"))
+    table = docs.sparkSession.range(folds * n).select(F.col("id").cast("int").alias("id")).join(staged(counts, "counts"), "id", "left")
+    table = table.select(F.floor(F.col("id") / n).cast("int").alias("fold"), (F.col("id") % n).alias("b"), F.coalesce("r", F.lit(0)).alias("r"), F.coalesce("t", F.lit(0)).alias("t"))
     # From here on there are folds * n rows.
-    of_bucket, of_fold = W.partitionBy("b"), W.partitionBy("fold")
-    others = table.select("fold", "b", *((F.sum(c).over(of_bucket) - F.col(c)).alias(c) for c in "rt"))
-    others = others.withColumns({f"all_{c}": F.sum(c).over(of_fold) for c in "rt"})
+    others = table.select("fold", "b", *((F.sum(c).over(W.partitionBy("b")) - F.col(c)).alias(c) for c in "rt"))
+    others = others.join(F.broadcast(others.groupBy("fold").agg(*(F.sum(c).alias(f"all_{c}") for c in "rt"))), "fold")
     share = (F.col("r") + 1) / (F.col("all_r") + n)
     ratio = F.when(F.col("all_t") > 0, F.log((F.col("t") / share + PRIOR * n) / (F.col("all_t") + PRIOR * n))).otherwise(0.0)
     listed = F.transform(F.array_sort(F.collect_list(F.struct("b", ratio.alias("x")))), lambda p: p["x"])
