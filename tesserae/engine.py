@@ -5,32 +5,53 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from tesserae.operators import predicates, profile, vector
+from tesserae import render
+from tesserae.operators import assets, expand, predicates, profile, vector
 from tesserae.planner import EmbeddingProvider, FacetPlanner, QuerySplitter
-from tesserae.schema import COMPONENT_FACETS, FacetSchema
+from tesserae.schema import COMPONENT_FACETS, STORE_ATTRIBUTES, FacetSchema
 from tesserae.sources.catalog import CatalogSource
+from tesserae.sources.files import FileSource
 
 
 class CatalogError(Exception):
     """A request that can't be met; the cause is chained."""
 
 
+@dataclass(frozen=True)
+class Site:
+    """Where the catalogue can be looked at, and the listing of its store."""
+
+    base: str = ""
+    project: str = ""
+    store: str = ""
+
+
 @dataclass
 class Access:
+    """What the constraints leave. records stay cached for all of it; close() lets them go."""
+
     hit_count: int
     facet_counts: DataFrame
     profile: DataFrame
     table: DataFrame
     summary: str
     predicate: str
+    link: str
+    snippet: str
+    markdown: str
+    links: DataFrame | None
     records: DataFrame
 
+    def close(self) -> None:
+        self.records.unpersist()
+
 
 class Engine:
-    def __init__(self, catalog: CatalogSource, planner: FacetPlanner, splitter: QuerySplitter, embedder: EmbeddingProvider | None = None, store: DataFrame | None = None):
-        """store: vec_id, embedding, component, name, description of what can be searched for."""
-        self.catalog, self.planner, self.splitter, self.embedder, self.store = catalog, planner, splitter, embedder, store
+    def __init__(self, catalog: CatalogSource, planner: FacetPlanner, splitter: QuerySplitter, embedder: EmbeddingProvider | None = None, store: DataFrame | None = None, files: FileSource | None = None, site: Site = Site()):
+        """store: vec_id, embedding, component, name, description of what can be searched for. files: where links come from."""
+        self.catalog, self.planner, self.splitter, self.embedder, self.store, self.files, self.site = catalog, planner, splitter, embedder, store, files, site
 
     def hits(self, query: str, fields: list[str], k: int = vector.TOP_K) -> dict[str, list[tuple[str, str]]]:
         """Names and descriptions by facet, k at most for each, by rank."""
@@ -58,14 +79,34 @@ class Engine:
         found = self.planner.values(query, schema)
         return {k: kept for k, v in found.items() if (kept := [x for x in v if not schema[k].domain or x in schema[k].domain])}
 
-    def access(self, constraints: predicates.Constraints) -> Access:
-        """Counts and profiles of what the constraints leave. The filtered records are kept for all of them; unpersist when done."""
+    def links(self, records: DataFrame, parameters: list[str] | None = None) -> DataFrame:
+        """The links of each entity's files, by what its records offer; a parameter with a default offers that where it has none."""
+        if self.files is None:
+            raise CatalogError("this engine has no source of files")
         schema = self.catalog.schema
-        if unknown := [k for k in constraints if k not in schema.names]:
+        found = self.files.files()
+        names = parameters or [n for n in schema.names[1:] if n in found.columns]
+        offered = profile.offered(records, schema, names)
+        for n in names:
+            if schema[n].default:
+                offered = offered.withColumn(n, expand.with_default(F.col(n), schema[n].default))
+        return assets.file_links(offered, found.withColumnRenamed(schema.entity.name, "entity"), "entity", names)
+
+    def access(self, constraints: predicates.Constraints, query: str = "", with_files: bool | None = None) -> Access:
+        """Counts, profiles, predicate, link and code of what the constraints leave, and the links of files where they are
+        asked for: by with_files, else by the query, if there are hits."""
+        schema, site = self.catalog.schema, self.site
+        if unknown := [k for k in constraints if schema.asked_by(k) is None]:
             raise CatalogError(f"no facet {', '.join(unknown)}")
         records = self.catalog.records().where(predicates.condition(schema, constraints)).select(*schema.names).persist()
-        scalar = [f.name for f in schema.facets if not f.multi]
+        count = records.count()
+        lines = profile.summary_lines(records, schema).first()[0]
+        attributes = list(STORE_ATTRIBUTES) if all(n in schema for n in STORE_ATTRIBUTES) else schema.names
+        known = records.withColumn(schema.entity.name, profile.entity_of(schema))
+        predicate = predicates.predicate_string(known, attributes).first()[0]
+        link = predicates.search_link(site.base, constraints, site.project)
+        asked = bool(count) and self.files is not None and (self.planner.wants_files(query) if with_files is None else with_files)
         return Access(
-            records.count(), profile.facet_counts(records, schema), profile.entity_profile(records, schema), profile.profile_table(records, schema),
-            profile.summary_lines(records, schema).first()[0], predicates.predicate_string(records, scalar).first()[0], records,
+            count, profile.facet_counts(records, schema), profile.entity_profile(records, schema), profile.profile_table(records, schema), lines,
+            predicate, link, render.snippet(site.store, predicate), render.markdown(query, count, lines, link, asked), self.links(records) if asked else None, records,
         )

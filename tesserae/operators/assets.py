@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tesserae.operators import expand
+
 #: Nodes by preference (fixed values).
 PREFERRED_NODES = ("aims3.llnl.gov", "esgf-data1.llnl.gov", "esgf-data2.llnl.gov")
 UNKNOWN, PREVIEW_ABOVE, PREVIEW_ROWS = "unknown", 500, 10
@@ -31,19 +33,28 @@ def date_range(name: Column) -> Column:
 
 
 def of_service(files: DataFrame, service: str, urls: str = "url") -> DataFrame:
-    """url: the addresses of files that a service offers, in order. Entries read address|mime|service; the service's name is
-    compared as it stands with the upper-case of what is asked."""
-    entries = files.select(F.explode(urls).alias("entry"))
-    parts = F.split("entry", r"\|")
+    """The addresses of files that a service offers, as url, beside the files' other columns; url is what orders them. Entries
+    read address|mime|service; the service's name is compared as it stands with the upper-case of what is asked."""
+    rest = [c for c in files.columns if c not in (urls, "url")]
+    entries = files.select(*rest, F.explode(urls).alias("#entry"))
+    parts = F.split("#entry", r"\|")
     wanted = entries.where(F.element_at(parts, -1) == service.upper())
-    return wanted.select(F.substring_index(parts[0], ".html", 1).alias("url"))
+    return wanted.select(*rest, F.substring_index(parts[0], ".html", 1).alias("url"))
+
+
+def preference(preferred: tuple[str, ...]) -> Column:
+    return F.coalesce(*(F.when(F.col("node") == p, F.lit(i)) for i, p in enumerate(preferred)), F.lit(len(preferred)))
+
+
+def first_by(frame: DataFrame, keys: list[str], *order: Column | str) -> DataFrame:
+    """The first row of each group; the row goes along in one column, so that no name of its own can clash."""
+    ranked = frame.select(F.struct("*").alias("row"), F.row_number().over(W.partitionBy(*keys).orderBy(*order)).alias("n"))
+    return ranked.where("n = 1").select("row.*")
 
 
 def best_replica(links: DataFrame, keys: list[str], preferred: tuple[str, ...] = PREFERRED_NODES, seq: str = "seq") -> DataFrame:
     """Of each key the row on the node that is preferred most, else the first."""
-    rank = F.coalesce(*(F.when(F.col("node") == p, F.lit(i)) for i, p in enumerate(preferred)), F.lit(len(preferred)))
-    order = W.partitionBy(*keys).orderBy(rank, seq)
-    return links.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+    return first_by(links, keys, preference(preferred), F.col(seq))
 
 
 def multi_valued(links: DataFrame, parameters: list[str]) -> list[str]:
@@ -58,7 +69,7 @@ def dedup_first(links: DataFrame, by: str = "url", seq: str = "seq") -> DataFram
     """The first row of each url; a frame without that column passes as it is."""
     if by not in links.columns:
         return links
-    return links.withColumn("_n", F.row_number().over(W.partitionBy(by).orderBy(seq))).where("_n = 1").drop("_n")
+    return first_by(links, [by], seq)
 
 
 def link_stats(links: DataFrame, by: str = "url") -> DataFrame:
@@ -88,3 +99,32 @@ def last_match(store: DataFrame, condition: Column, seq: str, columns: list[str]
 def combination_files(choices: DataFrame, files: DataFrame, keys: list[str]) -> DataFrame:
     """The files of each combination: one join in place of a lookup for each."""
     return choices.join(files, keys)
+
+
+def file_links(offered: DataFrame, files: DataFrame, entity: str, parameters: list[str], preferred: tuple[str, ...] = PREFERRED_NODES, above: int = PREVIEW_ABOVE, rows: int = PREVIEW_ROWS) -> DataFrame:
+    """From what each entity offers to its links: combinations, their files, one replica of each, what is shown, and how.
+
+    offered: entity and a list for each parameter; files: entity, parameters and url. A file is known by its name and by the
+    parameters that offer several values for its entity. Links come in the order of their first replica: by the parameters'
+    values in turn, then by url. Result: entity, the parameters, filename, node, url, seq (that order), total (links of the
+    entity), shown (whether the link is displayed), id (the place, from 1, of one that is), date_range, and varying: the parameters that have
+    several values among the displayed links of the entity, with the link's own.
+    """
+    several = F.array_compact(F.array(*(F.when(F.size(p) > 1, F.lit(p)) for p in parameters)))
+    wide = offered.select(F.col(entity), several.alias("#several"), *parameters)
+    chosen = expand.combinations(wide, [entity, "#several"], parameters)
+    met = chosen.join(files.select(entity, *parameters, "url"), [entity, *parameters])
+    url = F.col("url")
+    parts = [F.when(F.array_contains("#several", p), F.col(p)) for p in parameters]
+    met = met.withColumns({"filename": filename(url), "node": node(url), "#key": F.struct(*(x.alias(p) for x, p in zip(parts, parameters))), "#seq": F.struct(*parameters, "url")})
+    group = W.partitionBy(entity, "filename", "#key")
+    best = met.withColumns({"seq": F.min("#seq").over(group), "#n": F.row_number().over(group.orderBy(preference(preferred), "#seq"))}).where(F.col("#n") == 1).drop("#n")
+    totals = best.groupBy(entity).agg(F.count("*").alias("total"))
+    # Only the rows that can be displayed are ranked, so that no task sorts all links of a large entity.
+    ranked = best.select(entity, "seq", *parameters, F.row_number().over(W.partitionBy(entity).orderBy("seq")).cast("long").alias("id")).where(F.col("id") <= above)
+    shown = ranked.join(totals, entity).where((F.col("total") <= above) | (F.col("id") <= rows))
+    counts = shown.groupBy(entity).agg(F.array_compact(F.array(*(F.when(F.count_distinct(p) > 1, F.lit(p)) for p in parameters))).alias("#varying"))
+    own = F.create_map(*(x for p in parameters for x in (F.lit(p), F.col(p))))
+    shown = shown.join(counts, entity).select(entity, "seq", "id", F.map_filter(own, lambda k, _: F.array_contains("#varying", k)).alias("varying"))
+    out = best.join(totals, entity).join(shown, [entity, "seq"], "left")
+    return out.select(entity, *parameters, "filename", "node", "url", "seq", "total", F.col("id").isNotNull().alias("shown"), "id", date_range(F.col("filename")).alias("date_range"), "varying")

@@ -9,6 +9,7 @@ from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tesserae.schema import FacetSchema
 
@@ -26,12 +27,23 @@ def normalized(constraints: Constraints | None) -> dict[str, list[str]]:
     return out
 
 
+def normalized_values(values: Column) -> Column:
+    """The same of a column of lists: items stripped, blank and null ones dropped."""
+    return F.filter(F.transform(values, strip), lambda x: x != "")
+
+
 def condition(schema: FacetSchema, constraints: Constraints | None) -> Column:
     """All facets must hold, each by any of its values. Scalars use IN, which reaches the scan."""
     parts = []
     for name, values in normalized(constraints).items():
-        wanted = F.array(*map(F.lit, values))
-        parts.append(F.arrays_overlap(name, wanted) if schema[name].multi else F.col(name).isin(values))
+        facet = schema.asked_by(name)
+        if facet is None:
+            raise KeyError(f"no facet {name!r}; there are {', '.join(schema.names)}")
+        column = F.col(facet.name)
+        if name != facet.name:
+            last = lambda x: F.substring_index(x, "-", -1)
+            column = F.transform(column, last) if facet.multi else last(column)
+        parts.append(F.arrays_overlap(column, F.array(*map(F.lit, values))) if facet.multi else column.isin(values))
     return reduce(lambda a, b: a & b, parts, F.lit(True))
 
 
@@ -58,10 +70,28 @@ def predicate_part(name: str, values: Column) -> Column:
     return F.when(F.size(values) == 1, F.concat(F.lit(f"{name} == "), escaped[0])).when(F.size(values) > 1, several)
 
 
+def values_of(frame: DataFrame, names: list[str], keys: list[str] | None = None) -> DataFrame:
+    """keys, facet, value: a row for each value that a row has in columns of strings or of lists, null ones and sentinels too.
+
+    One pass over the frame: a row is repeated as often as its longest list has items, list items stand at their places,
+    scalars at the first; then one unpivot. So the frame's scans and joins run once, however many lists there are.
+    """
+    keys = keys or []
+    lists = [n for n in names if isinstance(frame.schema[n].dataType, T.ArrayType)]
+    if lists:
+        longest = F.greatest(F.lit(1), *(F.coalesce(F.size(n), F.lit(0)) for n in lists))
+        places = frame.select(*keys, *names, F.explode(F.sequence(F.lit(0), longest - 1)).alias("#"))
+        cell = lambda n: F.get(F.col(n), F.col("#")) if n in lists else F.when(F.col("#") == 0, F.col(n))
+        frame = places.select(*keys, *(cell(n).alias(n) for n in names))
+    return frame.select(*keys, *names).unpivot(keys, names, "facet", "value")
+
+
 def predicate_string(records: DataFrame, names: list[str], legacy: bool = False) -> DataFrame:
-    """One row: the predicate that the distinct values of the records make. Attributes without values are left out; legacy
-    writes them as [''], which matches the empty string only."""
-    sets = records.agg(*(F.collect_set(n).alias(n) for n in names))
+    """One row: the predicate that the distinct values of the records make, in the order of names; columns may be strings or
+    lists. Null, empty and none are no values. Attributes without values are left out; legacy writes them as [''], which
+    matches the empty string only."""
+    found = values_of(records, names).where(is_value(F.col("value"))).distinct()
+    sets = found.agg(*(F.collect_set(F.when(F.col("facet") == n, F.col("value"))).alias(n) for n in names))
     part = lambda n: F.coalesce(predicate_part(n, F.col(n)), F.lit(f"{n} == ['']")) if legacy else predicate_part(n, F.col(n))
     return sets.select(F.concat_ws(" & ", *(part(n) for n in names)).alias("predicate"))
 

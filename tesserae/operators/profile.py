@@ -1,7 +1,7 @@
 """Counts of a catalogue's facets, overall and for each entity.
 
-The long form (entity, facet, value, n) is what all others are made of. Scalar facets go through one unpivot, many-valued
-ones through explode, so a record is read once; a value that a record lists twice counts twice.
+The long form (entity, facet, value, n) is what all others are made of. Scalar and many-valued facets go through one unpivot,
+so the catalogue's scans and joins run once; a value that a record lists twice counts twice.
 """
 
 from __future__ import annotations
@@ -9,9 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.operators.predicates import is_value
+from tesserae.operators.predicates import is_value, values_of
 from tesserae.schema import FacetSchema
 
+#: The name under which records are counted beside the facets.
+RECORDS = "#records"
+
 
 def entity_of(schema: FacetSchema) -> Column:
     """A record's entity: the first of a list. A record without one keeps a null entity."""
@@ -19,20 +22,16 @@ def entity_of(schema: FacetSchema) -> Column:
     return F.try_element_at(F.col(name), F.lit(1)) if schema.entity.multi else F.col(name)
 
 
-def facet_values(records: DataFrame, schema: FacetSchema, names: list[str] | None = None) -> DataFrame:
-    """entity, facet, value: a row for each value that a record has, without empty ones and none."""
-    wanted = [schema[n] for n in (names or schema.names[1:])]
-    scalar, multi = [f.name for f in wanted if not f.multi], [f.name for f in wanted if f.multi]
-    frame = records.select(entity_of(schema).alias("entity"), *(F.col(f.name).alias(f"f_{f.name}") for f in wanted))
-    parts = []
-    if scalar:
-        narrow = frame.select("entity", *(F.col(f"f_{n}").alias(n) for n in scalar))
-        parts.append(narrow.unpivot(["entity"], scalar, "facet", "value"))
-    parts += [frame.select("entity", F.lit(n).alias("facet"), F.explode(f"f_{n}").alias("value")) for n in multi]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.where(is_value(F.col("value")))
+def facet_values(records: DataFrame, schema: FacetSchema, names: list[str] | None = None, with_records: bool = False) -> DataFrame:
+    """entity, facet, value: a row for each value that a record has, without empty ones and none; with_records: one more for
+    the record itself. A schema that has only its entity has no rows."""
+    wanted = schema.names[1:] if names is None else names
+    frame = records.select(entity_of(schema).alias("#entity"), *wanted, *([F.lit("all").alias(RECORDS)] if with_records else []))
+    columns = [*wanted, *([RECORDS] if with_records else [])]
+    if not columns:
+        return frame.select(F.col("#entity").alias("entity"), F.lit("").alias("facet"), F.lit("").alias("value")).limit(0)
+    found = values_of(frame, columns, ["#entity"]).where(is_value(F.col("value")))
+    return found.select(F.col("#entity").alias("entity"), "facet", "value")
 
 
 def facet_counts(records: DataFrame, schema: FacetSchema) -> DataFrame:
@@ -43,24 +42,33 @@ def entity_counts(records: DataFrame, schema: FacetSchema) -> DataFrame:
     return records.groupBy(entity_of(schema).alias("entity")).agg(F.count("*").alias("dataset_count"))
 
 
-def entity_profile(records: DataFrame, schema: FacetSchema) -> DataFrame:
-    return facet_values(records, schema).groupBy("entity", "facet", "value").agg(F.count("*").alias("n"))
+def entity_profile(records: DataFrame, schema: FacetSchema, with_records: bool = False) -> DataFrame:
+    """entity, facet, value, n; with_records: and a row for each entity whose facet is RECORDS."""
+    return facet_values(records, schema, with_records=with_records).groupBy("entity", "facet", "value").agg(F.count("*").alias("n"))
 
 
 def profile_table(records: DataFrame, schema: FacetSchema) -> DataFrame:
     """entity, parameter, values, details, all strings: a row of totals, then a row for each facet."""
-    totals = entity_counts(records, schema).select("entity", F.lit("Total Datasets").alias("parameter"), F.col("dataset_count").cast("string").alias("values"), F.lit("").alias("details"))
     pairs = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("value", "n"))), lambda p: F.concat(p["value"], F.lit(": "), p["n"].cast("string"))), ", ")
-    facets = entity_profile(records, schema).groupBy("entity", "facet").agg(F.sum("n").alias("total"), pairs.alias("details"))
-    return totals.unionByName(facets.select("entity", F.col("facet").alias("parameter"), F.concat(F.lit("Total: "), F.col("total").cast("string")).alias("values"), "details"))
+    rows = entity_profile(records, schema, True).groupBy("entity", "facet").agg(F.sum("n").cast("string").alias("total"), pairs.alias("details"))
+    whole = F.col("facet") == RECORDS
+    named = F.when(whole, "Total Datasets").otherwise(F.col("facet"))
+    return rows.select("entity", named.alias("parameter"), F.when(whole, F.col("total")).otherwise(F.concat(F.lit("Total: "), "total")).alias("values"), F.when(whole, "").otherwise(F.col("details")).alias("details"))
 
 
 def nested_profile(records: DataFrame, schema: FacetSchema) -> DataFrame:
     """entity, dataset_count, facets: a map of maps. Facets whose values are all empty have no entry."""
-    inner = entity_profile(records, schema).groupBy("entity", "facet").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("value", "n")))).alias("m"))
-    outer = inner.groupBy("entity").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("facet", F.map_entries("m").alias("e"))))).alias("facets"))
-    counts = entity_counts(records, schema)
-    return counts.join(outer, counts["entity"].eqNullSafe(outer["entity"]), "left").drop(outer["entity"])
+    rows = entity_profile(records, schema, True)
+    inner = rows.groupBy("entity", "facet").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("value", "n")))).alias("m"))
+    whole = F.col("facet") == RECORDS
+    listed = F.array_sort(F.collect_list(F.when(~whole, F.struct("facet", F.map_entries("m").alias("e")))))
+    return inner.groupBy("entity").agg(F.max(F.when(whole, F.col("m")["all"])).alias("dataset_count"), F.map_from_entries(listed).alias("facets"))
+
+
+def offered(records: DataFrame, schema: FacetSchema, names: list[str]) -> DataFrame:
+    """entity and, for each of the facets, the list of its values among the entity's records, in order."""
+    found = facet_values(records, schema, names, with_records=True).distinct()
+    return found.groupBy("entity").agg(*(F.array_sort(F.collect_set(F.when(F.col("facet") == n, F.col("value")))).alias(n) for n in names))
 
 
 def summary_lines(records: DataFrame, schema: FacetSchema) -> DataFrame:

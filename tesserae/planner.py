@@ -3,11 +3,19 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Protocol
 
+from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+
+from tesserae.functions import text
 from tesserae.schema import COMPONENT_FACETS, FacetSchema
 
+#: Words by which a query asks for the links of files.
+FILE_WORDS = ("opendap", "download", "file", "files", "link", "links")
+
 
 @dataclass(frozen=True)
 class Plan:
@@ -21,6 +29,8 @@ class FacetPlanner(Protocol):
 
     def values(self, query: str, schema: FacetSchema) -> dict[str, list[str]]: ...
 
+    def wants_files(self, query: str) -> bool: ...
+
 
 class QuerySplitter(Protocol):
     def split(self, query: str) -> dict[str, str]: ...
@@ -49,6 +59,18 @@ class WholeQuery:
         return dict.fromkeys(COMPONENT_FACETS, query)
 
 
+class ModelSplitter:
+    """A model is asked for the part of each component; what it says is recovered as split_parts does."""
+
+    def __init__(self, spark: SparkSession, ask: Callable[[str], str]):
+        self.spark, self.ask = spark, ask
+
+    def split(self, query: str) -> dict[str, str]:
+        said = self.spark.createDataFrame([(self.ask(query), query)], "response string, query string")
+        parts = said.select(text.split_parts(F.col("response"), F.col("query")).alias("p")).first().p
+        return {c: parts[f"{c}_query"] for c in COMPONENT_FACETS}
+
+
 def says(query: str, value: str) -> bool:
     return re.search(rf"(?<!\w){re.escape(value.lower())}(?!\w)", query.lower()) is not None
 
@@ -67,3 +89,6 @@ class LexicalPlanner:
     def values(self, query: str, schema: FacetSchema) -> dict[str, list[str]]:
         found = {f.name: [v for v in f.domain if says(query, v)] for f in schema.facets}
         return {k: v for k, v in found.items() if v}
+
+    def wants_files(self, query: str) -> bool:
+        return any(says(query, w) for w in FILE_WORDS)

@@ -37,7 +37,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return SalesCatalog(spark, sf_dir).records().withColumn("l_returnflag", flag)
 
 
-CATALOG = """cat AS (SELECT p_brand, CASE l_linenumber WHEN 7 THEN 'None' WHEN 6 THEN '' WHEN 5 THEN NULL ELSE l_returnflag END AS l_returnflag, l_linestatus, o_orderstatus, o_orderpriority, c_mktsegment, p_type, n_name, r_name, string_split(p_name, ' ') AS p_name, l_linenumber
+CATALOG = """cat AS (SELECT p_brand, CASE l_linenumber WHEN 7 THEN 'None' WHEN 6 THEN '' WHEN 5 THEN NULL ELSE l_returnflag END AS l_returnflag, l_linestatus, o_orderstatus, o_orderpriority, c_mktsegment, p_type, n_name, r_name, string_split(p_name, ' ') AS p_name, l_linenumber, l_suppkey
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey JOIN part ON l_partkey = p_partkey)"""
 KEPT = "value IS NOT NULL AND value <> '' AND lower(value) <> 'none'"
 LONG = (
@@ -95,6 +95,16 @@ def predicate_string(spark, sf_dir):
     return predicates.predicate_string(chosen, ["p_brand", "o_orderpriority", "c_mktsegment", "p_type", "n_name", "r_name"])
 
 
+DISTINCT = f"SELECT DISTINCT facet, value FROM (SELECT 'p_brand' AS facet, p_brand AS value FROM cat WHERE c_mktsegment = 'BUILDING' UNION ALL SELECT 'l_returnflag', l_returnflag FROM cat WHERE c_mktsegment = 'BUILDING' UNION ALL SELECT 'p_name', unnest(p_name) FROM cat WHERE c_mktsegment = 'BUILDING') WHERE {KEPT}"
+OF = "(SELECT CASE WHEN count(*) = 1 THEN '{0} == ''' || min(value) || '''' WHEN count(*) > 1 THEN '{0} == [' || string_agg('''' || value || '''', ', ' ORDER BY value) || ']' END FROM v WHERE facet = '{0}')"
+
+
+@query(f"WITH {CATALOG}, v AS ({DISTINCT}) SELECT concat_ws(' & ', " + ", ".join(OF.format(n) for n in ["p_brand", "l_returnflag", "p_name"]) + ") AS predicate")
+def predicate_string_multi(spark, sf_dir):
+    chosen = records(spark, sf_dir).where(predicates.condition(SALES, {"c_mktsegment": "BUILDING"}))
+    return predicates.predicate_string(chosen, ["p_brand", "l_returnflag", "p_name"])
+
+
 BASE = "https://catalog.example/search?"
 
 
@@ -112,7 +122,7 @@ SELECT c_mktsegment, n_name, array_to_string(v, '|') AS "values", len(v)::BIGINT
 def constraint_normalize(spark, sf_dir):
     named = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("c_mktsegment", "n_name").distinct()
     raw = F.array(F.concat(F.lit(" "), "n_name", F.lit("\t")), F.lit("  "), F.lit(""), F.lit(None), F.col("c_mktsegment"))
-    kept = F.filter(F.transform(raw, predicates.strip), lambda x: x != "")
+    kept = predicates.normalized_values(raw)
     return named.select("c_mktsegment", "n_name", F.array_join(kept, "|").alias("values"), F.size(kept).cast("long").alias("n"))
 
 
@@ -217,9 +227,10 @@ def with_params(spark, sf_dir) -> DataFrame:
 PARAMS = "params AS (SELECT seq, url, filename, node, string_split(url, '://')[1] AS scheme, string_split(node, '.')[-1] AS top, 'P' AS project FROM links)"
 
 
-@query(f"WITH {LINKS}, {PARAMS}, u AS (SELECT unnest(['scheme', 'top', 'project']) AS parameter, unnest([count(DISTINCT scheme), count(DISTINCT top), count(DISTINCT project)]) AS n FROM params) SELECT parameter FROM u WHERE n > 1")
+@query(f"WITH {LINKS}, {PARAMS}, d AS (SELECT * FROM params QUALIFY count(*) OVER () <= 500 OR row_number() OVER (ORDER BY seq) <= 10), u AS (SELECT unnest(['scheme', 'top', 'project']) AS parameter, unnest([count(DISTINCT scheme), count(DISTINCT top), count(DISTINCT project)]) AS n FROM d) SELECT parameter FROM u WHERE n > 1")
 def dynamic_columns(spark, sf_dir):
-    flat = with_params(spark, sf_dir).select(*(F.try_element_at("params", F.lit(p)).alias(p) for p in ("scheme", "top", "project")))
+    shown = assets.preview(with_params(spark, sf_dir).withColumn("all", F.lit(1)), ["all"])
+    flat = shown.select(*(F.try_element_at("params", F.lit(p)).alias(p) for p in ("scheme", "top", "project")))
     return spark.createDataFrame([(p,) for p in assets.multi_valued(flat, ["scheme", "top", "project"])], "parameter string")
 
 
@@ -231,6 +242,32 @@ def link_table(spark, sf_dir):
     return shown.drop("host")
 
 
+FILE_PARAMETERS = ["o_orderpriority", "c_mktsegment", "r_name"]
+FILES = """src AS (SELECT *, 'f_' || (l_suppkey % 40)::VARCHAR || '-e.nc' AS filename, 'n' || l_linenumber::VARCHAR || '.org' AS node FROM cat WHERE p_brand < 'Brand#3' OR l_linenumber = 7),
+off AS (SELECT p_brand, CASE WHEN p_brand IN ('Brand#11', 'Brand#12') THEN ['3-MEDIUM'] ELSE list_sort(list_distinct(list(o_orderpriority))) END AS o, list_sort(list_distinct(list(c_mktsegment))) AS c, list_sort(list_distinct(list(r_name))) AS r FROM src GROUP BY 1),
+met AS (SELECT src.*, 'http://' || node || '/' || filename AS url, concat_ws('|', filename, CASE WHEN len(o) > 1 THEN o_orderpriority END, CASE WHEN len(c) > 1 THEN c_mktsegment END, CASE WHEN len(r) > 1 THEN r_name END) AS key FROM src JOIN off USING (p_brand)
+  WHERE list_contains(o, o_orderpriority) AND list_contains(c, c_mktsegment) AND list_contains(r, r_name)),
+seqs AS (SELECT *, o_orderpriority || chr(1) || c_mktsegment || chr(1) || r_name || chr(1) || url AS seq FROM met),
+best AS (SELECT *, min(seq) OVER (PARTITION BY p_brand, key) AS first FROM seqs QUALIFY row_number() OVER (PARTITION BY p_brand, key ORDER BY CASE node WHEN 'n7.org' THEN 0 WHEN 'n3.org' THEN 1 WHEN 'n5.org' THEN 2 ELSE 3 END, seq) = 1),
+placed AS (SELECT *, count(*) OVER (PARTITION BY p_brand) AS total, row_number() OVER (PARTITION BY p_brand ORDER BY first) AS id FROM best),
+seen AS (SELECT *, total <= 500 OR id <= 10 AS shown FROM placed),
+vary AS (SELECT p_brand, count(DISTINCT o_orderpriority) > 1 AS o, count(DISTINCT c_mktsegment) > 1 AS c, count(DISTINCT r_name) > 1 AS r FROM seen WHERE shown GROUP BY 1)"""
+
+
+@query(f"""WITH {CATALOG}, {FILES} SELECT p_brand, o_orderpriority, c_mktsegment, r_name, filename, node, url, total, shown, CASE WHEN shown THEN id END AS id, replace(string_split(filename, '_')[-1], '.nc', '') AS date_range,
+CASE WHEN shown THEN concat_ws(';', CASE WHEN o THEN 'o_orderpriority=' || o_orderpriority END, CASE WHEN c THEN 'c_mktsegment=' || c_mktsegment END, CASE WHEN r THEN 'r_name=' || r_name END) END AS varying FROM seen JOIN vary USING (p_brand)""")
+def file_pipeline(spark, sf_dir):
+    chosen = records(spark, sf_dir).where("p_brand < 'Brand#3' OR l_linenumber = 7")
+    url = F.concat(F.lit("http://n"), F.col("l_linenumber").cast("string"), F.lit(".org/f_"), (F.col("l_suppkey") % 40).cast("string"), F.lit("-e.nc"))
+    files = chosen.select(F.col("p_brand").alias("entity"), *FILE_PARAMETERS, url.alias("url"))
+    lists = profile.offered(chosen, SALES, FILE_PARAMETERS)
+    some = F.when(F.col("entity").isin("Brand#11", "Brand#12"), F.array().cast("array<string>")).otherwise(F.col("o_orderpriority"))
+    lists = lists.withColumn("o_orderpriority", expand.with_default(some, "3-MEDIUM"))
+    found = assets.file_links(lists, files, "entity", FILE_PARAMETERS, ("n7.org", "n3.org", "n5.org"))
+    varying = F.array_join(F.transform(F.map_entries("varying"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
+    return found.withColumn("varying", varying).withColumnRenamed("entity", "p_brand").drop("seq")
+
+
 @query("SELECT o_orderkey, o_custkey, o_orderpriority FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority IN ('1-URGENT', '5-LOW') ORDER BY o_orderkey DESC LIMIT 1")
 def store_last_match(spark, sf_dir):
     chosen = (F.col("o_orderstatus") == "F") & F.col("o_orderpriority").isin("1-URGENT", "5-LOW")

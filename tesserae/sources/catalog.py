@@ -7,6 +7,8 @@ from typing import Protocol
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tesserae.operators import assets
+from tesserae.operators.predicates import Constraints, condition
 from tesserae.schema import Facet, FacetSchema
 
 
@@ -60,6 +62,38 @@ class SalesCatalog:
         return joined.select(*[f.name for f in SALES.facets if f.name != "p_name"], F.split("p_name", " ").alias("p_name"), "l_linenumber", "l_orderkey", "l_partkey", "l_suppkey")
 
 
+class VocabularySource(Protocol):
+    def vocabulary(self) -> DataFrame:
+        """facet, value, description, ord."""
+        ...
+
+
+class SchemaVocabulary:
+    """The values that a schema's domains state, with their descriptions."""
+
+    def __init__(self, spark: SparkSession, schema: FacetSchema):
+        self.spark, self.schema = spark, schema
+
+    def vocabulary(self) -> DataFrame:
+        return self.spark.createDataFrame(self.schema.vocabulary(), "facet string, value string, description string, ord int")
+
+
+class TableVocabulary:
+    """A vocabulary that is a table of facet, value, description and, if it has it, ord."""
+
+    def __init__(self, frame: DataFrame):
+        self.frame = frame
+
+    def vocabulary(self) -> DataFrame:
+        return self.frame if "ord" in self.frame.columns else self.frame.withColumn("ord", F.lit(None).cast("int"))
+
+
 def read_store(spark: SparkSession, path: str) -> DataFrame:
-    """A store's listing: CSV with a header, read as strings without a pass for types."""
-    return spark.read.csv(path, header=True, inferSchema=False)
+    """A store's listing: CSV with a header, read as strings without a pass for types; seq: the order of its lines."""
+    return spark.read.csv(path, header=True, inferSchema=False).withColumn("seq", F.monotonically_increasing_id())
+
+
+def last_store(listing: DataFrame, constraints: Constraints, columns: list[str]) -> DataFrame:
+    """The last line of a listing that fits constraints on its attributes."""
+    schema = FacetSchema(tuple(Facet(n) for n in listing.columns))
+    return assets.last_match(listing, condition(schema, constraints), "seq", columns)

@@ -9,12 +9,13 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tesserae import render
-from tesserae.engine import CatalogError, Engine
+from tesserae.engine import CatalogError, Engine, Site
 from tesserae.functions import text as X
 from tesserae.operators import assets, expand, predicates, profile, vector, vocab
-from tesserae.planner import LexicalPlanner, StoredEmbeddings, WholeQuery
-from tesserae.schema import CLIMATE_FACETS, REQUEST_FACETS, Facet, FacetSchema
-from tesserae.sources.catalog import SALES, TableCatalog
+from tesserae.planner import LexicalPlanner, ModelSplitter, StoredEmbeddings, WholeQuery
+from tesserae.schema import CLIMATE_FACETS, REQUEST_FACETS, STORE_ATTRIBUTES, Facet, FacetSchema
+from tesserae.sources.catalog import SchemaVocabulary, TableCatalog, TableVocabulary, last_store, read_store
+from tesserae.sources.files import PagedFiles, TableFiles
 
 SF = "/root/testdata/sf0.001"
 TWO = FacetSchema((Facet("source_id", True), Facet("realm", True, ("ocean", "seaIce")), Facet("kind")))
@@ -131,7 +132,7 @@ def test_engine(spark):
     engine = Engine(catalog, LexicalPlanner(TWO), WholeQuery(), StoredEmbeddings({"source m1 ocean": [0.0]}), store)
     assert engine.search("source m1 ocean") == {"source_id": ["m1"], "realm": ["ocean"]}
     got = engine.access({"realm": ["ocean"]})
-    assert got.hit_count == 2 and "**m1**: 2" in got.summary and got.predicate == "kind == 'k'"
+    assert got.hit_count == 2 and "**m1**: 2" in got.summary and got.predicate == "source_id == 'm1' & realm == ['ocean', 'seaIce'] & kind == 'k'"
     assert json.loads(render.facet_json(got.facet_counts, got.hit_count))["facet_counts"]["realm"] == {"ocean": 2, "seaIce": 1}
     with pytest.raises(CatalogError):
         engine.access({"nope": "x"})
@@ -140,6 +141,109 @@ def test_engine(spark):
     compile(render.snippet("s.csv", "a == 'b'"), "s", "exec")
 
 
+def test_engine_of_the_archive(spark):
+    ddl = ", ".join(f"{n} array<string>" for n in CLIMATE_FACETS.names)
+    base = {n: ["x"] for n in CLIMATE_FACETS.names}
+
+    def row(**over):
+        own = {**base, **over}
+        return tuple(own[n] for n in CLIMATE_FACETS.names)
+
+    rows = [
+        row(source_id=["m1", "other"], realm=["ocean", "none", ""], member_id=["s1960-r1i1p1f1"], table_id=["day"]),
+        row(source_id=["m1"], realm=["ocean"], member_id=["r1i1p1f1"], table_id=["mon", "None"], grid_label=None),
+        row(source_id=["m2"], realm=["ocean"], member_id=["r2i1p1f1"], table_id=["a'b"], grid_label=["none"], activity_id=[]),
+        row(source_id=["m3"], realm=["land"]),
+    ]
+    catalog = TableCatalog(spark.createDataFrame(rows, ddl), CLIMATE_FACETS)
+    file_rows = [("m1", m, t, [f"http://h{k}/d/tas_{k}-{k}.nc.html|x|OPENDAP", f"http://h{k}/f.nc|x|HTTPServer"]) for m in ("r1i1p1f1", "s1960-r1i1p1f1") for t in ("mon", "day") for k in (1, 2)]
+    schema = FacetSchema((Facet("source_id"), Facet("member_id"), Facet("table_id")))
+    files = TableFiles(spark.createDataFrame(file_rows, "source_id string, member_id string, table_id string, url array<string>"), schema)
+    engine = Engine(catalog, LexicalPlanner(CLIMATE_FACETS), WholeQuery(), files=files, site=Site("https://c.example/?", "P", "s.csv"))
+    got = engine.access({"realm": "ocean"}, "ocean data, with download links")
+    assert got.hit_count == 3 and "**m1**: 2" in got.summary and "**m2**: 1" in got.summary
+    parts = dict(x.split(" == ") for x in got.predicate.split(" & "))
+    assert list(parts) == [n for n in STORE_ATTRIBUTES if n in parts]
+    assert parts["source_id"] == "['m1', 'm2']" and parts["table_id"] == r"['a\'b', 'day', 'mon']" and parts["grid_label"] == "'x'" and parts["activity_id"] == "'x'"
+    assert got.link == "https://c.example/?activeFacets=%7B%22realm%22%3A%20%5B%22ocean%22%5D%7D&project=P" and got.link in got.markdown and "3 datasets" in got.markdown
+    compile(got.snippet, "s", "exec")
+    assert repr(got.predicate) in got.snippet
+    assert {tuple(r) for r in got.profile.where("facet = 'realm'").collect()} == {("m1", "realm", "ocean", 2), ("m2", "realm", "ocean", 1)}
+    links = got.links.collect()
+    assert len(links) == 8 and {r.entity for r in links} == {"m1"} and all(set(r.varying) == {"member_id", "table_id"} and r.shown for r in links)
+    assert sorted(r.id for r in links) == list(range(1, 9)) and {r.date_range for r in links} == {"1-1", "2-2"}
+    assert engine.access({"realm": "ocean"}, "ocean data").links is None and engine.access({"realm": "seaIce"}, "files").links is None
+    assert engine.access({"variant_label": "r1i1p1f1"}).hit_count == 2
+    empty = engine.access({"realm": "seaIce"})
+    assert empty.hit_count == 0 and empty.predicate == "" and empty.table.count() == 0
+    got.close()
+
+
+def test_predicates_of_lists_and_nothing(spark):
+    df = spark.createDataFrame([(["b", "none", ""], None), (None, "NONE"), (["a"], "")], "x array<string>, y string")
+    assert predicates.predicate_string(df, ["x", "y"]).first()[0] == "x == ['a', 'b']"
+    assert predicates.predicate_string(df, ["x", "y"], legacy=True).first()[0] == "x == ['a', 'b'] & y == ['']"
+    only = FacetSchema((Facet("x", True),))
+    assert profile.entity_profile(df, only).count() == 0 and profile.entity_counts(df, only).count() == 3
+    assert {r.parameter for r in profile.profile_table(df, only).collect()} == {"Total Datasets"}
+
+
+def test_vocabularies(spark):
+    rows = {(r.facet, r.value): r.description for r in SchemaVocabulary(spark, CLIMATE_FACETS).vocabulary().collect()}
+    assert len(rows) == 16 + 10 + 24 + 8 + 49 and rows["frequency", "mon"] == "Monthly mean samples" and rows["realm", "ocean"] == ""
+    assert all(rows["activity_id", v] for v in CLIMATE_FACETS["activity_id"].domain) and all(rows["institution_id", v] for v in CLIMATE_FACETS["institution_id"].domain)
+    mine = TableVocabulary(spark.createDataFrame([("realm", "ocean", "the sea")], "facet string, value string, description string")).vocabulary()
+    assert mine.columns == ["facet", "value", "description", "ord"]
+    assert CLIMATE_FACETS.described([tuple(r)[:3] for r in mine.collect()])["realm"].descriptions == {"ocean": "the sea"}
+
+
+def test_splits_by_a_model(spark):
+    split = ModelSplitter(spark, lambda q: 'Sure: ```json\n{"variable_query": "User wants TOS", "source_query": ""}\n```').split("q")
+    assert split == {"variable": "tos", "source": "", "experiment": ""}
+    assert ModelSplitter(spark, lambda q: "no").split("Warm") == dict.fromkeys(("variable", "source", "experiment"), "warm")
+
+
+def test_paged_files(spark):
+    listed = [({"member_id": f"r{i}"}, [f"http://h/d/f{i}.nc.html|x|OPENDAP", "no|x|OpenDAP"]) for i in range(25)]
+
+    def fetch(asked, offset):
+        assert asked["type"] == "File" and asked["project"] == "P" and asked["distrib"] == "false" and asked["realm"] == "ocean"
+        return len(listed), listed[offset : offset + 10]
+
+    got = PagedFiles(spark, fetch, ["member_id"], "P").files({"realm": ["ocean", " "]})
+    assert {(r.member_id, r.url) for r in got.collect()} == {(f"r{i}", f"http://h/d/f{i}.nc") for i in range(25)}
+    with pytest.raises(OSError):
+        PagedFiles(spark, lambda asked, offset: (5, []), ["member_id"], "P").files()
+    with pytest.raises(Exception, match=r"the page at \d0 has 0"):
+        PagedFiles(spark, lambda asked, offset: (25, listed[:10] if offset == 0 else []), ["member_id"], "P").files({"realm": "ocean"}).collect()
+    assert PagedFiles(spark, lambda asked, offset: (0, []), ["member_id"], "P").files().count() == 0
+
+
+def test_store_listing(spark, tmp_path):
+    (tmp_path / "s.csv").write_text("source_id,table_id,zstore\nA,mon,one\nB,mon,two\nA,mon,three\nA,day,four\n")
+    listing = read_store(spark, str(tmp_path / "s.csv"))
+    assert [r.zstore for r in last_store(listing, {"source_id": "A", "table_id": ["mon", "yr"]}, ["zstore"]).collect()] == ["three"]
+    assert last_store(listing, {"source_id": "C"}, ["zstore"]).count() == 0
+
+
+def test_rows_keep_their_own_names(spark):
+    df = spark.createDataFrame([("f", "z", 1, "mine", "own"), ("f", "y", 2, "mine", "own")], "filename string, node string, seq long, n string, `_n` string")
+    got = assets.best_replica(df, ["filename"])
+    assert got.columns == df.columns and got.first().n == "mine"
+    assert assets.dedup_first(df.withColumn("url", F.lit("u"))).columns == [*df.columns, "url"]
+
+
+def test_links_of_files(spark):
+    lists = spark.createDataFrame([("e", ["1", "2"], ["x"]), ("g", ["1"], ["x", "y"])], "entity string, a array<string>, b array<string>")
+    files = [("e", a, "x", f"http://{h}/f{i}.nc") for a in "12" for i in range(300) for h in ("q", "aims3.llnl.gov")] + [("g", "1", b, "http://q/f.nc") for b in "xyz"]
+    got = assets.file_links(lists, spark.createDataFrame(files, "entity string, a string, b string, url string"), "entity", ["a", "b"]).collect()
+    large, small = ([r for r in got if r.entity == e] for e in "eg")
+    assert len(large) == 600 and {r.node for r in large} == {"aims3.llnl.gov"} and {r.total for r in large} == {600}
+    # The parameter a varies, but not among the ten links that are displayed.
+    assert sorted(r.id for r in large if r.shown) == list(range(1, 11)) and all(r.varying == {} and r.a == "1" for r in large if r.shown)
+    assert [(r.b, r.id, r.varying) for r in sorted(small, key=lambda r: r.id)] == [("x", 1, {"b": "x"}), ("y", 2, {"b": "y"})]
+
+
 def plan(df):
     return df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
 
@@ -151,6 +255,8 @@ def test_plans(spark):
     assert "In(o_orderpriority" in filtered and "EqualTo(c_mktsegment,BUILDING)" in filtered
     assert "TakeOrderedAndProject" in plan(QUERIES["vector_topk"](spark, SF))
     assert "WindowGroupLimit" in plan(QUERIES["best_replica_pick"](spark, SF))
+    for name in ("facet_counts", "entity_facet_profile", "profile_table", "entity_profile_nested", "domain_violations", "predicate_string_multi"):
+        assert plan(QUERIES[name](spark, SF)).count("lineitem.parquet") == 1, name
 
 
 def test_queries_against_sql(spark):
