@@ -31,8 +31,8 @@ ship(__name__)
 #: Characters of a chunk that are its own, and by which it reaches into the next; characters of a chunk that is dealt out,
 #: and of a text from which its chunks are.
 CHUNK, OVERLAP, PART, LONG = 1 << 12, 1 << 9, 1 << 20, 1 << 22
-#: Distinct pieces whose ids a worker remembers.
-CACHE = 200_000
+#: Distinct pieces whose ids a worker remembers; bytes of a piece up to which its pairs are looked through for each merge.
+CACHE, LISTED = 500_000, 64
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -76,11 +76,31 @@ def cut(text: str, at: list[int]) -> list[str]:
     return [text[a:b] for a, b in zip(at, at[1:])]
 
 
+NEVER = 1 << 40
+
+
 def merged(piece: bytes, ranks: dict[bytes, int], longest: int) -> list[int]:
     """The ids of a pre-token. Of all neighbours that together are a token, those of the least rank are joined first, the
     leftmost of equal ones; longest: the bytes of the longest token."""
     if piece in ranks:
         return [ranks[piece]]
+    if len(piece) > LISTED:
+        return merged_by_heap(piece, ranks, longest)
+    get, parts = ranks.get, [piece[i : i + 1] for i in range(len(piece))]
+    pairs = [get(piece[i : i + 2], NEVER) for i in range(len(piece) - 1)]
+    while pairs and (least := min(pairs)) < NEVER:
+        i = pairs.index(least)
+        parts[i] += parts[i + 1]
+        del parts[i + 1], pairs[i]
+        if i < len(pairs):
+            pairs[i] = get(parts[i] + parts[i + 1], NEVER)
+        if i:
+            pairs[i - 1] = get(parts[i - 1] + parts[i], NEVER)
+    return list(map(ranks.__getitem__, parts))
+
+
+def merged_by_heap(piece: bytes, ranks: dict[bytes, int], longest: int) -> list[int]:
+    """The same, for pieces whose pairs are too many to look through for each merge."""
     n = len(piece)
     end = list(range(1, n + 1))  # of the part that begins at each place, 0 where none begins any more
     before = list(range(-1, n - 1))  # where the part before begins
@@ -109,28 +129,29 @@ def merged(piece: bytes, ranks: dict[bytes, int], longest: int) -> list[int]:
     return out
 
 
+class Pieces(dict):
+    """The ids of pre-tokens as little-endian unsigned 32-bit integers; the first short ones it meets are remembered."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        super().__init__()
+        self.ranks, self.longest = ranks, max(map(len, ranks), default=0)
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = b"".join(i.to_bytes(4, "little") for i in merged(piece.encode(), self.ranks, self.longest))
+        if len(piece) < 64 and len(self) < CACHE:
+            self[piece] = ids
+        return ids
+
+
 class Codec:
     """Encodes pieces by ranks, and ids back to bytes."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.pattern, self.ranks = regex.compile(pattern), ranks
+        self.pattern, self.known = regex.compile(pattern), Pieces(ranks)
         self.bytes_of = {v: k for k, v in ranks.items()}
-        self.longest = max(map(len, ranks), default=0)
-        self.known: dict[str, bytes] = {}
 
     def encode(self, pieces: list[str]) -> bytes:
-        """The ids of pre-tokens as little-endian unsigned 32-bit integers."""
-        known, out = self.known, []
-        for piece in pieces:
-            ids = known.get(piece)
-            if ids is None:
-                ids = b"".join(i.to_bytes(4, "little") for i in merged(piece.encode(), self.ranks, self.longest))
-                if len(piece) < 64:
-                    if len(known) >= CACHE:
-                        known.clear()
-                    known[piece] = ids
-            out.append(ids)
-        return b"".join(out)
+        return b"".join(map(self.known.__getitem__, pieces))
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, memoryview(ids).cast("I")))
