@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 TOP_K = 20
+#: Queries that are sent to all tasks at once, about.
+AT_ONCE = 4096
 
 
 def squared_distance(a: Column, b: Column) -> Column:
@@ -23,12 +25,18 @@ def top_k(store: DataFrame, query: list[float], k: int = TOP_K, vector: str = "e
 def top_k_each(store: DataFrame, queries: DataFrame, k: int = TOP_K, vector: str = "embedding", key: str = "vec_id") -> DataFrame:
     """query_id, key, score, rank of every query's k nearest. queries: query_id, query; a stated set, held against all rows.
 
-    The planner broadcasts a set that is small by its statistics, and else pairs partitions of both sides in blocks; each task
-    keeps its own k of every query.
+    So many queries at a time are sent to all tasks, of which each keeps its own k for every query; more queries take more
+    passes over the store.
     """
-    pairs = store.select(key, F.col(vector).alias("_v")).crossJoin(queries.select("query_id", "query"))
-    scored = pairs.select("query_id", key, squared_distance(F.col("_v"), F.col("query")).alias("score"))
-    ranked = scored.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("score", key)).cast("long"))
+    parts = -(-queries.count() // AT_ONCE)
+    dealt = queries.select("query_id", "query", F.pmod(F.xxhash64("query_id"), F.lit(max(parts, 1))).alias("#part"))
+    rows = store.select(key, F.col(vector).alias("#v"))
+    found = None
+    for part in range(max(parts, 1)):
+        here = F.broadcast(dealt.where(F.col("#part") == part).drop("#part"))
+        scored = rows.crossJoin(here).select("query_id", key, squared_distance(F.col("#v"), F.col("query")).alias("score"))
+        found = scored if found is None else found.union(scored)
+    ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("score", key)).cast("long"))
     return ranked.where(F.col("rank") <= k)
 
 

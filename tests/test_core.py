@@ -117,6 +117,16 @@ def test_vectors(spark):
     assert three == [0, 1, 2] == [r.vec_id for r in vector.top_k(store, [0.0, 0.0], 4).orderBy("rank").collect()][:3]
 
 
+def test_queries_in_parts(spark, monkeypatch):
+    store = spark.createDataFrame([(i, [float(i), 0.0]) for i in range(30)], "vec_id long, embedding array<float>")
+    asked = spark.createDataFrame([(i, [i + 0.2, 0.0]) for i in range(20)], "query_id long, query array<double>")
+    want = {(q, q + d, r) for q in range(1, 20) for d, r in ((0, 1), (1, 2), (-1, 3))}
+    for at_once in (4096, 7):
+        monkeypatch.setattr(vector, "AT_ONCE", at_once)
+        got = {(r.query_id, r.vec_id, r["rank"]) for r in vector.top_k_each(store, asked, 3).where("query_id > 0").collect()}
+        assert got == want
+
+
 def test_schema():
     assert CLIMATE_FACETS.entity.name == "source_id" and len(CLIMATE_FACETS.names) == 12
     assert [len(CLIMATE_FACETS[n].domain) for n in ("frequency", "nominal_resolution", "activity_id", "realm", "institution_id")] == [16, 10, 24, 8, 49]
