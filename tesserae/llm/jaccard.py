@@ -42,7 +42,7 @@ WORDS, PERCENT = 4, 85
 #: family; members of a block; n-grams that are put last, at most.
 SMALL, CLOSE, HUBS, BLOCK, FREQUENT = 64, 16, 4, 512, 1 << 20
 #: Words whose hash a worker remembers; n-grams that it counts before it hands them on.
-CACHE, HELD = 200_000, 6_000_000
+CACHE, HELD = 200_000, 2_500_000
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
