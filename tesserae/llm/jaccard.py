@@ -22,6 +22,7 @@ Two different n-grams count as one if their 64-bit hashes agree, by chance once
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -338,6 +339,15 @@ def by_shared(percent: int):
     return could
 
 
+def listed(postings: DataFrame, *keys: str) -> DataFrame:
+    """keys, alone, least, l: the members of each group of postings. In a group of too many, each member (alone) has a row of
+    its own, with the least of the group."""
+    group = W.partitionBy(*keys)
+    met = postings.withColumns({"m": F.count("*").over(group), "least": F.min("node").over(group)}).where("m > 1")
+    alone = F.when(F.col("m") > SMALL, F.col("node")).otherwise(-1)
+    return met.groupBy(*keys, alone.alias("alone")).agg(F.min("least").alias("least"), F.collect_list(F.struct("node", "n", "at")).alias("l"))
+
+
 def candidates(sets: DataFrame, percent: int) -> DataFrame:
     """a, b: edges whose components hold all links. sets: node, n, rare, prefix, a row for each node."""
     postings = sets.select("node", "n", "rare", F.posexplode("prefix").alias("at", "gram"))
@@ -346,14 +356,16 @@ def candidates(sets: DataFrame, percent: int) -> DataFrame:
     hot = staged(late.groupBy("gram").agg(F.min("node").alias("least"), F.count("*").alias("m")).where("m > 1"), "hot")
     led = late.join(F.broadcast(hot.where(F.col("m") > SMALL)), "gram")
     few = late.join(F.broadcast(hot.where(F.col("m") <= SMALL).select("gram")), "gram", "left_semi")
-    # All others: a list for each n-gram of few nodes; of more, which the order didn't know, each node has a row of its own.
-    of_gram = W.partitionBy("gram")
-    met = postings.where("at < rare").drop("rare").unionByName(few).withColumns({"m": F.count("*").over(of_gram), "least": F.min("node").over(of_gram)}).where("m > 1")
-    alone = F.when(F.col("m") > SMALL, F.col("node")).otherwise(-1)
-    shared = staged(met.groupBy("gram", alone.alias("alone")).agg(F.min("least").alias("least"), F.collect_list(F.struct("node", "n", "at")).alias("l")), "shared")
+    shared = staged(listed(postings.where("at < rare").drop("rare").unionByName(few), "gram"), "shared")
+    # N-grams of many nodes which the order didn't know: sets that link differ in size by a class at most, so each node
+    # stands in the list of its own class and of the next.
+    width = max(1.0001 * math.log(100 / percent), 1e-3)
+    own_class = F.floor(F.log("n") / width).cast("int")
+    many = shared.where("alone >= 0").select("gram", F.explode("l").alias("x")).select("gram", "x.*")
+    classes = staged(listed(many.withColumn("class", F.explode(F.array(own_class, own_class + 1))), "gram", "class"), "classes")
 
     # Each list of members once.
-    members = shared.where("alone < 0").withColumn("l", with_partner(by_place(percent))).select(F.array_sort(F.transform("l", lambda x: x["node"])).alias("members")).where("size(members) > 1")
+    members = shared.where("alone < 0").select("l").union(classes.where("alone < 0").select("l")).withColumn("l", with_partner(by_place(percent))).select(F.array_sort(F.transform("l", lambda x: x["node"])).alias("members")).where("size(members) > 1")
     members = staged(members.distinct().select(F.xxhash64("members").alias("g1"), F.hash("members").alias("g2"), F.explode("members").alias("node")), "lists")
     # What the prefixes of members share with any others. 32 bits do: n-grams taken for one another only add candidates.
     own = shared.select("gram", F.explode("l").alias("x")).select("x.node", "x.n", "gram").union(led.select("node", "n", "gram"))
@@ -362,10 +374,10 @@ def candidates(sets: DataFrame, percent: int) -> DataFrame:
     weighed = members.join(own.select("node", "n", F.size("grams").alias("m")), "node").groupBy("g1", "g2").agg(F.collect_list(F.struct("node", "n", "m")).alias("l"))
     left = weighed.select("g1", "g2", F.explode(with_partner(by_shared(percent))).alias("x")).select("g1", "g2", "x.node")
     near = left.join(own, "node").repartition("g1", "g2").sortWithinPartitions("g1", "g2", "node").mapInArrow(by_group(["g1", "g2"], OfPrefixes(percent), size="n"), "a long, b long")
-    # An n-gram of many nodes leads from each to the least of them.
-    leads = led.select("node", "least").union(shared.where("alone >= 0").select("alone", "least")).where("node <> least")
+    # An n-gram of many nodes, of one class, leads from each to the least of them.
+    leads = led.select("node", "least").union(classes.where("alone >= 0").select("alone", "least")).where("node <> least")
     found = staged(near.union(leads).distinct(), "candidates")
-    unstage(hot, shared, members, own)
+    unstage(hot, shared, classes, members, own)
     return found
 
 

@@ -301,6 +301,26 @@ def test_jaccard_of_frequent_and_chance_ngrams(spark, monkeypatch):
     assert collections.Counter(map(tuple, got.collect())) == components(rows)
 
 
+def test_jaccard_of_large_groups_that_share_a_passage(spark, monkeypatch):
+    from tests.llm.test_llm import components
+
+    draw, passage = random.Random(11), [f"p{i}" for i in range(30)]
+    rows = []
+    for g in range(5):
+        base = passage + [f"g{g}w{i}" for i in range(60)]
+        for _ in range(40):
+            w = list(base)
+            for _ in range(draw.choice([0, 1, 1, 2])):
+                w[draw.randrange(30, len(w))] = f"x{draw.randrange(10**6)}"
+            rows.append((len(rows), " ".join(w), "s"))
+    for w in ([f"g0w{i}" for i in range(60)], passage + [f"g1w{i}" for i in range(58)] + ["end", "of"]):
+        rows.append((len(rows), " ".join(w), "s"))
+    for name, value in (("SMALL", 4), ("BLOCK", 12)):
+        monkeypatch.setattr(jaccard, name, value)
+    got = jaccard.jaccard_components(docs(spark, rows).repartition(3))
+    assert collections.Counter(map(tuple, got.collect())) == components(rows)
+
+
 # 7 ------------------------------------------------------------------------------------------------------------------
 
 
