@@ -40,9 +40,11 @@ def measured(rows: DataFrame) -> DataFrame:
     out = rows.withColumns({"words": words(F.col("text")), "lines": lines})
     n = F.size("words")
     # The 3-word windows sorted by hash: equal ones stand side by side. Sorted again by place, each window covers three
-    # words or as many as lie before the next one's.
-    windows = F.when(n >= 3, F.transform(F.slice("words", 1, F.greatest(n - 2, F.lit(0))), lambda x, i: F.struct(F.xxhash64(x, F.get("words", i + 1), F.get("words", i + 2)).alias("h"), i.alias("i"))))
-    out = out.withColumn("windows", F.sort_array(F.coalesce(windows, F.array().cast("array<struct<h:bigint,i:int>>"))))
+    # words or as many as lie before the next one's. Texts whose windows all differ need no sort.
+    hashes = F.when(n >= 3, F.transform(F.slice("words", 1, F.greatest(n - 2, F.lit(0))), lambda x, i: F.xxhash64(x, F.get("words", i + 1), F.get("words", i + 2))))
+    out = out.withColumn("hashes", hashes)
+    placed = F.sort_array(F.transform("hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    out = out.withColumn("windows", F.when(F.size(F.array_distinct("hashes")) < F.size("hashes"), placed).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")))
     twin = lambda x, j: (F.get("windows", j - 1)["h"] == x["h"]) | (F.get("windows", j + 1)["h"] == x["h"])
     out = out.withColumn("twins", F.sort_array(F.transform(F.filter("windows", lambda x, j: F.coalesce(twin(x, j), F.lit(False))), lambda x: x["i"])))
     covered = F.aggregate(F.transform("twins", lambda p, j: F.least(F.coalesce(F.get("twins", j + 1) - p, F.lit(3)), F.lit(3))), F.lit(0), lambda a, x: a + x)
@@ -52,7 +54,7 @@ def measured(rows: DataFrame) -> DataFrame:
         "n_symbols": F.length(F.regexp_replace(body, "[^#*$%&|<>]+", "")).cast("long"),
         "n_dup_lines": (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"),
         "n_repeat_words": covered.cast("long"),
-    }).drop("lines", "windows", "twins")
+    }).drop("lines", "hashes", "windows", "twins")
 
 
 def buckets(word_list: Column, n: int) -> Column:
