@@ -92,6 +92,14 @@ class Engine:
                 offered = offered.withColumn(n, expand.with_default(F.col(n), schema[n].default))
         return assets.file_links(offered, found.withColumnRenamed(schema.entity.name, "entity"), "entity", names)
 
+    def relaxed(self, constraints: predicates.Constraints) -> dict[str, int]:
+        """Hits without each facet of the constraints, by its name; without any facet, nothing."""
+        schema = self.catalog.schema
+        if unknown := [k for k in constraints if schema.asked_by(k) is None]:
+            raise CatalogError(f"no facet {', '.join(unknown)}")
+        counts = predicates.relaxed(self.catalog.records(), schema, constraints).where("dropped <> ''").collect()
+        return {r.dropped: r.hits for r in counts}
+
     def access(self, constraints: predicates.Constraints, query: str = "", with_files: bool | None = None) -> Access:
         """Counts, profiles, predicate, link and code of what the constraints leave, and the links of files where they are
         asked for: by with_files, else by the query, if there are hits."""

@@ -51,9 +51,18 @@ def has_both(text: Column, a: str, b: str) -> Column:
     return F.get_json_object(text, f"$.{a}").isNotNull() & F.get_json_object(text, f"$.{b}").isNotNull()
 
 
+def shown(response: Column) -> Column:
+    """What is displayed of a response: the summary of one that holds it beside its full result, else all of it."""
+    return F.when(has_both(response, "summary", "full_result"), F.get_json_object(response, "$.summary")).otherwise(response)
+
+
+def joined(chunks: DataFrame, key: str, order: str, text: Column, name: str) -> DataFrame:
+    """The chunks of each key as one text, in order; a null one adds nothing."""
+    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.coalesce(text, F.lit("")).alias("t"))))
+    return chunks.groupBy(key).agg(F.array_join(F.transform(rows, lambda r: r["t"]), "").alias(name))
+
+
 def history(turns: DataFrame, key: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """Each conversation as one text, a line for a turn; whoever isn't the user is the assistant."""
     who = F.when(F.col(role) == "user", "User").otherwise("Assistant")
-    line = F.concat(who, F.lit(": "), F.coalesce(text, F.lit("")), F.lit("\n"))
-    rows = F.array_sort(F.collect_list(F.struct(F.col(turn).alias("t"), line.alias("l"))))
-    return turns.groupBy(key).agg(F.array_join(F.transform(rows, lambda r: r["l"]), "").alias("history"))
+    return joined(turns, key, turn, F.concat(who, F.lit(": "), F.coalesce(text, F.lit("")), F.lit("\n")), "history")

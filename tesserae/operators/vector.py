@@ -46,3 +46,8 @@ def search_components(store: DataFrame, queries: DataFrame, facets: dict[str, st
     named = F.create_map(*(F.lit(x) for pair in facets.items() for x in pair))
     asked = queries.where("text <> ''").select(F.col("component").alias("query_id"), "query")
     return top_k_each(store, asked, k, key=key).select(F.try_element_at(named, F.col("query_id")).alias("facet"), key, "score", "rank")
+
+
+def previewed(hits: DataFrame, content: str, rows: int = 5, length: int = 100) -> DataFrame:
+    """The first hits of each facet, by rank, with the beginning of their content: what a log shows."""
+    return hits.where(F.col("rank") <= rows).withColumn(content, F.substring(content, 1, length))

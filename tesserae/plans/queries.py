@@ -314,6 +314,14 @@ def split_and_search(spark, sf_dir):
     return hits(spark, sf_dir).select("facet", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
+@query(f"""WITH {ASKED}, s AS (SELECT component || '_id' AS facet, vec_id, {distance('embedding', 'query')} AS score FROM embeddings, asked WHERE component <> 'source'),
+r AS (SELECT facet, vec_id, row_number() OVER (PARTITION BY facet ORDER BY score, vec_id) AS rank FROM s)
+SELECT facet, rank, substring(text, 1, 100) AS content FROM r JOIN documents ON doc_id = vec_id WHERE rank <= 5""")
+def hit_preview(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), F.col("text").alias("content"))
+    return vector.previewed(hits(spark, sf_dir).join(docs, "vec_id"), "content").select("facet", "rank", "content")
+
+
 @query(f"""WITH {ASKED}, s AS (SELECT component || '_id' AS facet, vec_id, {distance('embedding', 'query')} AS score FROM embeddings, asked WHERE component <> 'source'),
 r AS (SELECT facet, vec_id, row_number() OVER (PARTITION BY facet ORDER BY score, vec_id) AS rank FROM s),
 h AS (SELECT facet, 'name' || (vec_id % 7)::VARCHAR AS value, lang || ': ' || source || ': ' || doc_id::VARCHAR AS description, rank FROM r JOIN documents ON doc_id = vec_id WHERE rank <= 20),
@@ -346,6 +354,19 @@ def chat_history_format(spark, sf_dir):
     return X.history(table(spark, sf_dir, "conversations"))
 
 
+@query("SELECT user_id, string_agg(event_type, '' ORDER BY event_id) AS said FROM events GROUP BY 1")
+def chunk_accumulate(spark, sf_dir):
+    return X.joined(table(spark, sf_dir, "events"), "user_id", "event_id", F.col("event_type"), "said")
+
+
+@query("SELECT event_id, CASE event_id % 3 WHEN 2 THEN '{\"summary\": \"' || event_type || '\"}' ELSE event_type END AS shown FROM events")
+def response_shown(spark, sf_dir):
+    third, start = F.col("event_id") % 3, F.concat(F.lit('{"summary": "'), "event_type")
+    whole = F.concat(start, F.lit('", "full_result": "r"}'))
+    response = F.when(third == 0, whole).when(third == 1, F.col("event_type")).otherwise(F.concat(start, F.lit('"}')))
+    return table(spark, sf_dir, "events").select("event_id", X.shown(response).alias("shown"))
+
+
 @query(r"""SELECT conv_id, turn, regexp_replace(replace(replace(replace(replace(lower('User wants ' || text || '  user need X' || chr(9)), 'user want ', ''), 'user wants ', ''), 'user need ', ''), 'user needs ', ''), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') AS cleaned FROM conversations""")
 def clean_query(spark, sf_dir):
     said = F.concat(F.lit("User wants "), "text", F.lit("  user need X\t"))

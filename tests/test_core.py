@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tesserae import render
+from tesserae.agent import Agent, Config, Step, Turn
 from tesserae.engine import CatalogError, Engine, Site
 from tesserae.functions import text as X
 from tesserae.operators import assets, expand, predicates, profile, vector, vocab
@@ -189,6 +190,38 @@ def test_engine_of_the_archive(spark):
     got.close()
 
 
+def test_agent(spark):
+    rows = [(["m1"], ["ocean"], "k"), (["m1"], ["ocean", "seaIce"], "k"), (["m2"], ["seaIce"], "l")]
+    schema = FacetSchema((Facet("source_id", True, ("m1", "m2")), Facet("realm", True, ("ocean", "seaIce")), Facet("kind", domain=("k", "l"))))
+    engine = Engine(TableCatalog(spark.createDataFrame(rows, DDL), schema), LexicalPlanner(schema), WholeQuery())
+    got = Agent(engine).answer("ocean of m1")
+    assert got.facet_values == {"source_id": ["m1"], "realm": ["ocean"]} and got.access.hit_count == 2
+    assert [t.tool for t in got.turns] == ["", "search", "access", ""] and "2 datasets" in got.text
+    # Without the source, nothing is left of ocean and l; without the realm, one record is; without the kind, nothing.
+    got = Agent(engine).answer("ocean of m2, kind l", [Turn("user", "before"), Turn("assistant", "so")])
+    assert got.facet_values == {"source_id": ["m2"], "kind": ["l"]} and got.access.hit_count == 1
+    assert [t.tool for t in got.turns[2:]] == ["", "search", "access", "relax", "access", ""]
+    assert got.turns[5].found["hits"] == {"source_id": 0, "realm": 1, "kind": 0}
+    got.access.close()
+    got = Agent(engine, Config(iterations=2)).answer("ocean of m2, kind l")
+    assert got.text == "No answer after 2 calls." and [t.tool for t in got.turns] == ["", "search", "access", ""]
+
+    class Clumsy:
+        """Makes every mistake once, then says what it was told."""
+
+        steps = [Step(tool="fly"), Step(tool="search"), Step(tool="access", arguments={"facet_values": {"nope": ["x"]}}), Step(tool="advise", arguments={"query": "q", "relevant_facets": ["kind"]})]
+
+        def next(self, turns):
+            n = sum(t.role == "tool" for t in turns)
+            return self.steps[n] if n < len(self.steps) else Step(" / ".join(t.text for t in turns if t.role == "tool" and t.found is None))
+
+    got = Agent(engine, Config("clumsy", key="secret"), {"clumsy": lambda config: Clumsy()}).answer("q")
+    assert "no tool 'fly'" in got.text and "query" in got.text and "no facet nope" in got.text and got.access is None
+    assert got.facet_values == {"kind": ["k", "l"]} and "secret" not in repr(Config(key="secret"))
+    with pytest.raises(CatalogError):
+        Agent(engine, Config("nope"))
+
+
 def test_predicates_of_lists_and_nothing(spark):
     df = spark.createDataFrame([(["b", "none", ""], None), (None, "NONE"), (["a"], "")], "x array<string>, y string")
     assert predicates.predicate_string(df, ["x", "y"]).first()[0] == "x == ['a', 'b']"
