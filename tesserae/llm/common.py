@@ -44,6 +44,12 @@ def id_key(key: Column) -> Column:
     return F.when(key.isNull(), "null").otherwise(F.concat(F.lit("id "), key.cast("string")))
 
 
+def is_finite_vector(vector: Column) -> Column:
+    """Neither null nor with an entry that is null or not finite; an empty vector is one too."""
+    bounded = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
+    return vector.isNotNull() & F.coalesce(F.forall(vector, bounded), F.lit(False))
+
+
 #: Words of 64 bits in a sieve, of which each is a row of what is broadcast: 4 MB of them at most, whatever the corpus.
 SIEVE = 1 << 18
 

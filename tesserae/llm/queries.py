@@ -168,10 +168,63 @@ SELECT page_id, host, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_droppe
 """
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.llm.whitening import whiten
+
+    rows, found = whiten(table(spark, sf_dir, "embeddings"))
+    long = rows.select("vec_id", "deviation", F.posexplode("whitened").alias("place", "whitened"))
+    explained = F.get(F.lit(found.explained if found else [0.0]), F.col("place"))
+    return long.select(
+        "vec_id", (F.col("place") + 1).alias("component"), F.lit(found.n if found else 0).cast("long").alias("n"), F.col("deviation").cast("long").alias("deviation"), "whitened",
+        explained.alias("explained"), F.lit(found.identity_error if found else 0.0).alias("identity_error"),
+    )
+
+
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tesserae.llm.packing import pack, pieces
+
+    cut = pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return pack(cut).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.llm.codes import codebooks_sha256, compress, error_by
+
+    coded, books = compress(table(spark, sf_dir, "embeddings"), carry=["label"])
+    return error_by(coded, "label").select("vec_id", "code", "error", "label_error", F.lit(codebooks_sha256(books)).alias("codebooks_sha256"))
+
+
+def op13_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Rounds follow one another as tables; vectors of one length, a multiple of the parts."""
+    gap = "list_sum(list_transform(list_zip(q, e), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+    out = f"""WITH v AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS MATERIALIZED (SELECT rid, part, x[part * (len(x) // {parts}) + 1:(part + 1) * (len(x) // {parts})] AS q FROM v, range({parts}) r(part)),
+f AS (SELECT rid, row_number() OVER (ORDER BY vec_id NULLS LAST, x) - 1 AS entry FROM v QUALIFY entry < {entries}),
+b0 AS MATERIALIZED (SELECT part, entry, q AS e FROM s JOIN f USING (rid))"""
+    for k in range(rounds + 1):
+        out += f""",
+a{k} AS MATERIALIZED (SELECT rid, part, q, min(struct_pack(d := {gap}, entry := entry)) AS m FROM s JOIN b{k} USING (part) GROUP BY 1, 2, 3)"""
+        if k < rounds:
+            out += f""",
+m{k} AS (SELECT part, entry, place, floor(sum(y) / count(*))::BIGINT AS y, sum(y)::HUGEINT AS total, count(*) AS n FROM (SELECT part, m.entry AS entry, unnest(q) AS y, generate_subscripts(q, 1) AS place FROM a{k}) GROUP BY 1, 2, 3),
+l{k} AS (SELECT part, entry, list((total - ((total % n) + n) % n) // n ORDER BY place)::BIGINT[] AS e FROM m{k} GROUP BY 1, 2),
+b{k + 1} AS MATERIALIZED (SELECT part, entry, coalesce(l{k}.e, b{k}.e) AS e FROM b{k} LEFT JOIN l{k} USING (part, entry))"""
+    return out + f""",
+c AS (SELECT rid, string_agg(printf('%02x', m.entry), '' ORDER BY part) AS code, sum(m.d)::BIGINT AS error FROM a{rounds} GROUP BY 1),
+h AS (SELECT sha256(string_agg(y::VARCHAR, ',' ORDER BY part, entry, place)) AS codebooks_sha256 FROM (SELECT part, entry, unnest(e) AS y, generate_subscripts(e, 1) AS place FROM b{rounds}))
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM c JOIN v USING (rid), h"""
+
+
+OP13_SQL = op13_sql()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_quality_rules, op2_license_scan, op3_byte_bpe, op4_url_reputation, op5_hidden_markov, op6_ngram_jaccard, op7_toxicity, op8_nn_descent, op9_mixing, op10_line_dedup)
+    found = (op1_quality_rules, op2_license_scan, op3_byte_bpe, op4_url_reputation, op5_hidden_markov, op6_ngram_jaccard, op7_toxicity, op8_nn_descent, op9_mixing, op10_line_dedup, op11_whitening, op12_best_fit_packing, op13_vector_codes)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_reputation": OP4_SQL, "op6_ngram_jaccard": OP6_SQL, "op8_nn_descent": OP8_SQL, "op9_mixing": OP9_SQL, "op10_line_dedup": OP10_SQL}
+    return {"op4_url_reputation": OP4_SQL, "op6_ngram_jaccard": OP6_SQL, "op8_nn_descent": OP8_SQL, "op9_mixing": OP9_SQL, "op10_line_dedup": OP10_SQL, "op13_vector_codes": OP13_SQL}
