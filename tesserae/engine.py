@@ -30,7 +30,8 @@ class Site:
 
 @dataclass
 class Access:
-    """What the constraints leave. records stay cached for all of it; close() lets them go."""
+    """What the constraints leave. records stay cached for all of it; close() lets them go. Of the links, unique_links has the
+    first of each address, and link_stats how many there are of both."""
 
     hit_count: int
     facet_counts: DataFrame
@@ -41,7 +42,10 @@ class Access:
     link: str
     snippet: str
     markdown: str
+    json: str
     links: DataFrame | None
+    unique_links: DataFrame | None
+    link_stats: DataFrame | None
     records: DataFrame
 
     def close(self) -> None:
@@ -59,11 +63,14 @@ class Engine:
             raise CatalogError(f"can't search for {', '.join(unknown)}; only for {', '.join(COMPONENT_FACETS)}")
         if not fields or self.store is None or self.embedder is None:
             return {}
-        out = {}
-        for component, text in self.splitter.split(query).items():
-            if component in fields and text:
-                near = vector.top_k(self.store.where(self.store["component"] == component), self.embedder.embed(text), k)
-                out[COMPONENT_FACETS[component]] = [(r["name"], r["description"]) for r in near.orderBy("rank").collect()]
+        parts = {c: text for c, text in self.splitter.split(query).items() if c in fields and text}
+        out: dict[str, list[tuple[str, str]]] = {COMPONENT_FACETS[c]: [] for c in parts}
+        if parts:
+            asked = [(c, text, [float(x) for x in self.embedder.embed(text)]) for c, text in parts.items()]
+            queries = self.store.sparkSession.createDataFrame(asked, "component string, text string, query array<double>")
+            near = vector.search_components(self.store, queries, COMPONENT_FACETS, k, among="component", carry=["name", "description"])
+            for r in near.orderBy("facet", "rank").collect():
+                out[r.facet].append((r["name"], r.description))
         return out
 
     def advise(self, query: str, relevant: list[str], fields: list[str]) -> FacetSchema:
@@ -114,7 +121,11 @@ class Engine:
         predicate = predicates.predicate_string(known, attributes).first()[0]
         link = predicates.search_link(site.base, constraints, site.project)
         asked = bool(count) and self.files is not None and (self.planner.wants_files(query) if with_files is None else with_files)
+        counts = profile.facet_counts(records, schema)
+        found = self.links(records) if asked else None
+        unique = assets.dedup_first(found) if found is not None else None
+        stats = assets.link_stats(found) if found is not None else None
         return Access(
-            count, profile.facet_counts(records, schema), profile.entity_profile(records, schema), profile.profile_table(records, schema), lines,
-            predicate, link, render.snippet(site.store, predicate), render.markdown(query, count, lines, link, asked), self.links(records) if asked else None, records,
+            count, counts, profile.entity_profile(records, schema), profile.profile_table(records, schema), lines, predicate, link, render.snippet(site.store, predicate),
+            render.markdown(query, count, lines, link, asked), render.facet_json(counts, count), found, unique, stats, records,
         )

@@ -5,11 +5,13 @@ Order is always a column (seq), for frames have none of their own.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tesserae.operators import expand
+from tesserae.staging import staged
 
 #: Nodes by preference (fixed values).
 PREFERRED_NODES = ("aims3.llnl.gov", "esgf-data1.llnl.gov", "esgf-data2.llnl.gov")
@@ -77,11 +79,21 @@ def link_stats(links: DataFrame, by: str = "url") -> DataFrame:
 
 
 def preview(links: DataFrame, group: list[str], seq: str = "seq", above: int = PREVIEW_ABOVE, rows: int = PREVIEW_ROWS) -> DataFrame:
-    """What is shown of each group: all, or the first rows of one that is larger. Sizes come from an aggregate, so that only
-    the rows that can be shown are ranked."""
-    sizes = links.groupBy(*group).agg(F.count("*").alias("total"))
-    ranked = links.withColumn("rank", F.row_number().over(W.partitionBy(*group).orderBy(seq)).cast("long")).where(F.col("rank") <= above)
-    return ranked.join(sizes, group).where((F.col("total") <= above) | (F.col("rank") <= rows))
+    """What is shown of each group: all, or the first rows of one that is larger; with rank (from 1) and total, which are
+    called #rank and #total where the links have such columns themselves.
+
+    The links are written once, for sizes and ranks both need them; sizes come from an aggregate, so that only the rows that
+    can be shown are ranked, and no task sorts a group.
+    """
+    rank, total = (f"#{n}" if n in links.columns else n for n in ("rank", "total"))
+    keys = [f"#key{i}" for i in range(len(group))]
+    packed = staged(links.select(F.struct("*").alias("#row"), *(F.col(g).alias(k) for g, k in zip(group, keys)), F.col(seq).alias("#seq")), "links")
+    sizes = packed.groupBy(*keys).agg(F.count("*").alias(total))
+    place = F.row_number().over(W.partitionBy(*keys).orderBy("#seq")).cast("long")
+    ranked = packed.withColumn(rank, place).where(F.col(rank) <= above)
+    met = reduce(lambda x, y: x & y, (F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys), F.lit(True))
+    shown = ranked.alias("a").join(sizes.alias("b"), met).where((F.col(total) <= above) | (F.col(rank) <= rows))
+    return shown.select("#row.*", rank, total)
 
 
 def link_table(links: DataFrame, group: list[str], parameters: list[str], seq: str = "seq") -> DataFrame:
@@ -96,35 +108,51 @@ def last_match(store: DataFrame, condition: Column, seq: str, columns: list[str]
     return store.where(condition).select(F.max_by(F.struct(*columns), seq).alias("r")).where("r IS NOT NULL").select("r.*")
 
 
-def combination_files(choices: DataFrame, files: DataFrame, keys: list[str]) -> DataFrame:
-    """The files of each combination: one join in place of a lookup for each."""
-    return choices.join(files, keys)
+def combination_files(choices: DataFrame, files: DataFrame, keys: list[str], entity: str) -> DataFrame:
+    """The files of each combination: a join in place of a lookup for each. A key that a combination has null is not asked
+    for; such combinations join by the entity, and the others by all keys. Result: the combination and the files' other
+    columns."""
+    rest = [c for c in files.columns if c not in (*keys, entity)]
+    asked = [k for k in keys if k != entity]
+    whole = reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in asked), F.lit(True))
+    full = choices.where(whole).join(files, [entity, *asked]).select(entity, *asked, *rest)
+    some = choices.where(~whole).alias("c").join(files.alias("f"), [entity])
+    fits = reduce(lambda a, b: a & b, (F.col(f"c.{k}").isNull() | (F.col(f"c.{k}") == F.col(f"f.{k}")) for k in asked), F.lit(True))
+    return full.unionByName(some.where(fits).select(entity, *(F.col(f"c.{k}") for k in asked), *rest))
 
 
 def file_links(offered: DataFrame, files: DataFrame, entity: str, parameters: list[str], preferred: tuple[str, ...] = PREFERRED_NODES, above: int = PREVIEW_ABOVE, rows: int = PREVIEW_ROWS) -> DataFrame:
-    """From what each entity offers to its links: combinations, their files, one replica of each, what is shown, and how.
-
-    offered: entity and a list for each parameter; files: entity, parameters and url. A file is known by its name and by the
-    parameters that offer several values for its entity. Links come in the order of their first replica: by the parameters'
-    values in turn, then by url. Result: entity, the parameters, filename, node, url, seq (that order), total (links of the
-    entity), shown (whether the link is displayed), id (the place, from 1, of one that is), date_range, and varying: the parameters that have
-    several values among the displayed links of the entity, with the link's own.
+    """From what each entity offers to its links: its combinations' files, one replica of each, what is shown, and how.
+
+    offered: entity (of one row) and a list of distinct values for each parameter; files: entity, parameters and url. A file
+    belongs to a combination if the entity offers each of its values; a parameter for which it offers nothing (an empty list
+    or null) is not asked for, so that all files pass it, and is null in their links. No combination is ever made: a file
+    meets one at most, so that files join with lists. A file is known by its name and by the parameters that offer several
+    values for its entity. Links come in the order of their first replica: by the parameters' values in turn, then by url.
+    Result: entity, the parameters, filename, node, url, seq (that order), total (links of the entity), shown (whether the
+    link is displayed), id (the place, from 1, of one that is), date_range, and varying: the parameters that have several
+    values among the displayed links of the entity, with the link's own. The best replicas are written once, as totals,
+    ranks and variation are all made of them.
     """
-    several = F.array_compact(F.array(*(F.when(F.size(p) > 1, F.lit(p)) for p in parameters)))
-    wide = offered.select(F.col(entity), several.alias("#several"), *parameters)
-    chosen = expand.combinations(wide, [entity, "#several"], parameters)
-    met = chosen.join(files.select(entity, *parameters, "url"), [entity, *parameters])
+    names = [f"#{p}" for p in parameters]
+    lists = offered.select(entity, *(F.when(F.size(p) > 0, F.col(p)).alias(n) for p, n in zip(parameters, names)))
+    met = files.select(entity, *parameters, "url").join(lists, entity)
+    met = met.where(reduce(lambda a, b: a & b, (F.col(n).isNull() | F.array_contains(n, F.col(p)) for p, n in zip(parameters, names)), F.lit(True)))
     url = F.col("url")
-    parts = [F.when(F.array_contains("#several", p), F.col(p)) for p in parameters]
-    met = met.withColumns({"filename": filename(url), "node": node(url), "#key": F.struct(*(x.alias(p) for x, p in zip(parts, parameters))), "#seq": F.struct(*parameters, "url")})
+    key = F.struct(*(F.when(F.size(n) > 1, F.col(p)).alias(p) for p, n in zip(parameters, names)))
+    own = [F.when(F.col(n).isNotNull(), F.col(p)).alias(p) for p, n in zip(parameters, names)]
+    met = met.select(entity, *own, "url", filename(url).alias("filename"), node(url).alias("node"), key.alias("#key"))
+    met = met.withColumn("#seq", F.struct(*parameters, "url"))
     group = W.partitionBy(entity, "filename", "#key")
-    best = met.withColumns({"seq": F.min("#seq").over(group), "#n": F.row_number().over(group.orderBy(preference(preferred), "#seq"))}).where(F.col("#n") == 1).drop("#n")
+    best = met.withColumns({"seq": F.min("#seq").over(group), "#n": F.row_number().over(group.orderBy(preference(preferred), "#seq"))}).where(F.col("#n") == 1)
+    best = staged(best.select(entity, *parameters, "filename", "node", "url", "seq"), "best-replicas")
+
     totals = best.groupBy(entity).agg(F.count("*").alias("total"))
     # Only the rows that can be displayed are ranked, so that no task sorts all links of a large entity.
     ranked = best.select(entity, "seq", *parameters, F.row_number().over(W.partitionBy(entity).orderBy("seq")).cast("long").alias("id")).where(F.col("id") <= above)
-    shown = ranked.join(totals, entity).where((F.col("total") <= above) | (F.col("id") <= rows))
-    counts = shown.groupBy(entity).agg(F.array_compact(F.array(*(F.when(F.count_distinct(p) > 1, F.lit(p)) for p in parameters))).alias("#varying"))
-    own = F.create_map(*(x for p in parameters for x in (F.lit(p), F.col(p))))
-    shown = shown.join(counts, entity).select(entity, "seq", "id", F.map_filter(own, lambda k, _: F.array_contains("#varying", k)).alias("varying"))
-    out = best.join(totals, entity).join(shown, [entity, "seq"], "left")
+    shown = staged(ranked.join(totals, entity).where((F.col("total") <= above) | (F.col("id") <= rows)), "displayed")
+    several = shown.groupBy(entity).agg(F.array_compact(F.array(*(F.when(F.count_distinct(p) > 1, F.lit(p)) for p in parameters))).alias("#varying"), F.first("total").alias("total"))
+    pairs = F.create_map(*(x for p in parameters for x in (F.lit(p), F.col(p))))
+    placed = shown.drop("total").join(several.drop("total"), entity).select(entity, "seq", "id", F.map_filter(pairs, lambda k, _: F.array_contains("#varying", k)).alias("varying"))
+    out = best.join(several.drop("#varying"), entity).join(placed, [entity, "seq"], "left")
     return out.select(entity, *parameters, "filename", "node", "url", "seq", "total", F.col("id").isNotNull().alias("shown"), "id", date_range(F.col("filename")).alias("date_range"), "varying")

@@ -12,10 +12,13 @@ def with_default(values: Column, default: str) -> Column:
 
 
 def combinations(frame: DataFrame, keys: list[str], parameters: list[str]) -> DataFrame:
-    """A row for each choice of one value of every parameter. Generators in a chain: nothing is shuffled."""
+    """A row for each choice of one value of every parameter. Generators in a chain: nothing is shuffled.
+
+    A parameter whose list is null or empty offers no choice: it is null in all rows, which stands for any value.
+    """
     out = frame.select(*keys, *parameters)
     for p in parameters:
-        out = out.withColumn(p, F.explode(p))
+        out = out.withColumn(p, F.explode_outer(p))
     return out
 
 
@@ -23,5 +26,5 @@ def combination_count(parameters: list[str]) -> Column:
     """How many rows combinations() makes of a row, to look before leaping."""
     out = F.lit(1).cast("long")
     for p in parameters:
-        out = out * F.size(p)
+        out = out * F.greatest(F.lit(1), F.coalesce(F.size(p), F.lit(0)))
     return out

@@ -73,17 +73,16 @@ def predicate_part(name: str, values: Column) -> Column:
 def values_of(frame: DataFrame, names: list[str], keys: list[str] | None = None) -> DataFrame:
     """keys, facet, value: a row for each value that a row has in columns of strings or of lists, null ones and sentinels too.
 
-    One pass over the frame: a row is repeated as often as its longest list has items, list items stand at their places,
-    scalars at the first; then one unpivot. So the frame's scans and joins run once, however many lists there are.
+    One pass over the frame, so that its scans and joins run once: where there are lists, a row is laid out as one list for
+    each column, and these lists as their items. No more rows are made than there are columns or values.
     """
     keys = keys or []
     lists = [n for n in names if isinstance(frame.schema[n].dataType, T.ArrayType)]
-    if lists:
-        longest = F.greatest(F.lit(1), *(F.coalesce(F.size(n), F.lit(0)) for n in lists))
-        places = frame.select(*keys, *names, F.explode(F.sequence(F.lit(0), longest - 1)).alias("#"))
-        cell = lambda n: F.get(F.col(n), F.col("#")) if n in lists else F.when(F.col("#") == 0, F.col(n))
-        frame = places.select(*keys, *(cell(n).alias(n) for n in names))
-    return frame.select(*keys, *names).unpivot(keys, names, "facet", "value")
+    if not lists:
+        return frame.select(*keys, *names).unpivot(keys, names, "facet", "value")
+    cells = F.array(*(F.col(n) if n in lists else F.array(n) for n in names))
+    spread = frame.select(*keys, F.posexplode(cells).alias("#place", "#cell"))
+    return spread.select(*keys, F.get(F.lit(names), F.col("#place")).alias("facet"), F.explode("#cell").alias("value"))
 
 
 def predicate_string(records: DataFrame, names: list[str], legacy: bool = False) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tesserae.functions import text as X
 from tesserae.operators import assets, expand, predicates, profile, vector, vocab
 from tesserae.sources.catalog import SALES, SalesCatalog
+from tesserae.staging import staged
 
 CONSTRAINTS = {"o_orderpriority": ["1-URGENT", "2-HIGH"], "c_mktsegment": "BUILDING", "l_returnflag": ["A", "N"]}
 NAMED = ["l_returnflag", "l_linestatus", "o_orderstatus", "o_orderpriority", "c_mktsegment", "p_type", "n_name", "r_name"]
@@ -170,29 +171,31 @@ def file_scan_by_service(spark, sf_dir):
     return assets.of_service(table(spark, sf_dir, "pages").select(entries.alias("url")), "opendap")
 
 
-OFFERED = f"""offered AS (SELECT p_brand, CASE WHEN p_brand IN ('Brand#11', 'Brand#12') THEN [] ELSE list_sort(list_distinct(list(o_orderpriority))) END AS o_orderpriority, list_sort(list_distinct(list(c_mktsegment))) AS c_mktsegment, list_sort(list_distinct(list(r_name))) AS r_name FROM cat GROUP BY 1),
+OFFERED = f"""offered AS (SELECT p_brand, CASE WHEN p_brand IN ('Brand#11', 'Brand#12') THEN [] ELSE list_sort(list_distinct(list(o_orderpriority))) END AS o_orderpriority, list_sort(list_distinct(list(c_mktsegment))) AS c_mktsegment, CASE WHEN p_brand = 'Brand#13' THEN [NULL] ELSE list_sort(list_distinct(list(r_name))) END AS r_name FROM cat GROUP BY 1),
 chosen AS (SELECT p_brand, unnest(o) AS o_orderpriority, c_mktsegment, r_name FROM (SELECT p_brand, CASE WHEN len(o_orderpriority) = 0 THEN ['3-MEDIUM'] ELSE o_orderpriority END AS o, c_mktsegment, r_name FROM offered)),
 chosen2 AS (SELECT p_brand, o_orderpriority, unnest(c_mktsegment) AS c_mktsegment, r_name FROM chosen), chosen3 AS (SELECT p_brand, o_orderpriority, c_mktsegment, unnest(r_name) AS r_name FROM chosen2)"""
 
 
-def offered(spark, sf_dir) -> DataFrame:
-    sets = records(spark, sf_dir).groupBy("p_brand").agg(*(F.array_sort(F.collect_set(c)).alias(c) for c in ("o_orderpriority", "c_mktsegment", "r_name")))
-    some = F.when(F.col("p_brand").isin("Brand#11", "Brand#12"), F.array().cast("array<string>")).otherwise(F.col("o_orderpriority"))
-    filled = sets.withColumn("o_orderpriority", expand.with_default(some, "3-MEDIUM"))
+def offered(lines: DataFrame) -> DataFrame:
+    """Two brands offer no priority, for which there is a default; one offers no region, for which there is none."""
+    sets = lines.groupBy("p_brand").agg(*(F.array_sort(F.collect_set(c)).alias(c) for c in ("o_orderpriority", "c_mktsegment", "r_name")))
+    nothing = F.array().cast("array<string>")
+    some = F.when(F.col("p_brand").isin("Brand#11", "Brand#12"), nothing).otherwise(F.col("o_orderpriority"))
+    filled = sets.withColumn("o_orderpriority", expand.with_default(some, "3-MEDIUM")).withColumn("r_name", F.when(F.col("p_brand") == "Brand#13", nothing).otherwise(F.col("r_name")))
     return expand.combinations(filled, ["p_brand"], ["o_orderpriority", "c_mktsegment", "r_name"])
 
 
 @query(f"WITH {CATALOG}, {OFFERED} SELECT * FROM chosen3")
 def param_combinations(spark, sf_dir):
-    return offered(spark, sf_dir)
+    return offered(records(spark, sf_dir))
 
 
 @query(f"""WITH {CATALOG}, {OFFERED}, files AS (SELECT p_brand, o_orderpriority, c_mktsegment, r_name, count(*) AS n_files FROM cat GROUP BY ALL)
-SELECT p_brand, o_orderpriority, c_mktsegment, r_name, n_files FROM chosen3 JOIN files USING (p_brand, o_orderpriority, c_mktsegment, r_name)""")
+SELECT c.*, n_files FROM chosen3 c JOIN files f ON c.p_brand = f.p_brand AND c.o_orderpriority = f.o_orderpriority AND c.c_mktsegment = f.c_mktsegment AND (c.r_name IS NULL OR c.r_name = f.r_name)""")
 def combination_file_join(spark, sf_dir):
     keys = ["p_brand", "o_orderpriority", "c_mktsegment", "r_name"]
-    files = records(spark, sf_dir).groupBy(*keys).agg(F.count("*").alias("n_files"))
-    return assets.combination_files(offered(spark, sf_dir), files, keys)
+    files = staged(records(spark, sf_dir).groupBy(*keys).agg(F.count("*").alias("n_files")), "files")
+    return assets.combination_files(offered(files), files, keys, "p_brand")
 
 
 @query(f"WITH {LINKS}, {LIKED} SELECT filename, node, url, seq FROM links LEFT JOIN liked USING (node) QUALIFY row_number() OVER (PARTITION BY filename ORDER BY coalesce(rank, 3), seq) = 1")
@@ -243,11 +246,11 @@ def link_table(spark, sf_dir):
 
 
 FILE_PARAMETERS = ["o_orderpriority", "c_mktsegment", "r_name"]
-FILES = """src AS (SELECT *, 'f_' || (l_suppkey % 40)::VARCHAR || '-e.nc' AS filename, 'n' || l_linenumber::VARCHAR || '.org' AS node FROM cat WHERE p_brand < 'Brand#3' OR l_linenumber = 7),
-off AS (SELECT p_brand, CASE WHEN p_brand IN ('Brand#11', 'Brand#12') THEN ['3-MEDIUM'] ELSE list_sort(list_distinct(list(o_orderpriority))) END AS o, list_sort(list_distinct(list(c_mktsegment))) AS c, list_sort(list_distinct(list(r_name))) AS r FROM src GROUP BY 1),
-met AS (SELECT src.*, 'http://' || node || '/' || filename AS url, concat_ws('|', filename, CASE WHEN len(o) > 1 THEN o_orderpriority END, CASE WHEN len(c) > 1 THEN c_mktsegment END, CASE WHEN len(r) > 1 THEN r_name END) AS key FROM src JOIN off USING (p_brand)
-  WHERE list_contains(o, o_orderpriority) AND list_contains(c, c_mktsegment) AND list_contains(r, r_name)),
-seqs AS (SELECT *, o_orderpriority || chr(1) || c_mktsegment || chr(1) || r_name || chr(1) || url AS seq FROM met),
+FILES = """src AS (SELECT * REPLACE (CASE WHEN p_brand = 'Brand#13' THEN 'None' ELSE r_name END AS r_name), 'f_' || (l_suppkey % 40)::VARCHAR || '-e.nc' AS filename, 'n' || l_linenumber::VARCHAR || '.org' AS node FROM cat WHERE p_brand < 'Brand#3' OR l_linenumber = 7),
+off AS (SELECT p_brand, CASE WHEN p_brand IN ('Brand#11', 'Brand#12') THEN ['3-MEDIUM'] ELSE list_sort(list_distinct(list(o_orderpriority))) END AS o, list_sort(list_distinct(list(c_mktsegment))) AS c, list_filter(list_sort(list_distinct(list(r_name))), lambda x: x <> 'None') AS r FROM src GROUP BY 1),
+met AS (SELECT src.* REPLACE (CASE WHEN len(r) > 0 THEN r_name END AS r_name), 'http://' || node || '/' || filename AS url, concat_ws('|', filename, CASE WHEN len(o) > 1 THEN o_orderpriority END, CASE WHEN len(c) > 1 THEN c_mktsegment END, CASE WHEN len(r) > 1 THEN r_name END) AS key FROM src JOIN off USING (p_brand)
+  WHERE list_contains(o, o_orderpriority) AND list_contains(c, c_mktsegment) AND (len(r) = 0 OR list_contains(r, r_name))),
+seqs AS (SELECT *, o_orderpriority || chr(1) || c_mktsegment || chr(1) || coalesce(r_name, '') || chr(1) || url AS seq FROM met),
 best AS (SELECT *, min(seq) OVER (PARTITION BY p_brand, key) AS first FROM seqs QUALIFY row_number() OVER (PARTITION BY p_brand, key ORDER BY CASE node WHEN 'n7.org' THEN 0 WHEN 'n3.org' THEN 1 WHEN 'n5.org' THEN 2 ELSE 3 END, seq) = 1),
 placed AS (SELECT *, count(*) OVER (PARTITION BY p_brand) AS total, row_number() OVER (PARTITION BY p_brand ORDER BY first) AS id FROM best),
 seen AS (SELECT *, total <= 500 OR id <= 10 AS shown FROM placed),
@@ -257,10 +260,13 @@ vary AS (SELECT p_brand, count(DISTINCT o_orderpriority) > 1 AS o, count(DISTINC
 @query(f"""WITH {CATALOG}, {FILES} SELECT p_brand, o_orderpriority, c_mktsegment, r_name, filename, node, url, total, shown, CASE WHEN shown THEN id END AS id, replace(string_split(filename, '_')[-1], '.nc', '') AS date_range,
 CASE WHEN shown THEN concat_ws(';', CASE WHEN o THEN 'o_orderpriority=' || o_orderpriority END, CASE WHEN c THEN 'c_mktsegment=' || c_mktsegment END, CASE WHEN r THEN 'r_name=' || r_name END) END AS varying FROM seen JOIN vary USING (p_brand)""")
 def file_pipeline(spark, sf_dir):
+    """The region of one brand is none in all its records: it asks for no region, and no file is lost by that."""
     chosen = records(spark, sf_dir).where("p_brand < 'Brand#3' OR l_linenumber = 7")
+    chosen = chosen.withColumn("r_name", F.when(F.col("p_brand") == "Brand#13", "None").otherwise(F.col("r_name")))
     url = F.concat(F.lit("http://n"), F.col("l_linenumber").cast("string"), F.lit(".org/f_"), (F.col("l_suppkey") % 40).cast("string"), F.lit("-e.nc"))
-    files = chosen.select(F.col("p_brand").alias("entity"), *FILE_PARAMETERS, url.alias("url"))
-    lists = profile.offered(chosen, SALES, FILE_PARAMETERS)
+    # Both what is offered and the files come of the same lines, which are read once.
+    files = staged(chosen.select(F.col("p_brand").alias("entity"), *FILE_PARAMETERS, url.alias("url")).distinct(), "files")
+    lists = profile.offered(files.withColumnRenamed("entity", "p_brand"), SALES, FILE_PARAMETERS)
     some = F.when(F.col("entity").isin("Brand#11", "Brand#12"), F.array().cast("array<string>")).otherwise(F.col("o_orderpriority"))
     lists = lists.withColumn("o_orderpriority", expand.with_default(some, "3-MEDIUM"))
     found = assets.file_links(lists, files, "entity", FILE_PARAMETERS, ("n7.org", "n3.org", "n5.org"))

@@ -17,6 +17,7 @@ from tesserae.planner import LexicalPlanner, ModelSplitter, StoredEmbeddings, Wh
 from tesserae.schema import CLIMATE_FACETS, REQUEST_FACETS, STORE_ATTRIBUTES, Facet, FacetSchema
 from tesserae.sources.catalog import SchemaVocabulary, TableCatalog, TableVocabulary, last_store, read_store
 from tesserae.sources.files import PagedFiles, TableFiles
+from tesserae.staging import staged
 
 SF = "/root/testdata/sf0.001"
 TWO = FacetSchema((Facet("source_id", True), Facet("realm", True, ("ocean", "seaIce")), Facet("kind")))
@@ -160,6 +161,8 @@ def test_engine_of_the_archive(spark):
         own = {**base, **over}
         return tuple(own[n] for n in CLIMATE_FACETS.names)
 
+    # What a facet of the archive has most often: nothing but a sentinel.
+    base["sub_experiment_id"] = ["none"]
     rows = [
         row(source_id=["m1", "other"], realm=["ocean", "none", ""], member_id=["s1960-r1i1p1f1"], table_id=["day"]),
         row(source_id=["m1"], realm=["ocean"], member_id=["r1i1p1f1"], table_id=["mon", "None"], grid_label=None),
@@ -167,9 +170,9 @@ def test_engine_of_the_archive(spark):
         row(source_id=["m3"], realm=["land"]),
     ]
     catalog = TableCatalog(spark.createDataFrame(rows, ddl), CLIMATE_FACETS)
-    file_rows = [("m1", m, t, [f"http://h{k}/d/tas_{k}-{k}.nc.html|x|OPENDAP", f"http://h{k}/f.nc|x|HTTPServer"]) for m in ("r1i1p1f1", "s1960-r1i1p1f1") for t in ("mon", "day") for k in (1, 2)]
-    schema = FacetSchema((Facet("source_id"), Facet("member_id"), Facet("table_id")))
-    files = TableFiles(spark.createDataFrame(file_rows, "source_id string, member_id string, table_id string, url array<string>"), schema)
+    file_rows = [("m1", m, t, "none", [f"http://h{k}/d/tas_{k}-{k}.nc.html|x|OPENDAP", f"http://h{k}/f.nc|x|HTTPServer"]) for m in ("r1i1p1f1", "s1960-r1i1p1f1") for t in ("mon", "day") for k in (1, 2)]
+    schema = FacetSchema((Facet("source_id"), Facet("member_id"), Facet("table_id"), Facet("sub_experiment_id")))
+    files = TableFiles(spark.createDataFrame(file_rows, "source_id string, member_id string, table_id string, sub_experiment_id string, url array<string>"), schema)
     engine = Engine(catalog, LexicalPlanner(CLIMATE_FACETS), WholeQuery(), files=files, site=Site("https://c.example/?", "P", "s.csv"))
     got = engine.access({"realm": "ocean"}, "ocean data, with download links")
     assert got.hit_count == 3 and "**m1**: 2" in got.summary and "**m2**: 1" in got.summary
@@ -183,6 +186,9 @@ def test_engine_of_the_archive(spark):
     links = got.links.collect()
     assert len(links) == 8 and {r.entity for r in links} == {"m1"} and all(set(r.varying) == {"member_id", "table_id"} and r.shown for r in links)
     assert sorted(r.id for r in links) == list(range(1, 9)) and {r.date_range for r in links} == {"1-1", "2-2"}
+    assert {r.sub_experiment_id for r in links} == {None}
+    assert tuple(got.link_stats.first()) == (8, 2) and {r.url for r in got.unique_links.collect()} == {"http://h1/d/tas_1-1.nc", "http://h2/d/tas_2-2.nc"}
+    assert json.loads(got.json)["facet_counts"]["realm"] == {"ocean": 3}
     assert engine.access({"realm": "ocean"}, "ocean data").links is None and engine.access({"realm": "seaIce"}, "files").links is None
     assert engine.access({"variant_label": "r1i1p1f1"}).hit_count == 2
     empty = engine.access({"realm": "seaIce"})
@@ -287,6 +293,54 @@ def test_links_of_files(spark):
     assert [(r.b, r.id, r.varying) for r in sorted(small, key=lambda r: r.id)] == [("x", 1, {"b": "x"}), ("y", 2, {"b": "y"})]
 
 
+def test_links_where_an_entity_offers_nothing(spark):
+    ddl = "entity string, a array<string>, b array<string>"
+    lists = spark.createDataFrame([("e", [], ["x"]), ("f", None, None), ("g", ["1"], [])], ddl)
+    files = spark.createDataFrame([(e, a, b, f"http://q/{a}{b}.nc") for e in "efgh" for a in ("1", "none", None) for b in ("x", "y")], "entity string, a string, b string, url string")
+    got = {}
+    for r in assets.file_links(lists, files, "entity", ["a", "b"]).collect():
+        got.setdefault(r.entity, []).append((r.a, r.b, r.filename, r.total, r.shown))
+    assert sorted(got["e"]) == [(None, "x", f"{a}x.nc", 3, True) for a in ("1", "None", "none")]
+    assert len(got["f"]) == 6 and {r[:2] for r in got["f"]} == {(None, None)} and sorted(r[2] for r in got["g"]) == ["1x.nc", "1y.nc"] and set(got) == set("efg")
+    chosen = expand.combinations(lists, ["entity"], ["a", "b"])
+    assert {tuple(r) for r in chosen.collect()} == {("e", None, "x"), ("f", None, None), ("g", "1", None)}
+    assert [r.n for r in lists.orderBy("entity").select(expand.combination_count(["a", "b"]).alias("n")).collect()] == [1, 1, 1]
+    met = assets.combination_files(chosen, files, ["a", "b"], "entity").collect()
+    assert {r.url for r in met if r.entity == "e"} == {f"http://q/{a}x.nc" for a in ("1", "none", None)} and len([r for r in met if r.entity == "f"]) == 6
+
+
+def test_preview_keeps_own_names(spark):
+    rows = [("a", i, 7, "own", "r") for i in range(1, 13)] + [(None, 1, 7, "own", "r")]
+    links = spark.createDataFrame(rows, "entity string, seq long, total long, rank string, row string")
+    got = assets.preview(links, ["entity"], above=11, rows=3)
+    assert got.columns == [*links.columns, "#rank", "#total"]
+    assert {(r.entity, r.seq, r["#rank"], r["#total"], r.total, r["rank"]) for r in got.collect()} == {(None, 1, 1, 1, 7, "own"), *(("a", i, i, 12, 7, "own") for i in (1, 2, 3))}
+    assert assets.preview(links.limit(0), ["entity"]).count() == 0
+
+
+def test_values_make_no_more_rows_than_there_are(spark):
+    wide = spark.createDataFrame([([str(i) for i in range(1000)], None, *"abcdefghij")], "l array<string>, m array<string>, " + ", ".join(f"s{i} string" for i in range(10)))
+    names = ["l", "m", *(f"s{i}" for i in range(10))]
+    values = predicates.values_of(wide, names)
+    values.collect()
+    assert values.count() == 1010 and "Expand" not in plan(values)
+    assert {r.facet for r in values.collect()} == {"l", *names[2:]}
+
+
+def test_hits_are_one_job(spark):
+    store = spark.createDataFrame([(i, [float(i)], ("source", "variable", "experiment")[i % 3], f"n{i}", f"d{i}") for i in range(30)], "vec_id long, embedding array<float>, component string, name string, description string")
+    engine = Engine(TableCatalog(spark.createDataFrame([], DDL), TWO), LexicalPlanner(TWO), WholeQuery(), StoredEmbeddings({"q": [10.4]}), store)
+    spark.sparkContext.setJobGroup("hits", "hits")
+    found = engine.hits("q", ["source", "variable"], 2)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("hits"))
+    spark.sparkContext.setJobGroup("rest", "rest")
+    assert found == {"source_id": [("n9", "d9"), ("n12", "d12")], "variable_id": [("n10", "d10"), ("n13", "d13")]}
+    engine.hits("q", ["source"], 2)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("rest")) == jobs
+    spark.sparkContext.setJobGroup("", "")
+    assert engine.hits("q", []) == {}
+
+
 def plan(df):
     return df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
 
@@ -302,6 +356,17 @@ def test_plans(spark):
         assert plan(QUERIES[name](spark, SF)).count("lineitem.parquet") == 1, name
 
 
+def test_files_read_their_catalogue_once(spark, monkeypatch):
+    from tesserae.plans import queries
+
+    plans = []
+    monkeypatch.setattr(queries, "staged", lambda df, name: plans.append(plan(df)) or staged(df, name))
+    for name in ("file_pipeline", "combination_file_join"):
+        plans.clear()
+        plans.append(plan(queries.QUERIES[name](spark, SF)))
+        assert sum(p.count("lineitem.parquet") for p in plans) == 1, name
+
+
 def test_queries_against_sql(spark):
     duckdb = pytest.importorskip("duckdb")
     from tesserae.plans.queries import QUERIES, SQL
