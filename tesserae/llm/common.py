@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import re
 import sys
-import tempfile
-import uuid
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tesserae.staging import staged, unstage  # noqa: F401  (operators take them from here)
+
 #: What separates words, as a class of Java and Python patterns.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -64,36 +63,3 @@ def sieve(rows: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
     bits = hashed(wanted.select(*keys)).groupBy("_slot").agg(F.bit_or("_bit").alias("_bits"))
     met = hashed(rows).join(F.broadcast(bits), "_slot", "left")
     return met.withColumn("_maybe", F.coalesce(F.col("_bits").bitwiseAND(F.col("_bit")) != 0, F.lit(False))).drop("_h", "_slot", "_bit", "_bits")
-
-
-def stage_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names. Only a session in one process may do without: it gets a folder of its own."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise RuntimeError("spark.checkpoint.dir is not set: it must name a folder that the driver and all executors share")
-        root = f"file://{tempfile.mkdtemp(prefix='tesserae-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it again.
-
-    This cuts the lineage, survives the loss of executors, fixes row ids that were made on the way, and gives the
-    planner the true size of the table, by which it decides whether a join may broadcast it.
-    """
-    path = f"{stage_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def unstage(*frames: DataFrame) -> None:
-    """Delete what staged() wrote. Only for tables that nothing reads any more."""
-    for df in frames:
-        root = stage_root(df.sparkSession).rpartition(":")[2].lstrip("/")
-        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            if root in folder:
-                jvm = df.sparkSession._jvm
-                path = jvm.org.apache.hadoop.fs.Path(folder)
-                path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
