@@ -24,19 +24,20 @@ def top_k(store: DataFrame, query: list[float], k: int = TOP_K, vector: str = "e
 
 def top_k_each(store: DataFrame, queries: DataFrame, k: int = TOP_K, vector: str = "embedding", key: str = "vec_id", among: str | None = None, carry: list[str] | None = None) -> DataFrame:
     """query_id, key, the store's columns to carry, score, rank of every query's k nearest. queries: query_id, query; a stated
-    set, held against all rows; with among, against the rows whose column of that name is the query's id.
+    set, held against all rows; with among, a column that both frames have, against the rows that have the query's value of it, and a query may stand there
+    several times with different ones.
 
     So many queries at a time are sent to all tasks, of which each keeps its own k for every query; more queries take more
     passes over the store.
     """
     parts = -(-queries.count() // AT_ONCE)
-    dealt = queries.select("query_id", "query", F.pmod(F.xxhash64("query_id"), F.lit(max(parts, 1))).alias("#part"))
+    dealt = queries.select("query_id", "query", *([F.col(among).alias("#asked")] if among else []), F.pmod(F.xxhash64("query_id"), F.lit(max(parts, 1))).alias("#part"))
     carry = carry or []
     rows = store.select(key, *carry, F.col(vector).alias("#v"), *([F.col(among).alias("#among")] if among else []))
     found = None
     for part in range(max(parts, 1)):
         here = F.broadcast(dealt.where(F.col("#part") == part).drop("#part"))
-        met = rows.join(here, F.col("#among") == F.col("query_id")) if among else rows.crossJoin(here)
+        met = rows.join(here, F.col("#among") == F.col("#asked")) if among else rows.crossJoin(here)
         scored = met.select("query_id", key, *carry, squared_distance(F.col("#v"), F.col("query")).alias("score"))
         found = scored if found is None else found.union(scored)
     ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("score", key)).cast("long"))
@@ -48,7 +49,7 @@ def search_components(store: DataFrame, queries: DataFrame, facets: dict[str, st
     query; one without text asks nothing. facets: the facet that a component is searched for. among: the store's column that
     names a row's component, where a component's query asks for its own rows only."""
     named = F.create_map(*(F.lit(x) for pair in facets.items() for x in pair))
-    asked = queries.where("text <> ''").select(F.col("component").alias("query_id"), "query")
+    asked = queries.where("text <> ''").select(F.col("component").alias("query_id"), "query", *([F.col("component").alias(among)] if among else []))
     near = top_k_each(store, asked, k, key=key, among=among, carry=carry)
     return near.select(F.try_element_at(named, F.col("query_id")).alias("facet"), key, *(carry or []), "score", "rank")
 

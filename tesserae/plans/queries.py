@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from tesserae.functions import text as X
 from tesserae.operators import assets, expand, predicates, profile, vector, vocab
+from tesserae.operators.vector_index import VectorIndex
 from tesserae.sources.catalog import SALES, SalesCatalog
-from tesserae.staging import staged
+from tesserae.staging import stage_path, staged
 
 CONSTRAINTS = {"o_orderpriority": ["1-URGENT", "2-HIGH"], "c_mktsegment": "BUILDING", "l_returnflag": ["A", "N"]}
 NAMED = ["l_returnflag", "l_linestatus", "o_orderstatus", "o_orderpriority", "c_mktsegment", "p_type", "n_name", "r_name"]
@@ -302,6 +303,27 @@ def vector_topk_per_query(spark, sf_dir):
     return vector.top_k_each(store, asked).select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
+def index_of(spark, sf_dir) -> tuple[VectorIndex, DataFrame]:
+    """An index of all vectors, with as many probes as its audit asks for, and the queries: ids that 100 divides."""
+    store = table(spark, sf_dir, "embeddings")
+    asked = store.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return VectorIndex.build(store, stage_path(spark, "vector-index")).tuned(asked), asked
+
+
+@query()
+def vector_index_search(spark, sf_dir):
+    """Approximate: the neighbours that the probed cells hold, of which the audit has found 95 % or more."""
+    index, asked = index_of(spark, sf_dir)
+    return index.search(asked).select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query(SQL["vector_topk_per_query"])
+def vector_index_exact(spark, sf_dir):
+    """Exact: a second pass reads the cells that may hold a nearer vector."""
+    index, asked = index_of(spark, sf_dir)
+    return index.search(asked, exact=True).select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
+
+
 ASKED = "asked AS (SELECT CASE row_number() OVER (ORDER BY vec_id) WHEN 1 THEN 'variable' WHEN 2 THEN 'source' ELSE 'experiment' END AS component, embedding AS query FROM embeddings ORDER BY vec_id LIMIT 3)"
 
 
