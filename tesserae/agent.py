@@ -52,7 +52,8 @@ class Model(Protocol):
 
 
 class ByRule:
-    """Search and access; without hits, a facet less each time. Of facets that leave equally many hits, the last one goes."""
+    """Search and access; without hits, the smallest set of facets goes that leaves some. Of sets of one size that leaves most
+    goes, and of those that leave equally many the one that was named last."""
 
     def next(self, turns: list[Turn]) -> Step:
         asked = max(i for i, t in enumerate(turns) if t.role == "user")
@@ -65,7 +66,9 @@ class ByRule:
         if last.tool == "access":
             return Step(last.text) if last.found["hit_count"] or not values else Step(tool="relax", arguments={"facet_values": values})
         if last.tool == "relax":
-            del values[max(reversed(list(values)), key=last.found["hits"].get)]
+            order = list(values)
+            gone = max(last.found["minimal"], key=lambda x: (-len(x[0]), x[1], [order.index(n) for n in x[0]]), default=(order, 0))[0]
+            values = {k: v for k, v in values.items() if k not in gone}
         return Step(tool="access", arguments={"facet_values": values, "query": query})
 
 
@@ -107,8 +110,8 @@ class Agent:
         return Turn("tool", schema.json(), "advise", {"facet_values": {f.name: list(f.domain) for f in schema.facets}})
 
     def relax(self, facet_values: dict[str, list[str]]) -> Turn:
-        hits = self.engine.relaxed(facet_values)
-        return Turn("tool", json.dumps(hits), "relax", {"facet_values": facet_values, "hits": hits})
+        hits, sets = self.engine.relaxed(facet_values), self.engine.minimal_relaxations(facet_values)
+        return Turn("tool", json.dumps({"without": hits, "minimal": sets}), "relax", {"facet_values": facet_values, "hits": hits, "minimal": sets})
 
     def call(self, step: Step) -> Turn:
         """A tool's result; what is wrong with a call is told to the model, which may make a better one."""

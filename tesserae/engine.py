@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae import render
-from tesserae.operators import assets, expand, predicates, profile, vector
+from tesserae.operators import assets, expand, predicates, profile, relax, vector
 from tesserae.planner import EmbeddingProvider, FacetPlanner, QuerySplitter
 from tesserae.schema import COMPONENT_FACETS, STORE_ATTRIBUTES, FacetSchema
 from tesserae.sources.catalog import CatalogSource
@@ -107,6 +107,18 @@ class Engine:
         counts = predicates.relaxed(self.catalog.records(), schema, constraints).where("dropped <> ''").collect()
         return {r.dropped: r.hits for r in counts}
 
+    def minimal_relaxations(self, constraints: predicates.Constraints, wanted: int = 1) -> list[tuple[list[str], int]]:
+        """The minimal sets of facets without which the constraints leave as many records as are wanted, with what they leave:
+        smaller sets first, then those that leave more."""
+        schema = self.catalog.schema
+        if unknown := [k for k in constraints if schema.asked_by(k) is None]:
+            raise CatalogError(f"no facet {', '.join(unknown)}")
+        try:
+            found = relax.minimal(self.catalog.records(), schema, constraints, wanted)
+        except ValueError as e:
+            raise CatalogError(str(e)) from e
+        return sorted(((r.dropped, r.hits) for r in found.collect()), key=lambda x: (len(x[0]), -x[1], x[0]))
+
     def access(self, constraints: predicates.Constraints, query: str = "", with_files: bool | None = None) -> Access:
         """Counts, profiles, predicate, link and code of what the constraints leave, and the links of files where they are
         asked for: by with_files, else by the query, if there are hits."""

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.functions import text as X
-from tesserae.operators import assets, expand, predicates, profile, vector, vocab
+from tesserae.operators import assets, expand, predicates, profile, relax, vector, vocab
 from tesserae.operators.vector_index import VectorIndex
 from tesserae.sources.catalog import SALES, SalesCatalog
 from tesserae.staging import stage_path, staged
@@ -431,3 +431,33 @@ count(*) FILTER (WHERE {WHERE}), count(*) FILTER (WHERE c_mktsegment = 'BUILDING
 count(*) FILTER (WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') AND c_mktsegment = 'BUILDING')]) AS hits FROM cat""")
 def relax_constraints(spark, sf_dir):
     return predicates.relaxed(records(spark, sf_dir), SALES, CONSTRAINTS)
+
+
+#: No record has the segment, and none the nation and the region: no single constraint can be dropped, but pairs can.
+CONFLICTS = {"n_name": ["NATION_0", "NATION_5"], "r_name": "ASIA", "c_mktsegment": "NOWHERE", "o_orderpriority": ["1-URGENT", "2-HIGH"], "l_returnflag": ["A", "N"], "p_name": ["red", "blue"]}
+SETS = f"""met AS (SELECT CASE WHEN n_name IN ('NATION_0', 'NATION_5') THEN 1 ELSE 0 END + CASE WHEN r_name = 'ASIA' THEN 2 ELSE 0 END + CASE WHEN c_mktsegment = 'NOWHERE' THEN 4 ELSE 0 END
+  + CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 8 ELSE 0 END + CASE WHEN l_returnflag IN ('A', 'N') THEN 16 ELSE 0 END + CASE WHEN list_has_any(p_name, ['red', 'blue']) THEN 32 ELSE 0 END AS mask FROM cat),
+sets AS (SELECT k::INT AS kept, (SELECT count(*) FROM met WHERE mask & k::INT = k::INT) AS hits FROM range(64) r(k)),
+named AS (SELECT kept, hits, concat_ws(',', {', '.join(f"CASE WHEN kept & {1 << i} = 0 THEN '{n}' END" for i, n in enumerate(CONFLICTS))}) AS dropped FROM sets)"""
+
+
+@query(f"WITH {CATALOG}, {SETS} SELECT dropped, hits FROM named WHERE hits > 0")
+def relax_lattice(spark, sf_dir):
+    found = relax.relaxations(records(spark, sf_dir), SALES, CONFLICTS)
+    return found.select(F.array_join("dropped", ",").alias("dropped"), "hits")
+
+
+def minimal_sql(wanted: int) -> str:
+    return f"WITH {CATALOG}, {SETS} SELECT dropped, hits FROM named a WHERE hits >= {wanted} AND NOT EXISTS (SELECT 1 FROM sets b WHERE b.hits >= {wanted} AND b.kept <> a.kept AND b.kept & a.kept = a.kept)"
+
+
+@query(minimal_sql(1))
+def relax_minimal(spark, sf_dir):
+    found = relax.minimal(records(spark, sf_dir), SALES, CONFLICTS)
+    return found.select(F.array_join("dropped", ",").alias("dropped"), "hits")
+
+
+@query(minimal_sql(400))
+def relax_enough(spark, sf_dir):
+    found = relax.minimal(records(spark, sf_dir), SALES, CONFLICTS, wanted=400)
+    return found.select(F.array_join("dropped", ",").alias("dropped"), "hits")

@@ -12,7 +12,7 @@ from tesserae import render
 from tesserae.agent import Agent, Config, Step, Turn
 from tesserae.engine import CatalogError, Engine, Site
 from tesserae.functions import text as X
-from tesserae.operators import assets, expand, predicates, profile, vector, vocab
+from tesserae.operators import assets, expand, predicates, profile, relax, vector, vocab
 from tesserae.operators.vector_index import VectorIndex
 from tesserae.planner import LexicalPlanner, ModelSplitter, StoredEmbeddings, WholeQuery
 from tesserae.schema import CLIMATE_FACETS, REQUEST_FACETS, STORE_ATTRIBUTES, Facet, FacetSchema
@@ -247,6 +247,45 @@ def test_engine_of_the_archive(spark):
     got.close()
 
 
+def test_relaxations_against_all_sets(spark):
+    import itertools
+    import random
+
+    r = random.Random(6)
+    rows = [(*(r.choice(["a", "b", "c", None, "none"]) for _ in range(6)), r.choice([None, [], ["a"], ["b", "a"], ["c"]])) for _ in range(60)]
+    schema = FacetSchema((*(Facet(f"s{i}") for i in range(6)), Facet("m", True)))
+    df = spark.createDataFrame(rows, ", ".join(f"s{i} string" for i in range(6)) + ", m array<string>")
+    asked = {"s0": "a", "s1": ["a", "b"], "s2": "nowhere", "s3": "b", "s4": " ", "s5": ["c", "a"], "m": ["a"]}
+    names = [n for n in asked if n != "s4"]
+
+    def meets(row, n):
+        value, want = row[schema.names.index(n)], [asked[n]] if isinstance(asked[n], str) else asked[n]
+        return bool(set(value or []) & set(want)) if n == "m" else value in want
+
+    sets = {d: sum(all(meets(row, n) for n in names if n not in d) for row in rows) for k in range(7) for d in itertools.combinations(names, k)}
+    assert {tuple(x.dropped): x.hits for x in relax.relaxations(df, schema, asked).collect()} == {d: n for d, n in sets.items() if n}
+    for wanted in (1, 3, 20, 100):
+        good = {d: n for d, n in sets.items() if n >= wanted}
+        least = {d: n for d, n in good.items() if not any(set(e) < set(d) for e in good)}
+        assert {tuple(x.dropped): x.hits for x in relax.minimal(df, schema, asked, wanted).collect()} == least
+    assert [tuple(x) for x in relax.minimal(df, schema, {}).collect()] == [([], 60)] and relax.minimal(df.limit(0), schema, asked).count() == 0
+    with pytest.raises(ValueError, match="too many sets"):
+        relax.masks(df, FacetSchema(tuple(Facet(f"s{i}") for i in range(30))), {f"s{i}": "a" for i in range(21)})
+    engine = Engine(TableCatalog(df, schema), LexicalPlanner(schema), WholeQuery())
+    assert engine.minimal_relaxations({"s0": "a", "s2": "nowhere", "s3": "nowhere"})[0][0] == ["s2", "s3"]
+    with pytest.raises(CatalogError):
+        engine.minimal_relaxations({"nope": "a"})
+
+
+def test_agent_drops_pairs(spark):
+    schema = FacetSchema((Facet("source_id", True, ("m1", "m2")), Facet("realm", True, ("ocean", "seaIce")), Facet("kind", domain=("k", "l"))))
+    engine = Engine(TableCatalog(spark.createDataFrame([(["m1"], ["ocean"], "k")], DDL), schema), LexicalPlanner(schema), WholeQuery())
+    got = Agent(engine).answer("seaIce of m1, kind l")
+    assert got.facet_values == {"source_id": ["m1"]} and got.access.hit_count == 1
+    assert got.turns[3].found["minimal"] == [(["realm", "kind"], 1)] and set(got.turns[3].found["hits"].values()) == {0}
+    assert [t.tool for t in got.turns] == ["", "search", "access", "relax", "access", ""]
+
+
 def test_agent(spark):
     rows = [(["m1"], ["ocean"], "k"), (["m1"], ["ocean", "seaIce"], "k"), (["m2"], ["seaIce"], "l")]
     schema = FacetSchema((Facet("source_id", True, ("m1", "m2")), Facet("realm", True, ("ocean", "seaIce")), Facet("kind", domain=("k", "l"))))
