@@ -21,6 +21,7 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import pairwise
 
 import numpy as np
@@ -135,6 +136,12 @@ class Codec:
         return [b"".join(parts) for parts in out]
 
 
+@lru_cache(maxsize=1)
+def codec_of(path: str) -> Codec:
+    """The codec of this process, with the words that it remembers."""
+    return Codec(path)
+
+
 def plain(text: str) -> bool:
     """Whether a text has only the first 256 characters."""
     if text.isascii():
@@ -169,7 +176,12 @@ def pieces(docs: DataFrame, path: str, text: str | Column = "text", key: str = "
         return pa.RecordBatch.from_arrays([keys.take(pa.array(rows)), *columns, *([pa.array(bodies, pa.binary())] if with_ids else [])], [*names, *(["ids"] if with_ids else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(path)
+        # Where workers have this package, one codec serves all tasks of a worker; else each task has its own.
+        try:
+            from tesserae.llm.packing import codec_of as own
+        except ModuleNotFoundError:
+            own = Codec
+        codec = own(path)
         for batch in batches:
             texts, size, first = [], 0, 0
             for i, x in enumerate(batch.column(1)):
