@@ -93,9 +93,10 @@ class Agent:
         self.engine, self.model, self.most = engine, models[config.model](config), config.iterations
         self.tools = {"search": self.search, "access": self.access, "advise": self.advise, "relax": self.relax}
         self.last: Access | None = None
+        self.earlier: list[str] = []
 
     def search(self, query: str) -> Turn:
-        found = self.engine.search(query)
+        found = self.engine.search(query, self.earlier)
         return Turn("tool", json.dumps(found), "search", {"facet_values": found})
 
     def access(self, facet_values: dict[str, list[str]], query: str = "") -> Turn:
@@ -130,6 +131,7 @@ class Agent:
         """The model's answer, or that there is none after so many calls. history: earlier turns of the same conversation."""
         turns, values = [*(history or []), Turn("user", query)], {}
         self.last, text = None, None
+        self.earlier = [t.text for t in history or [] if t.role == "user"]
         for calls in range(self.most + 1):
             step = self.model.next(turns)
             if not step.tool:

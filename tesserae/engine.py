@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -79,11 +80,11 @@ class Engine:
         except KeyError as e:
             raise CatalogError(str(e)) from e
 
-    def search(self, query: str) -> dict[str, list[str]]:
-        """Facet values that a query asks for; all of them are in their facet's domain."""
-        plan = self.planner.plan(query)
+    def search(self, query: str, earlier: Sequence[str] = ()) -> dict[str, list[str]]:
+        """Facet values that a query asks for, after what was said earlier; all of them are in their facet's domain."""
+        plan = self.planner.plan(query, earlier)
         schema = self.advise(query, plan.relevant, plan.search_fields if plan.needs_search else [])
-        found = self.planner.values(query, schema)
+        found = self.planner.values(query, schema, earlier)
         return {k: kept for k, v in found.items() if (kept := [x for x in v if not schema[k].domain or x in schema[k].domain])}
 
     def links(self, records: DataFrame, parameters: list[str] | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.functions import text as X
-from tesserae.operators import assets, expand, predicates, profile, relax, vector, vocab
+from tesserae.operators import assets, choose, expand, predicates, profile, relax, vector, vocab
 from tesserae.operators.vector_index import VectorIndex
 from tesserae.sources.catalog import SALES, SalesCatalog
 from tesserae.staging import stage_path, staged
@@ -461,3 +461,55 @@ def relax_minimal(spark, sf_dir):
 def relax_enough(spark, sf_dir):
     found = relax.minimal(records(spark, sf_dir), SALES, CONFLICTS, wanted=400)
     return found.select(F.array_join("dropped", ",").alias("dropped"), "hits")
+
+
+#: A customer's segment and nation are said in the turns of the conversation of the same number, some of them misspelt.
+TALK = """talk AS (SELECT conv_id, turn, role, text || CASE turn % 4 WHEN 0 THEN ' we want ' || lower(CASE conv_id % 3 WHEN 0 THEN substring(c_mktsegment, 1, 3) || substring(c_mktsegment, 5) ELSE c_mktsegment END)
+  WHEN 2 THEN ' from ' || n_name || ', ' || CASE conv_id % 5 WHEN 0 THEN 'Econmy' WHEN 1 THEN 'standard' ELSE 'parts' END ELSE '' END AS text
+  FROM conversations JOIN customer ON c_custkey = conv_id + 1 JOIN nation ON c_nationkey = n_nationkey),
+vocab AS (SELECT DISTINCT 'c_mktsegment' AS facet, c_mktsegment AS value, 'a segment of the market' AS description FROM customer UNION SELECT DISTINCT 'p_type', p_type, NULL FROM part
+  UNION SELECT 'n_name', n_name, 'nation of ' || r_name FROM nation JOIN region ON n_regionkey = r_regionkey)"""
+TERMS = "list_distinct(list_filter(string_split_regex(lower({0}), '[^\\p{{L}}\\p{{N}}_]+'), lambda x: x <> ''))"
+GRAMS = "list_distinct(list_transform(range(1, length({0}) + 2), lambda i: substring('  ' || {0} || ' ', i, 3)))"
+INDEX = f"""w AS (SELECT facet, value, term, max(w) AS w FROM (SELECT facet, value, unnest({TERMS.format('value')}) AS term, 1.0::DOUBLE AS w FROM vocab UNION ALL SELECT facet, value, unnest({TERMS.format("coalesce(description, '')")}), 0.25 FROM vocab) GROUP BY 1, 2, 3),
+rare AS (SELECT term, ln(1 + (SELECT count(*) FROM (SELECT DISTINCT facet, value FROM w))::DOUBLE / count(*)) AS rare FROM w GROUP BY 1),
+post AS (SELECT term, facet, value, w * rare / sum(w * rare) OVER (PARTITION BY facet, value) AS part FROM w JOIN rare USING (term)),
+grams AS (SELECT term, len({GRAMS.format('term')}) AS size, unnest({GRAMS.format('term')}) AS gram FROM rare)"""
+SPELT = f"""dict AS (SELECT DISTINCT word FROM said),
+odd AS (SELECT word, len({GRAMS.format('word')}) AS n, unnest({GRAMS.format('word')}) AS gram FROM dict WHERE word NOT IN (SELECT term FROM rare)),
+spelt AS (SELECT word, word AS term, 1.0::DOUBLE AS alike FROM dict WHERE word IN (SELECT term FROM rare)
+  UNION ALL SELECT word, term, 2 * count(*) / (n + size)::DOUBLE FROM odd JOIN grams USING (gram) GROUP BY word, term, n, size HAVING 2 * count(*) / (n + size)::DOUBLE >= 0.5),
+best AS (SELECT conv_id, turn, facet, value, term, max(weight * alike * part) AS s FROM said JOIN spelt USING (word) JOIN post USING (term) GROUP BY ALL),
+scored AS (SELECT conv_id, turn, facet, value, round(sum(s), 6) AS score FROM best GROUP BY ALL HAVING round(sum(s), 6) >= 0.5),
+top AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn, facet ORDER BY score DESC, value) AS rank FROM scored QUALIFY rank <= 3)
+SELECT conv_id, turn, facet, string_agg(value, '|' ORDER BY rank) AS "values", max(score) AS score FROM top GROUP BY 1, 2, 3"""
+
+
+def talk(spark, sf_dir) -> tuple[DataFrame, choose.VocabularyIndex]:
+    customers, nations = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
+    segment = F.when(F.col("conv_id") % 3 == 0, F.concat(F.substring("c_mktsegment", 1, 3), F.expr("substring(c_mktsegment, 5)"))).otherwise(F.col("c_mktsegment"))
+    kind = F.when(F.col("conv_id") % 5 == 0, "Econmy").when(F.col("conv_id") % 5 == 1, "standard").otherwise("parts")
+    more = F.when(F.col("turn") % 4 == 0, F.concat(F.lit(" we want "), F.lower(segment))).when(F.col("turn") % 4 == 2, F.concat(F.lit(" from "), "n_name", F.lit(", "), kind)).otherwise("")
+    said = table(spark, sf_dir, "conversations").join(customers, F.col("c_custkey") == F.col("conv_id") + 1).join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
+    places = nations.join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    values = customers.select(F.lit("c_mktsegment").alias("facet"), F.col("c_mktsegment").alias("value"), F.lit("a segment of the market").alias("description"))
+    values = values.union(table(spark, sf_dir, "part").select(F.lit("p_type"), "p_type", F.lit(None))).union(places.select(F.lit("n_name"), "n_name", F.concat(F.lit("nation of "), "r_name")))
+    return said.select("conv_id", "turn", "role", F.concat("text", more).alias("text")), choose.VocabularyIndex.of(values.distinct())
+
+
+@query(f"""WITH {TALK}, {INDEX}, said AS (SELECT conv_id, turn, unnest({TERMS.format('text')}) AS word, 1.0::DOUBLE AS weight FROM talk WHERE role = 'user'), {SPELT}""")
+def value_choice(spark, sf_dir):
+    turns, index = talk(spark, sf_dir)
+    keys = ["conv_id", "turn"]
+    found = index.choose(choose.said_in(turns.where("role = 'user'"), keys), keys)
+    return found.select(*keys, "facet", F.array_join("values", "|").alias("values"), F.array_max("scores").alias("score"))
+
+
+@query(f"""WITH {TALK}, {INDEX}, words AS (SELECT conv_id, turn, unnest({TERMS.format('text')}) AS word FROM talk),
+said AS (SELECT t.conv_id, t.turn, word, max(0.5 ** (t.turn - w.turn)) AS weight FROM talk t JOIN words w ON t.conv_id = w.conv_id AND t.turn - w.turn BETWEEN 0 AND 2 WHERE t.role = 'user' GROUP BY 1, 2, 3), {SPELT}""")
+def value_choice_in_turns(spark, sf_dir):
+    """What was said in the two turns before counts too, by a half and a quarter."""
+    turns, index = talk(spark, sf_dir)
+    keys = ["conv_id", "turn"]
+    found = index.choose(choose.said_in_turns(turns, F.col("role") == "user"), keys)
+    return found.select(*keys, "facet", F.array_join("values", "|").alias("values"), F.array_max("scores").alias("score"))

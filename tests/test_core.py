@@ -12,9 +12,9 @@ from tesserae import render
 from tesserae.agent import Agent, Config, Step, Turn
 from tesserae.engine import CatalogError, Engine, Site
 from tesserae.functions import text as X
-from tesserae.operators import assets, expand, predicates, profile, relax, vector, vocab
+from tesserae.operators import assets, choose, expand, predicates, profile, relax, vector, vocab
 from tesserae.operators.vector_index import VectorIndex
-from tesserae.planner import LexicalPlanner, ModelSplitter, StoredEmbeddings, WholeQuery
+from tesserae.planner import LexicalPlanner, ModelSplitter, ScoredPlanner, StoredEmbeddings, WholeQuery
 from tesserae.schema import CLIMATE_FACETS, REQUEST_FACETS, STORE_ATTRIBUTES, Facet, FacetSchema
 from tesserae.sources.catalog import SchemaVocabulary, TableCatalog, TableVocabulary, last_store, read_store
 from tesserae.sources.files import PagedFiles, TableFiles
@@ -277,6 +277,80 @@ def test_relaxations_against_all_sets(spark):
         engine.minimal_relaxations({"nope": "a"})
 
 
+def brute_choice(vocabulary, said):
+    """vocabulary: (facet, value, description); said: {key: {word: weight}}. As the docstring of choose defines it."""
+    import math
+    import re
+
+    words = lambda t: set(re.findall(r"[^\W]+", (t or "").lower()))
+    grams = lambda t: {f"  {t} "[i : i + 3] for i in range(len(t) + 1)}
+    weights = {}
+    for facet, value, description in vocabulary:
+        own = weights.setdefault((facet, value), {})
+        for w, text in ((1.0, value), (0.25, description)):
+            for t in words(text):
+                own[t] = max(own.get(t, 0), w)
+    weights = {k: v for k, v in weights.items() if v}
+    df = collections.Counter(t for v in weights.values() for t in v)
+    rare = {t: math.log(1 + len(weights) / n) for t, n in df.items()}
+    out = {}
+    for key, spoken in said.items():
+        for (facet, value), own in weights.items():
+            whole, score = sum(w * rare[t] for t, w in own.items()), 0
+            for t, w in own.items():
+                best = 0
+                for word, weight in spoken.items():
+                    alike = float(word == t) if word in df else 2 * len(grams(word) & grams(t)) / (len(grams(word)) + len(grams(t)))
+                    best = max(best, weight * alike if alike >= 0.5 else 0)
+                score += best * w * rare[t] / whole
+            if round(score, 6) >= 0.5:
+                out.setdefault((*key, facet), []).append((-round(score, 6), value))
+    return {k: [x[1] for x in sorted(v)[:3]] for k, v in out.items()}
+
+
+def test_choice_against_brute_force(spark):
+    import random
+
+    r = random.Random(11)
+    stems = ["ocean", "oceans", "land", "ice", "sea", "monthly", "month", "Tös", "é", "a", "x1", "long_name", "zürich"]
+    vocabulary = [(r.choice("fgh"), " ".join(r.sample(stems, r.randint(1, 3))), r.choice([None, "", "of the sea", "monthly means", "ice, ice"])) for _ in range(30)]
+    vocabulary += [("f", "!?", None), ("f", "!?", ""), vocabulary[0]]
+    spell = lambda w: w if r.random() < 0.5 else w[: len(w) // 2] + r.choice(["", "q", w[0]]) + w[len(w) // 2 + 1 :]
+    turns = [(c, t, r.choice([None, "", " - ".join(spell(r.choice(stems)).upper() for _ in range(r.randint(1, 5)))])) for c in (1, 2, None) for t in (0, 1, 2, 5)]
+    index = choose.VocabularyIndex.of(spark.createDataFrame(vocabulary, "facet string, value string, description string"))
+    frame = spark.createDataFrame(turns, "conv_id long, turn long, text string")
+    import re
+
+    words = lambda t: set(re.findall(r"[^\W]+", (t or "").lower()))
+    got = {(x.turn, x.facet): list(x["values"]) for x in index.choose(choose.said_in(frame.where("conv_id = 1"), ["turn"]), ["turn"]).collect()}
+    assert got == brute_choice(vocabulary, {(t,): dict.fromkeys(words(x), 1.0) for c, t, x in turns if c == 1})
+    said = {}
+    for c, t, _ in turns:
+        for c2, u, x in turns:
+            if c is not None and c2 == c and 0 <= t - u <= 2:
+                for w in words(x):
+                    said.setdefault((c, t), {}).setdefault(w, 0)
+                    said[c, t][w] = max(said[c, t][w], 0.5 ** (t - u))
+    got = {(x.conv_id, x.turn, x.facet): list(x["values"]) for x in index.choose(choose.said_in_turns(frame, F.lit(True)), ["conv_id", "turn"]).collect()}
+    assert got == brute_choice(vocabulary, said) and got
+    empty = choose.VocabularyIndex.of(spark.createDataFrame([], "facet string, value string, description string"))
+    assert empty.choose(choose.said_in(frame, ["turn"]), ["turn"]).count() == 0 and index.choose(choose.said_in(frame.limit(0), ["turn"]), ["turn"]).count() == 0
+
+
+def test_scored_planner(spark):
+    rows = [(["m1"], ["ocean"], "k"), (["m1"], ["seaIce"], "l")]
+    schema = FacetSchema((Facet("source_id", True, ("m1", "m2")), Facet("realm", True, ("ocean", "seaIce")), Facet("kind", domain=("k", "l"))))
+    vocabulary = spark.createDataFrame([("realm", "ocean", ""), ("realm", "seaIce", ""), ("source_id", "m1", "Norwegian"), ("source_id", "m2", None), ("other", "ocean", "")], "facet string, value string, description string")
+    engine = Engine(TableCatalog(spark.createDataFrame(rows, DDL), schema), ScoredPlanner(schema, vocabulary), WholeQuery())
+    assert engine.search("the ocan, please") == {"realm": ["ocean"]} and engine.search("m1 with seaice") == {"source_id": ["m1"], "realm": ["seaIce"]}
+    # What was said before is still meant, unless something else is said now.
+    assert engine.search("of m1", ["seaice!"]) == {"source_id": ["m1"], "realm": ["seaIce"]}
+    assert engine.search("ocean", ["seaice!"]) == {"realm": ["ocean"]} and engine.search("nothing") == {}
+    got = Agent(engine).answer("of m1", [Turn("user", "seaice"), Turn("assistant", "ocean")])
+    assert got.facet_values == {"source_id": ["m1"], "realm": ["seaIce"]} and got.access.hit_count == 1
+    got.access.close()
+
+
 def test_agent_drops_pairs(spark):
     schema = FacetSchema((Facet("source_id", True, ("m1", "m2")), Facet("realm", True, ("ocean", "seaIce")), Facet("kind", domain=("k", "l"))))
     engine = Engine(TableCatalog(spark.createDataFrame([(["m1"], ["ocean"], "k")], DDL), schema), LexicalPlanner(schema), WholeQuery())
