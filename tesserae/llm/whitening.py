@@ -28,7 +28,7 @@ from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import is_finite_vector, ship, staged
+from tesserae.llm.common import is_finite_vector, ship, staged, unstage
 
 ship(__name__)
 
@@ -126,6 +126,7 @@ def fit(vectors: DataFrame, most: int = COMPONENTS, x: str = "x") -> Whitening |
     means = rows_of(white, F.col("whitened")).computeColumnSummaryStatistics().mean()
     around = F.zip_with("whitened", literal([float(m) for m in means], "double"), lambda a, m: a - m)
     covariance = rows_of(white, around).computeGramianMatrix().toArray() / n
+    unstage(distinct)
     return Whitening(n, sums, axes, variances, total, float(np.abs(covariance - np.eye(len(axes))).max()))
 
 
