@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tesserae.operators.numbering import numbered
 from tesserae.staging import staged
 
 #: Nodes by preference (fixed values).
@@ -97,8 +98,12 @@ def preview(links: DataFrame, group: list[str], seq: str = "seq", above: int = P
 
 
 def link_table(links: DataFrame, group: list[str], parameters: list[str], seq: str = "seq") -> DataFrame:
-    """id (from 1), filename, node, date_range, a column for each parameter ('' if missing), url."""
-    number = F.row_number().over(W.partitionBy(*group).orderBy(seq)).cast("long") if group else F.row_number().over(W.orderBy(seq)).cast("long")
+    """id (from 1), filename, node, date_range, a column for each parameter ('' if missing), url. Without groups, all links are
+    numbered by ranges, so that no task sees all of them."""
+    if group:
+        number = F.row_number().over(W.partitionBy(*group).orderBy(seq)).cast("long")
+    else:
+        links, number = numbered(links, [seq], "#id"), F.col("#id") + 1
     cells = [F.coalesce(F.try_element_at("params", F.lit(p)), F.lit("")).alias(p) for p in parameters]
     return links.select(*group, number.alias("id"), "filename", "node", date_range(F.col("filename")).alias("date_range"), *cells, "url")
 

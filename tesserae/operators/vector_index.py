@@ -22,7 +22,7 @@ from dataclasses import dataclass, replace
 
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -35,11 +35,6 @@ CELLS, FIT, ROUNDS, AUDIT, RECALL = 4096, 1 << 18, 10, 64, 0.95
 MARGIN = 1e-9
 
 
-def is_comparable(vector: Column) -> Column:
-    bounded = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
-    return vector.isNotNull() & F.coalesce(F.forall(vector, bounded), F.lit(False))
-
-
 @dataclass(frozen=True)
 class VectorIndex:
     spark: SparkSession
@@ -54,7 +49,7 @@ class VectorIndex:
     def build(store: DataFrame, path: str, vector: str = "embedding", key: str = "vec_id", cells: int | None = None) -> VectorIndex:
         """Write an index of store to path, where nothing must be yet. cells: the square root of the vectors' number, if
         none is given."""
-        spark, rows = store.sparkSession, store.where(is_comparable(F.col(vector)))
+        spark, rows = store.sparkSession, store.where(V.is_comparable(F.col(vector)))
         n = rows.count()
         wanted = max(1, min(cells or round(math.sqrt(n)), CELLS, n))
         index = VectorIndex(spark, path, vector, key)
@@ -83,7 +78,7 @@ class VectorIndex:
     def add(self, store: DataFrame) -> None:
         """Index further vectors by the cells that there are. The same rows given twice stand there twice."""
         model = KMeansModel.load(f"{self.path}/model")
-        rows = store.where(is_comparable(F.col(self.vector))).drop("cell").withColumn("#v", array_to_vector(self.vector))
+        rows = store.where(V.is_comparable(F.col(self.vector))).drop("cell").withColumn("#v", array_to_vector(self.vector))
         dealt = model.transform(rows).drop("#v")
         # Rebalanced by cell, small cells share a task and large ones are dealt to several.
         dealt.hint("rebalance", "cell").write.mode("append").partitionBy("cell").option("compression", "zstd").parquet(f"{self.path}/vectors")

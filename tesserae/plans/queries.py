@@ -3,15 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.functions import text as X
 from tesserae.operators import assets, choose, expand, predicates, profile, relax, vector, vocab
+from tesserae.operators.numbering import numbered
 from tesserae.operators.vector_index import VectorIndex
 from tesserae.sources.catalog import SALES, SalesCatalog
+from tesserae.sources.files import PagedFiles
 from tesserae.staging import stage_path, staged
+from tesserae.streaming.chunks import in_order
+from tesserae.streaming.run import arriving, drained
+from tesserae.streaming.sessions import sessions
 
 CONSTRAINTS = {"o_orderpriority": ["1-URGENT", "2-HIGH"], "c_mktsegment": "BUILDING", "l_returnflag": ["A", "N"]}
 NAMED = ["l_returnflag", "l_linestatus", "o_orderstatus", "o_orderpriority", "c_mktsegment", "p_type", "n_name", "r_name"]
@@ -172,6 +178,40 @@ def file_scan_by_service(spark, sf_dir):
     return assets.of_service(table(spark, sf_dir, "pages").select(entries.alias("url")), "opendap")
 
 
+def archived(spark, sf_dir) -> tuple[str, Callable]:
+    """A listing of the files of pages, as a service answers it, by scheme and whole: a document of 64 files for each page, in
+    the shared folder. Its path, and what fetches from it."""
+    url = F.col("url")
+    entries = F.array(F.concat(url, F.lit(".html|application/opendap-html|OPENDAP")), F.concat(url, F.lit("|application/netcdf|HTTPServer")))
+    docs = table(spark, sf_dir, "pages").select("page_id", F.substring_index(url, "://", 1).alias("scheme"), entries.alias("entries"))
+    path, kinds = stage_path(spark, "listing"), [r.scheme for r in docs.select("scheme").distinct().collect()]
+    for kind in [None, *kinds]:
+        some = numbered(docs if kind is None else docs.where(F.col("scheme") == kind), ["page_id"], "n")
+        pages = some.groupBy(F.floor(F.col("n") / 64).alias("page")).agg(F.sort_array(F.collect_list(F.struct("n", "scheme", "entries"))).alias("docs"))
+        total = F.lit(some.count()).cast("long").alias("numFound")
+        pages.select("page", F.to_json(F.struct(total, F.col("docs"))).alias("body")).repartition("page").write.partitionBy("page").text(f"{path}/scheme={kind or ''}")
+
+    def fetch(asked: dict[str, str], offset: int) -> tuple[int, list]:
+        import json
+
+        from pyarrow.fs import FileSelector, FileSystem
+
+        where, base = FileSystem.from_uri(path)
+        files = where.get_file_info(FileSelector(f"{base}/scheme={asked.get('scheme', '')}/page={offset // 64}", allow_not_found=True))
+        bodies = [where.open_input_file(f.path).read() for f in files if f.base_name.startswith("part-")]
+        answer = json.loads(bodies[0]) if bodies else {"numFound": 0, "docs": []}
+        return answer["numFound"], [({"scheme": d["scheme"]}, d["entries"]) for d in answer["docs"]]
+
+    return path, fetch
+
+
+@query("SELECT 'https' AS scheme, string_split(url, '.html')[1] AS url FROM pages WHERE url LIKE 'https://%'")
+def file_scan_paged(spark, sf_dir):
+    """The files of one scheme, by pages that tasks fetch; the scheme is part of the request."""
+    _, fetch = archived(spark, sf_dir)
+    return PagedFiles(spark, fetch, ["scheme"], "P").files({"scheme": "https"}).select("scheme", "url")
+
+
 OFFERED = f"""offered AS (SELECT p_brand, CASE WHEN p_brand IN ('Brand#11', 'Brand#12') THEN [] ELSE list_sort(list_distinct(list(o_orderpriority))) END AS o_orderpriority, list_sort(list_distinct(list(c_mktsegment))) AS c_mktsegment, CASE WHEN p_brand = 'Brand#13' THEN [NULL] ELSE list_sort(list_distinct(list(r_name))) END AS r_name FROM cat GROUP BY 1),
 chosen AS (SELECT p_brand, unnest(o) AS o_orderpriority, c_mktsegment, r_name FROM (SELECT p_brand, CASE WHEN len(o_orderpriority) = 0 THEN ['3-MEDIUM'] ELSE o_orderpriority END AS o, c_mktsegment, r_name FROM offered)),
 chosen2 AS (SELECT p_brand, o_orderpriority, unnest(c_mktsegment) AS c_mktsegment, r_name FROM chosen), chosen3 AS (SELECT p_brand, o_orderpriority, c_mktsegment, unnest(r_name) AS r_name FROM chosen2)"""
@@ -513,3 +553,44 @@ def value_choice_in_turns(spark, sf_dir):
     keys = ["conv_id", "turn"]
     found = index.choose(choose.said_in_turns(turns, F.col("role") == "user"), keys)
     return found.select(*keys, "facet", F.array_join("values", "|").alias("values"), F.array_max("scores").alias("score"))
+
+
+def delivered(spark: SparkSession, parts: list[DataFrame], stream: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What a stream has given out after its files came in several deliveries; after each it stopped, and went on from its
+    checkpoint."""
+    folder, out, checkpoint = (stage_path(spark, f"stream-{n}") for n in ("in", "out", "checkpoint"))
+    found = None
+    for part in parts:
+        part.write.mode("append").parquet(folder)
+        found = drained(stream(arriving(spark, folder, part.schema)), out, checkpoint)
+    return found
+
+
+@query("""WITH m AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nth FROM m)
+SELECT user_id, min(ts) AS started, max(ts) + INTERVAL 6 HOUR AS ended, count(*) AS n, round(sum(value), 2) AS total FROM s GROUP BY user_id, nth
+HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 DAY FROM events)""")
+def stream_sessions(spark, sf_dir):
+    """Events come in three deliveries. Every tenth of the last hours of a delivery comes with the next one, late; every
+    seventh comes with both. Sessions are those of the whole table up to the last watermark."""
+    events = table(spark, sf_dir, "events")
+    span = events.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).first()
+    cuts = [span.a + (span.b - span.a) * i / 3 for i in (1, 2)]
+    ts, late, twice = F.col("ts"), F.col("event_id") % 10 == 0, F.col("event_id") % 7 == 0
+    held = [(ts >= c - timedelta(hours=20)) & (ts < c) for c in cuts]
+    parts = [
+        events.where((ts < cuts[0]) & ~(held[0] & late)),
+        events.where(((ts >= cuts[0]) & (ts < cuts[1]) & ~(held[1] & late)) | (held[0] & (late | twice))),
+        events.where((ts >= cuts[1]) | (held[1] & (late | twice))),
+    ]
+    found = delivered(spark, parts, lambda s: sessions(s, "6 hours", "1 day"))
+    return found.select("user_id", "started", "ended", "n", F.round("total", 2).alias("total"))
+
+
+@query("SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place FROM conversations")
+def stream_chunks_in_order(spark, sf_dir):
+    """Turns come in three deliveries, dealt by a hash, and some in two; each conversation's turns leave once, in order."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    part = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(30))
+    parts = [turns.where(part % 3 == i).union(turns.where(part == 3 * i + 4)) for i in range(3)]
+    return delivered(spark, parts, lambda s: in_order(s, "conv_id", "turn", ["role", "text"]))

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from typing import Protocol
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 from tesserae.operators import assets
-from tesserae.operators.predicates import Constraints, condition, normalized
-from tesserae.schema import FacetSchema
+from tesserae.operators.predicates import Constraints, condition
+from tesserae.schema import Facet, FacetSchema
+from tesserae.sources.paged import Fetch, listing
 
 SERVICE = "OPENDAP"
 
@@ -31,40 +31,13 @@ class TableFiles:
         return assets.of_service(self.frame.where(condition(self.schema, constraints)), self.service)
 
 
-def request(constraints: Constraints | None, project: str, local: bool = True) -> dict[str, str]:
-    """What a remote listing is asked: the constraints and what holds for every request for files."""
-    fixed = {"project": project, "type": "File", "format": "application/solr+json"}
-    return {k: ",".join(v) for k, v in normalized(constraints).items()} | fixed | ({"distrib": "false"} if local else {})
-
-
-#: Gives the number of all files, and a page of them from an offset: (facets, list of address|mime|service).
-Fetch = Callable[[dict[str, str], int], tuple[int, list[tuple[dict[str, str], list[str]]]]]
-
-
 class PagedFiles:
-    """A remote listing. The first page tells how many there are and how long pages are; the others are fetched by tasks, each
-    known by its offset, so their number is bounded and no page is asked for twice. A page that is shorter than due is an
-    error, not an endless loop. fetch must be fit to be sent to workers."""
+    """A remote listing, read through the data source of paged listings: constraints go to the service, and pages are fetched
+    by tasks. open_session gives the token that a service asks for with each request."""
 
-    def __init__(self, spark: SparkSession, fetch: Fetch, facets: list[str], project: str, service: str = SERVICE):
-        self.spark, self.fetch, self.facets, self.project, self.service = spark, fetch, facets, project, service
+    def __init__(self, spark: SparkSession, fetch: Fetch, facets: list[str], project: str, service: str = SERVICE, open_session: Callable[[], str] | None = None):
+        self.schema, self.service = FacetSchema(tuple(Facet(f) for f in facets)), service
+        self.frame = listing(spark, fetch, facets, project, open_session=open_session)
 
     def files(self, constraints: Constraints | None = None) -> DataFrame:
-        asked, fetch, facets = request(constraints, self.project), self.fetch, self.facets
-        schema = ", ".join(f"`{f}` string" for f in facets) + ", url array<string>"
-        total, first = fetch(asked, 0)
-        if total and not first:
-            raise OSError(f"a listing of {total} files has an empty first page")
-        size = max(len(first), 1)
-
-        def pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                for offset in batch["id"]:
-                    _, found = fetch(asked, int(offset))
-                    if len(found) < min(size, total - offset):
-                        raise OSError(f"the page at {offset} has {len(found)} of {min(size, total - offset)} files")
-                    yield pd.DataFrame([[*(own.get(f) for f in facets), urls] for own, urls in found[:size]], columns=[*facets, "url"])
-
-        n = -(-total // size)
-        listed = self.spark.range(0, total, size, max(1, min(n, 64))).mapInPandas(pages, schema)
-        return assets.of_service(listed, self.service)
+        return assets.of_service(self.frame.where(condition(self.schema, constraints)), self.service)

@@ -13,11 +13,13 @@ from tesserae.agent import Agent, Config, Step, Turn
 from tesserae.engine import CatalogError, Engine, Site
 from tesserae.functions import text as X
 from tesserae.operators import assets, choose, expand, predicates, profile, relax, vector, vocab
+from tesserae.operators.numbering import numbered
 from tesserae.operators.vector_index import VectorIndex
 from tesserae.planner import LexicalPlanner, ModelSplitter, ScoredPlanner, StoredEmbeddings, WholeQuery
 from tesserae.schema import CLIMATE_FACETS, REQUEST_FACETS, STORE_ATTRIBUTES, Facet, FacetSchema
 from tesserae.sources.catalog import SchemaVocabulary, TableCatalog, TableVocabulary, last_store, read_store
 from tesserae.sources.files import PagedFiles, TableFiles
+from tesserae.sources.paged import listing
 from tesserae.staging import staged
 
 SF = "/root/testdata/sf0.001"
@@ -417,21 +419,76 @@ def test_splits_by_a_model(spark):
 
 
 def test_paged_files(spark):
-    listed = [({"member_id": f"r{i}"}, [f"http://h/d/f{i}.nc.html|x|OPENDAP", "no|x|OpenDAP"]) for i in range(25)]
+    listed = [({"member_id": f"r{i}", "realm": "ocean"}, [f"http://h/d/f{i}.nc.html|x|OPENDAP", "no|x|OpenDAP"]) for i in range(25)]
 
     def fetch(asked, offset):
-        assert asked["type"] == "File" and asked["project"] == "P" and asked["distrib"] == "false" and asked["realm"] == "ocean"
+        assert asked == {"type": "File", "project": "P", "distrib": "false", "format": "application/solr+json", "realm": "ocean"}, asked
         return len(listed), listed[offset : offset + 10]
 
-    got = PagedFiles(spark, fetch, ["member_id"], "P").files({"realm": ["ocean", " "]})
+    got = PagedFiles(spark, fetch, ["member_id", "realm"], "P").files({"realm": ["ocean", " "]})
     assert {(r.member_id, r.url) for r in got.collect()} == {(f"r{i}", f"http://h/d/f{i}.nc") for i in range(25)}
-    with pytest.raises(OSError):
-        PagedFiles(spark, lambda asked, offset: (5, []), ["member_id"], "P").files()
+    with pytest.raises(Exception, match="has an empty first page"):
+        PagedFiles(spark, lambda asked, offset: (5, []), ["member_id"], "P").files().collect()
     with pytest.raises(Exception, match=r"the page at \d0 has 0"):
-        PagedFiles(spark, lambda asked, offset: (25, listed[:10] if offset == 0 else []), ["member_id"], "P").files({"realm": "ocean"}).collect()
+        PagedFiles(spark, lambda asked, offset: (25, listed[:10] if offset == 0 else []), ["member_id", "realm"], "P").files({"realm": "ocean"}).collect()
     assert PagedFiles(spark, lambda asked, offset: (0, []), ["member_id"], "P").files().count() == 0
 
 
+def test_listings_push_their_filters_and_open_sessions(spark, tmp_path):
+    docs = [({"a": "xyz"[i % 3], "b": str(i % 4)}, [f"u{i}|m|S"]) for i in range(50)] + [({"a": "x"}, ["none|m|S"])]
+    asked_of = f"{tmp_path}/asked"
+
+    def fetch(asked, offset):
+        if asked.get("csrfmiddlewaretoken") not in ("t0", "t1") or (asked["csrfmiddlewaretoken"] == "t0" and offset >= 8):
+            raise PermissionError("no session")
+        with open(asked_of, "a") as f:
+            f.write(f"{asked.get('a')};{asked.get('b')};{offset}\n")
+        fits = [d for d in docs if all(d[0].get(k) in asked[k].split(",") for k in ("a", "b") if k in asked)]
+        return len(fits), fits[offset : offset + 7]
+
+    def open_session():
+        import os
+
+        # The driver's session doesn't hold for all pages; a task's does.
+        known = os.path.exists(f"{tmp_path}/opened")
+        open(f"{tmp_path}/opened", "a").close()
+        return "t1" if known else "t0"
+
+    def read(where):
+        open(asked_of, "w").close()
+        found = listing(spark, fetch, ["a", "b"], "P", open_session=open_session).where(where)
+        rows = sorted(r.url[0] for r in found.collect())
+        with open(asked_of) as f:
+            return rows, {tuple(x.split(";")[:2]) for x in f.read().split()}, found
+
+    every = lambda fits: sorted(d[1][0] for d in docs if fits(d[0].get("a"), d[0].get("b")))
+    rows, asked, frame = read("a = 'x' AND b IN ('1', '2')")
+    assert rows == every(lambda a, b: a == "x" and b in ("1", "2")) and asked == {("x", "1,2")}
+    assert "EqualTo(a,x)" in plan(frame).replace(" ", "") or "a = x" in plan(frame) or "(a" in plan(frame)
+    # What a request can't say is left to Spark.
+    for where, fits, sent in (
+        ("b IS NULL", lambda a, b: b is None, ("None", "None")),
+        ("a = 'x' OR b = '1'", lambda a, b: a == "x" or b == "1", ("None", "None")),
+        ("a = 'x' AND a IN ('x', 'y')", lambda a, b: a == "x", ("x", "None")),
+        ("a IN ('x', 'p,q')", lambda a, b: a == "x", ("None", "None")),
+        ("a = ' x'", lambda a, b: False, ("None", "None")),
+        ("upper(a) = 'X'", lambda a, b: a == "x", ("None", "None")),
+    ):
+        rows, asked, _ = read(where)
+        assert rows == every(fits) and asked == {sent}, where
+    with pytest.raises(Exception, match="no session"):
+        listing(spark, fetch, ["a"], "P").collect()
+
+
+def test_numbers_by_ranges(spark):
+    df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k"), F.lit("own").alias("#id")).repartition(7)
+    got = numbered(df, ["k"], "n")
+    assert got.columns == ["k", "#id", "n"] and {(r.k, r.n) for r in got.collect()} == {(i, i) for i in range(1000)}
+    assert [r.n for r in numbered(df.limit(0), ["k"], "n").collect()] == []
+    links = df.select(F.col("k").alias("seq"), F.lit("a_1-2.nc").alias("filename"), F.lit("h").alias("node"), F.create_map(F.lit("p"), F.lit("v")).alias("params"), F.lit("u").alias("url"))
+    assert {(r.id, r.p, r.q) for r in assets.link_table(links, [], ["p", "q"]).collect()} == {(i, "v", "") for i in range(1, 1001)}
+
+
 def test_store_listing(spark, tmp_path):
     (tmp_path / "s.csv").write_text("source_id,table_id,zstore\nA,mon,one\nB,mon,two\nA,mon,three\nA,day,four\n")
     listing = read_store(spark, str(tmp_path / "s.csv"))
