@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterable
 from functools import reduce
 from urllib.parse import quote
@@ -95,6 +96,42 @@ def predicate_string(records: DataFrame, names: list[str], legacy: bool = False)
     return sets.select(F.concat_ws(" & ", *(part(n) for n in names)).alias("predicate"))
 
 
+#: A comparison as predicates have it: a facet and a string or a list of strings, in quotes, with backslashes before quotes.
+STRING = r"""(?:'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*")"""
+COMPARISON = re.compile(rf"(\w+)\s*(==|!=|\bnot\s+in\b|\bin\b)\s*({STRING}|\[\s*(?:{STRING}(?:\s*,\s*{STRING})*)?\s*\])")
+
+
+def applied(text: str, schema: FacetSchema) -> Column:
+    """A predicate's text as a condition, so that what predicate_string() writes can be asked of a catalogue again.
+
+    Comparisons become Spark's, by any of their values, and &, |, and, or, not and parentheses stand for themselves; Spark
+    reads the rest. A facet that is null or has no values equals nothing, so it differs from everything. Text of another form
+    is an error, as is a facet that there isn't. An empty text leaves all records.
+    """
+    parts: list[str] = []
+
+    def compared(m: re.Match) -> str:
+        facet, unlike = schema.asked_by(m[1]), m[2] == "!=" or m[2].startswith("not")
+        if facet is None or facet.name != m[1]:
+            raise KeyError(f"no facet {m[1]!r}; there are {', '.join(schema.names)}")
+        values = ", ".join(re.findall(STRING, m[3]))
+        if not values:
+            met = "false"
+        elif facet.multi:
+            met = f"arrays_overlap(`{facet.name}`, array({values}))"
+        else:
+            met = f"`{facet.name}` IN ({values})"
+        parts.append(f"NOT coalesce({met}, false)" if unlike else f"({met})")
+        return f" #{len(parts) - 1} "
+
+    shape = COMPARISON.sub(compared, text)
+    words = re.findall(r"#\d+|[&|()]|\w+|\S", shape)
+    joined = {"&": "AND", "and": "AND", "|": "OR", "or": "OR", "not": "NOT", "(": "(", ")": ")"}
+    if wrong := [w for w in words if not re.fullmatch(r"#\d+", w) and w.lower() not in joined]:
+        raise ValueError(f"can't read {' '.join(wrong)!r} in the predicate {text!r}")
+    return F.expr(" ".join(parts[int(w[1:])] if w[0] == "#" else joined[w.lower()] for w in words)) if words else F.lit(True)
+
+
 def search_link(base: str, constraints: Constraints | None, project: str, legacy: bool = False) -> str:
     """A link to the catalogue's page with these constraints. legacy keeps blank items of lists, as empty strings."""
     active = normalized(constraints)

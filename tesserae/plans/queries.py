@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.functions import text as X
-from tesserae.operators import assets, choose, expand, predicates, profile, relax, vector, vocab
+from tesserae.operators import assets, choose, expand, predicates, profile, relax, times, vector, vocab
+from tesserae.operators.incremental import ProfileStore
 from tesserae.operators.numbering import numbered
 from tesserae.operators.vector_index import VectorIndex
 from tesserae.sources.catalog import SALES, SalesCatalog
@@ -594,3 +595,47 @@ def stream_chunks_in_order(spark, sf_dir):
     part = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(30))
     parts = [turns.where(part % 3 == i).union(turns.where(part == 3 * i + 4)) for i in range(3)]
     return delivered(spark, parts, lambda s: in_order(s, "conv_id", "turn", ["role", "text"]))
+
+
+@query(SQL["facet_filter_count"])
+def predicate_applied(spark, sf_dir):
+    """The same filter from a predicate's text."""
+    text = "o_orderpriority == ['1-URGENT', '2-HIGH'] & c_mktsegment == 'BUILDING' & l_returnflag == ['A', 'N'] & p_name == ['blue', 'green', 'large', 'red', 'small']"
+    return records(spark, sf_dir).where(predicates.applied(text, SALES)).agg(F.count("*").alias("hit_count"))
+
+
+@query(SQL["entity_facet_profile"])
+def incremental_profile(spark, sf_dir):
+    """Three batches, of which one comes twice, one is taken back and comes again, and a fold between them."""
+    lines = records(spark, sf_dir)
+    batch = [lines.where(F.col("l_orderkey") % 3 == i) for i in range(3)]
+    store = ProfileStore(spark, stage_path(spark, "profile"), SALES)
+    store.apply(batch[0], "a")
+    store.apply(batch[1], "b")
+    store.fold()
+    store.apply(batch[1], "b")
+    store.apply(batch[2], "c")
+    store.apply(batch[2], "c")
+    store.apply(batch[0], "a-back", taken_back=True)
+    store.apply(batch[0], "a-again")
+    return store.read()
+
+
+@query("""WITH o AS (SELECT o_orderkey, o_custkey % 150 AS k, TIMESTAMP '2024-01-01' + to_seconds(1080 * date_diff('day', DATE '1995-01-01', o_orderdate::DATE)) AS t FROM orders)
+SELECT o_orderkey, t AS asked_at, event_id, ts AS event_at, event_type FROM o ASOF LEFT JOIN events e ON o.k = e.user_id AND o.t >= e.ts""")
+def latest_event_of_order(spark, sf_dir):
+    """An order's day, laid over the month of the events, and the latest event of its customer's group before."""
+    at = F.expr("TIMESTAMP_NTZ '2024-01-01' + make_dt_interval(0, 0, 0, 1080 * datediff(o_orderdate, DATE '1995-01-01'))")
+    asked = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 150).alias("k"), at.alias("asked_at"))
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", F.col("ts").alias("event_at"), "event_type")
+    return times.as_of(asked, events, ("k", "user_id"), ("asked_at", "event_at"), ["event_id", "event_at", "event_type"], ["event_id"]).drop("k")
+
+
+@query("""SELECT a.l_partkey, a.l_orderkey, a.l_linenumber, a.l_shipdate, count(*) AS peers FROM lineitem a JOIN lineitem b ON a.l_partkey = b.l_partkey
+AND a.l_shipdate >= b.l_shipdate + INTERVAL 1 DAY AND a.l_shipdate < b.l_shipdate + INTERVAL 1 DAY + to_days(b.l_quantity::INT) GROUP BY 1, 2, 3, 4""")
+def lines_after_peers(spark, sf_dir):
+    """Lines shipped within as many days of another line of their part as that one's quantity."""
+    lines = table(spark, sf_dir, "lineitem").select("l_partkey", "l_orderkey", "l_linenumber", "l_shipdate", "l_quantity")
+    spans = lines.select("l_partkey", F.expr("l_shipdate + INTERVAL 1 DAY").alias("a"), F.expr("l_shipdate + make_dt_interval(1 + CAST(l_quantity AS INT))").alias("b"))
+    found = times.in_intervals(lines.drop("l_quantity"), spans, ("l_partkey", "l_partkey"), "l_shipdate", "a", "b")
+    return found.groupBy("point").agg(F.count("*").alias("peers")).select("point.*", "peers")
