@@ -48,7 +48,7 @@ WITH p AS (
          try_cast(regexp_extract(url, '/([0-9]+)(?:[.]html|/)?(?:[?#].*)?$', 1) AS BIGINT) AS doc_id FROM pages),
 o AS (SELECT p.page_id, count(*) AS n, sum(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS k FROM p JOIN labels USING (doc_id)
       WHERE quality IS NOT NULL OR toxic IS NOT NULL GROUP BY 1),
-h0 AS (SELECT host, coalesce(sum(n), 0)::DOUBLE AS n, coalesce(sum(k), 0)::DOUBLE AS k FROM p LEFT JOIN o USING (page_id) GROUP BY 1),
+h0 AS (SELECT host, coalesce(sum(n), 0)::DOUBLE AS n, coalesce(sum(k), 0)::DOUBLE AS k FROM (SELECT DISTINCT page_id, host FROM p) LEFT JOIN o USING (page_id) GROUP BY 1),
 h1 AS (SELECT *, string_split(host, '.') AS l FROM h0),
 h AS (SELECT host, n, k, array_to_string(l[-(CASE WHEN len(l) > 2 AND array_to_string(l[-2:], '.') IN ('ac.uk','co.uk','gov.uk','org.uk','com.au','net.au','org.au','co.jp','co.nz','com.br','com.cn','com.mx') THEN 3 ELSE 2 END):], '.') AS domain,
       array_to_string(l[-(CASE WHEN len(l) > 2 AND array_to_string(l[-2:], '.') IN ('ac.uk','co.uk','gov.uk','org.uk','com.au','net.au','org.au','co.jp','co.nz','com.br','com.cn','com.mx') THEN 2 ELSE 1 END):], '.') AS suffix FROM h1),

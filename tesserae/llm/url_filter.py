@@ -7,8 +7,9 @@ blocked if the lower bound of its host's posterior, the mean less z standard dev
 
 Defined cases: a null url or one without "://" has host '' and path '', fits no rule and belongs to a host of its own
 (''); without outcomes every posterior is the fallback rate's and all is allowed unless that is above the limit; null
-outcomes don't count; repeated rows count as often as they stand; a page with several labels has several outcomes; hosts
-without outcomes take their domain's or suffix's posterior.
+outcomes don't count; an outcome counts as often as it stands, and once for each host of the pages with its id, however
+often these are repeated; every repeated row of pages is judged; a page with several labels has several outcomes; hosts
+without outcomes take their domain's or suffix's posterior; without pages there is no result; other columns are left out.
 """
 
 from __future__ import annotations
@@ -68,7 +69,7 @@ def reputation(pages: DataFrame, outcomes: DataFrame, url: str = "url", key: str
     """host, n and k of its outcomes, posterior mean and lower bound, for every host of pages."""
     labels = outcomes.select(F.col(outcome_key).alias("_key"), F.col(outcome).cast("int").alias("_bad")).where("_bad IS NOT NULL AND _key IS NOT NULL")
     of_page = labels.groupBy("_key").agg(F.count("*").alias("n"), F.sum("_bad").alias("k"))
-    seen = pages.select(F.col(key).alias("_key"), host_of(F.col(url)).alias("host")).join(of_page, "_key", "left")
+    seen = pages.select(F.col(key).alias("_key"), host_of(F.col(url)).alias("host")).distinct().join(of_page, "_key", "left")
     hosts = seen.groupBy("host").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("k"), F.lit(0)).alias("k"))
     hosts = staged(hosts.withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))}), "hosts")
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))

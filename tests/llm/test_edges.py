@@ -179,6 +179,16 @@ def test_merges():
 # 4 ------------------------------------------------------------------------------------------------------------------
 
 
+def test_repeated_pages_count_as_they_stand(spark):
+    rows = [(1, "http://a.example/x", "c")] * 3 + [(2, "http://b.example/x", "c"), (None, "http://b.example/y", "c"), (None, None, "c")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, n string")
+    # As the query makes them: an outcome for each row of a labelled page.
+    outcomes = spark.createDataFrame([(1, 1)] * 3 + [(2, 0), (2, 1), (2, None), (None, 1), (7, 1)], "page_id long, bad int")
+    got = {r.host: (r.n, r.k) for r in url_filter.reputation(pages, outcomes).collect()}
+    assert got == {"a.example": (3, 3), "b.example": (2, 1), "": (0, 0)}
+    assert url_filter.url_filter(pages, outcomes).count() == 6 and url_filter.url_filter(pages.limit(0), outcomes).count() == 0
+
+
 def test_reputation_by_hand(spark):
     draw, rows, bad = random.Random(8), [], []
     for i in range(300):
