@@ -48,11 +48,17 @@ def targets(sources: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) -
     return weighed.select("source", "source_size", F.when(F.col("full") < share, F.col("full").cast("double")).otherwise(share).alias("target"))
 
 
-def mix(docs: DataFrame, size: Column | None = None, source: str = "source", key: str = "doc_id", text: str = "text", weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = "mix") -> DataFrame:
-    """Every row's key, size, source_size, target and taken; taken: the tokens of it that the mix takes."""
+def draw_of(key: Column, text: Column | None, seed: str = "mix") -> Column:
+    """The random key of a row: a hash of its key and text."""
+    body = F.lit("") if text is None else F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("")), F.lit(":"), body).cast("binary"))
+
+
+def mix(docs: DataFrame, size: Column | None = None, source: str = "source", key: str = "doc_id", text: str = "text", weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = "mix", with_draw: bool = False) -> DataFrame:
+    """Every row's key, size, source_size, target and taken; taken: the tokens of it that the mix takes. with_draw: and source
+    and draw, by which a row of a table can be told from others with its key."""
     size = n_words(F.col(text)) if size is None else size
-    body = F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")) if text in docs.columns else F.lit("")
-    drawn = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(":"), body).cast("binary"))
+    drawn = draw_of(F.col(key), F.col(text) if text in docs.columns else None, seed)
     rows = staged(docs.select(F.col(key).alias("_key"), F.col(source).alias("source"), size.alias("size"), drawn.alias("draw")), "sizes")
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     goals = targets(sources, weights, max_epochs)
@@ -71,4 +77,5 @@ def mix(docs: DataFrame, size: Column | None = None, source: str = "source", key
     epochs = F.when(F.col("source_size") > 0, F.expr("CAST(floor(target) AS BIGINT) DIV source_size")).otherwise(F.lit(0).cast("long"))
     rest = budget - epochs * F.col("source_size") - F.col("_before") - F.col("_in")
     part = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), rest))
-    return joined.select(F.col("_key").alias(key), F.col("size"), "source_size", "target", (F.col("size") * epochs + part).cast("long").alias("taken"))
+    named = [placed["source"].alias("source"), F.col("draw")] if with_draw else []
+    return joined.select(*named, F.col("_key").alias(key), F.col("size"), "source_size", "target", (F.col("size") * epochs + part).cast("long").alias("taken"))

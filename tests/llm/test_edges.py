@@ -407,3 +407,25 @@ def test_mixing_of_rows_without_ids(spark):
     got = mixing.mix(docs(spark, rows)).collect()
     assert sorted(map(str, got)) == sorted(map(str, mixing.mix(docs(spark, rows[::-1]).repartition(5)).collect()))
     assert mixing.mix(docs(spark, rows).select("doc_id", "source", "n_chars"), size=F.col("n_chars")).count() == 60
+
+
+def test_the_mixing_stage_puts_out_what_was_drawn(spark):
+    from corpus_pipeline import mixing as stage
+
+    # Ids and sizes that are alike; rows that are alike in all; a source whose budget is cut within rows that are alike.
+    rows = [(1, "q r s t u v", "s1", 11), (1, "k l m n o p", "s1", 11), (None, "a b", "s2", 3), (None, "a b", "s2", 3), (None, "a b", "s2", 3), (None, "a b", None, 3), (2, None, "s1", 0), (3, "", "s2", 0)]
+    rows += [(9, "x y z", "s3", 5)] * 40
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    drawn = mixing.mix(docs, with_draw=True).where("taken > 0").collect()
+    texts = {r.draw: None for r in drawn}
+    for r in docs.select("text", mixing.draw_of(F.col("doc_id"), F.col("text")).alias("draw")).collect():
+        if r.draw in texts:
+            texts[r.draw] = r.text
+    expected = []
+    for r in drawn:
+        words = texts[r.draw].split()
+        for at in range(0, r.taken, r.size):
+            expected.append((r.doc_id, r.source, " ".join(words[: min(r.size, r.taken - at)])))
+    got = stage(spark, docs, "").collect()
+    assert sorted(map(str, ((r.doc_id, r.source, r.text) for r in got))) == sorted(map(str, expected))
+    assert all(r.n_chars == len(r.text) for r in got) and stage(spark, docs.limit(0), "").count() == 0
