@@ -7,7 +7,6 @@ Stages read doc_id, text and source, and n_chars, if it is there, follows the te
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,7 +14,7 @@ from pyspark.sql import functions as F
 from tesserae.llm.common import id_key, sieve, staged
 from tesserae.llm.jaccard import jaccard_groups
 from tesserae.llm.line_dedup import line_dedup
-from tesserae.llm.mixing import mix, n_words
+from tesserae.llm.mixing import draw_of, mix, n_words
 from tesserae.llm.quality import judge, log_ratios
 from tesserae.llm.tokenizer import encode
 
@@ -66,7 +65,8 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the least id. Empty texts are groups of one.
 
-    Of rows that are alike in id and text one stays, if that is the group's; a null id counts as the largest.
+    Of rows that are alike in id and text one stays, if that is the group's; a null id counts as the largest; an empty table
+    stays empty.
     """
     marked = jaccard_groups(docs.select("doc_id", "text"), n=SHINGLE, percent=NEAR_PERCENT).select(id_key(F.col("doc_id")).alias("_id"), F.col("mark").alias("_mark"), "head")
     # Rows may be alike in id and text: as many stay as are heads. Rows that may be none go to the join, all others stay.
@@ -80,16 +80,21 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it. The one at which a source's budget is cut ends with the last word taken.
 
-    Texts without words are never taken; rows that are alike share what is taken of them; rows without a source are a
-    source of their own; an empty table stays empty.
+    Texts without words are never taken; rows that are alike in id, text and source share what is taken of them; rows without
+    a source are a source of their own; an empty table stays empty.
     """
     size = n_words(F.col("text"))
-    taken = mix(docs.select("doc_id", "text", "source")).where("taken > 0")
-    # Rows may be alike in id and size: they share what is taken of them.
-    shares = taken.groupBy(id_key(F.col("doc_id")).alias("_id"), F.col("size").alias("_size")).agg(F.sort_array(F.collect_list("taken")).alias("_shares"))
-    met = packed(docs, id_key(F.col("doc_id")).alias("_id"), size.alias("_size")).join(shares, ["_id", "_size"])
-    order = W.partitionBy("_id", "_size").orderBy(F.xxhash64("_row"))
-    met = met.withColumn("_taken", F.get("_shares", F.row_number().over(order) - 1)).where("_taken IS NOT NULL").drop("_shares")
+    taken = mix(docs.select("doc_id", "text", "source"), with_draw=True)
+    # Rows that are alike take one of a few numbers of words: a number of epochs, one more, or what is left of a budget. Only
+    # where these differ are such rows told apart.
+    counts = taken.groupBy(F.col("draw").alias("_draw"), id_key(F.col("source")).alias("_source"), "taken").agg(F.count("*").alias("n"))
+    shares = counts.groupBy("_draw", "_source").agg(F.sort_array(F.collect_list(F.struct("taken", "n")), asc=False).alias("_shares")).where("_shares[0].taken > 0")
+    met = packed(docs, draw_of(F.col("doc_id"), F.col("text")).alias("_draw"), id_key(F.col("source")).alias("_source"), size.alias("_size")).join(shares, ["_draw", "_source"])
+    alike = met.where("size(_shares) = 1").withColumn("_taken", F.expr("_shares[0].taken"))
+    nth = F.row_number().over(W.partitionBy("_draw", "_source").orderBy(F.xxhash64("_row")))
+    ends = F.transform("_shares", lambda s, i: F.struct(s["taken"], F.aggregate(F.slice("_shares", 1, i + 1), F.lit(0).cast("long"), lambda a, x: a + x["n"]).alias("end")))
+    apart = met.where("size(_shares) > 1").withColumn("_nth", nth).withColumn("_taken", F.filter(ends, lambda e: F.col("_nth") <= e["end"])[0]["taken"]).drop("_nth")
+    met = alike.unionByName(apart).where("_taken > 0").drop("_shares")
     copies = met.withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_taken") - 1) / F.col("_size")))))
     left = F.col("_taken") - F.col("_copy") * F.col("_size")
     body = F.col("_row.text")
@@ -99,7 +104,10 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, the hashes of ids and bytes, and the ids, of every row; a null text counts as empty."""
+    """doc_id, n_tokens, the hashes of ids and bytes, and the ids, of every row; a null text counts as empty; rows that are
+    alike are encoded one by one; an empty table stays empty."""
+    import public_tokenizers
+
     return encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=True)
 
 
