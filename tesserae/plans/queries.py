@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.functions import text as X
-from tesserae.operators import assets, choose, expand, predicates, profile, relax, times, vector, vocab
+from tesserae.operators import assets, choose, expand, predicates, profile, relax, sketches, times, vector, vocab
 from tesserae.operators.incremental import ProfileStore
 from tesserae.operators.numbering import numbered
 from tesserae.operators.vector_index import VectorIndex
@@ -639,3 +639,30 @@ def lines_after_peers(spark, sf_dir):
     spans = lines.select("l_partkey", F.expr("l_shipdate + INTERVAL 1 DAY").alias("a"), F.expr("l_shipdate + make_dt_interval(1 + CAST(l_quantity AS INT))").alias("b"))
     found = times.in_intervals(lines.drop("l_quantity"), spans, ("l_partkey", "l_partkey"), "l_shipdate", "a", "b")
     return found.groupBy("point").agg(F.count("*").alias("peers")).select("point.*", "peers")
+
+
+#: Any-of constraints, by name: a facet and its values.
+ANY_OF = {"west": ("r_name", ["AMERICA", "EUROPE"]), "urgent": ("o_orderpriority", ["1-URGENT", "2-HIGH", "3-MEDIUM"]), "large": ("p_type", ["LARGE", "ECONOMY"]), "open": ("l_linestatus", ["O"]), "reds": ("p_name", ["red", "blue"])}
+CUSTOMERS_OFF, RANK_OFF = 0.05, 0.03
+
+
+@query(f"""WITH {CATALOG} SELECT name, n, true AS n_is_exact, true AS customers_near, true AS median_near, true AS ninth_near FROM (
+{' UNION ALL '.join(f"SELECT '{k}' AS name, count(*) AS n FROM cat WHERE {f} IN ({', '.join(repr(v) for v in vs)})" for k, (f, vs) in ANY_OF.items() if f != 'p_name')}
+UNION ALL SELECT 'reds', count(*) FROM (SELECT unnest(p_name) AS w FROM cat) WHERE w IN ('red', 'blue'))""")
+def facet_sketches(spark, sf_dir):
+    """Sketches of two halves of the records, stored and merged, answer each constraint; they are held against the records:
+    customers within 5 %, the ranks of the quantiles 0.5 and 0.9 within 3 %."""
+    lines = records(spark, sf_dir)
+    names = sorted({f for f, _ in ANY_OF.values()})
+    halves = [staged(sketches.sketched(lines.where(F.col("l_orderkey") % 2 == i), names, "o_custkey", "l_extendedprice"), "sketches") for i in (0, 1)]
+    asked = spark.createDataFrame([(k, f, v) for k, (f, vs) in ANY_OF.items() for v in vs], "name string, facet string, value string")
+    found = staged(sketches.any_of(sketches.merged(halves[0].union(halves[1]), ["facet", "value"]), asked, [0.5, 0.9]), "answers")
+    # What the records say: a row for each value that a constraint names.
+    values = predicates.values_of(lines, names, ["o_custkey", "l_extendedprice"]).join(F.broadcast(asked), ["facet", "value"])
+    below = lambda i: F.count_if(F.col("l_extendedprice") <= F.col("quantiles")[i]) / F.count("*")
+    exact = values.join(F.broadcast(found.select("name", "quantiles")), "name").groupBy("name").agg(F.count("*").alias("n_exact"), F.count_distinct("o_custkey").alias("customers"), below(0).alias("half"), below(1).alias("ninth"))
+    near = lambda a, b, off: F.abs(a - b) <= off
+    return found.join(exact, "name").select(
+        "name", "n", (F.col("n") == F.col("n_exact")).alias("n_is_exact"), near(F.col("distinct"), F.col("customers"), CUSTOMERS_OFF * F.col("customers")).alias("customers_near"),
+        near(F.col("half"), F.lit(0.5), RANK_OFF).alias("median_near"), near(F.col("ninth"), F.lit(0.9), RANK_OFF).alias("ninth_near"),
+    )

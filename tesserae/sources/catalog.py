@@ -59,7 +59,7 @@ class SalesCatalog:
         nations, regions, parts = self.table("nation"), self.table("region"), self.table("part")
         joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(customers, F.col("o_custkey") == F.col("c_custkey"))
         joined = joined.join(nations, F.col("c_nationkey") == F.col("n_nationkey")).join(regions, F.col("n_regionkey") == F.col("r_regionkey")).join(parts, F.col("l_partkey") == F.col("p_partkey"))
-        return joined.select(*[f.name for f in SALES.facets if f.name != "p_name"], F.split("p_name", " ").alias("p_name"), "l_linenumber", "l_orderkey", "l_partkey", "l_suppkey")
+        return joined.select(*[f.name for f in SALES.facets if f.name != "p_name"], F.split("p_name", " ").alias("p_name"), "l_linenumber", "l_orderkey", "l_partkey", "l_suppkey", "o_custkey", "l_extendedprice")
 
 
 class VocabularySource(Protocol):

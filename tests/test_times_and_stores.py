@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from tesserae.operators import predicates, profile, times
+from tesserae.operators import predicates, profile, sketches, times
 from tesserae.operators.incremental import ProfileStore
 from tesserae.schema import Facet, FacetSchema
 
@@ -133,3 +133,25 @@ def test_predicates_reach_the_scan(spark):
 
     filtered = plan(QUERIES["predicate_applied"](spark, "/root/testdata/sf0.001"))
     assert "In(o_orderpriority" in filtered and "EqualTo(c_mktsegment,BUILDING)" in filtered
+
+
+def test_sketches_merge_and_stay_near(spark):
+    r = random.Random(12)
+    rows = [(r.randrange(3000), r.choice("ab") if i % 50 else None, [r.choice(["x", "y", "none"]) for _ in range(r.randrange(3))], r.gauss(0, 10)) for i in range(20_000)]
+    rows += [(None, "empty", [], None)] * 3
+    df = spark.createDataFrame(rows, "who long, s string, m array<string>, price double")
+    parts = [sketches.sketched(df.where(c), ["s", "m"], "who", "price") for c in ("who % 2 = 0", "who % 2 = 1 OR who IS NULL")]
+    both = sketches.merged(parts[0].union(parts[1]), ["facet", "value"])
+    got = {(x.facet, x.value): x for x in sketches.told(both, [0.1, 0.5]).collect()}
+    assert set(got) == {("s", "a"), ("s", "b"), ("s", "empty"), ("m", "x"), ("m", "y")}
+    assert (got["s", "empty"].n, got["s", "empty"].distinct, got["s", "empty"].quantiles) == (3, 0, None)
+    for (facet, value), x in got.items():
+        own = [row for row in rows for v in ([row[1]] if facet == "s" else row[2]) if v == value]
+        assert x.n == len(own)
+        if value != "empty":
+            assert abs(x.distinct - len({o[0] for o in own})) <= 0.05 * x.distinct
+            for rank, q in zip((0.1, 0.5), x.quantiles):
+                assert abs(sum(o[3] <= q for o in own) / len(own) - rank) <= 0.03
+    asked = spark.createDataFrame([("ab", "s", "a"), ("ab", "s", "b"), ("ab", "s", "b"), ("no", "s", "q")], "name string, facet string, value string")
+    [one] = sketches.any_of(both, asked, [0.5]).collect()
+    assert one.name == "ab" and one.n == sum(x[1] in ("a", "b") for x in rows if x[1]) and abs(one.distinct - 3000) < 150
