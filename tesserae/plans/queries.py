@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.functions import text as X
-from tesserae.operators import assets, choose, expand, predicates, profile, relax, sketches, times, vector, vocab
+from tesserae.operators import assets, choose, expand, predicates, profile, related, relax, sketches, times, vector, vocab
 from tesserae.operators.incremental import ProfileStore
 from tesserae.operators.numbering import numbered
 from tesserae.operators.vector_index import VectorIndex
@@ -666,3 +666,23 @@ def facet_sketches(spark, sf_dir):
         "name", "n", (F.col("n") == F.col("n_exact")).alias("n_is_exact"), near(F.col("distinct"), F.col("customers"), CUSTOMERS_OFF * F.col("customers")).alias("customers_near"),
         near(F.col("half"), F.lit(0.5), RANK_OFF).alias("median_near"), near(F.col("ninth"), F.lit(0.9), RANK_OFF).alias("ninth_near"),
     )
+
+
+def walk_sql(rounds: int) -> str:
+    out = f"""WITH {CATALOG}, {LONG}, c AS (SELECT entity, facet, value, count(*) AS n FROM long GROUP BY 1, 2, 3),
+l AS (SELECT entity, facet, value, n * sum(n) OVER (PARTITION BY facet) / (sum(n) OVER (PARTITION BY entity, facet) * sum(n) OVER (PARTITION BY facet, value))::DOUBLE AS lift FROM c),
+g AS (SELECT * FROM l WHERE lift > 1),
+s AS MATERIALIZED (SELECT entity, facet, value, lift / sum(lift) OVER (PARTITION BY entity) AS down, lift / sum(lift) OVER (PARTITION BY facet, value) AS up FROM g),
+e0 AS (SELECT DISTINCT entity AS start, entity, 1.0::DOUBLE AS p FROM s)"""
+    for r in range(rounds):
+        out += f""",
+v{r} AS MATERIALIZED (SELECT start, facet, value, sum(p * down) AS p FROM e{r} JOIN s USING (entity) GROUP BY 1, 2, 3),
+e{r + 1} AS (SELECT start, entity, 0.8 * sum(p * up) AS p FROM v{r} JOIN s USING (facet, value) GROUP BY 1, 2)"""
+    return out + f""",
+t AS (SELECT start AS entity, facet, value, round(0.2 * sum(p), 9) AS score FROM ({' UNION ALL '.join(f'SELECT * FROM v{r}' for r in range(rounds))}) GROUP BY 1, 2, 3)
+SELECT *, row_number() OVER (PARTITION BY entity ORDER BY score DESC, facet, value) AS rank FROM t QUALIFY rank <= 5"""
+
+
+@query(walk_sql(4))
+def value_suggestions(spark, sf_dir):
+    return related.suggestions(profile.entity_profile(records(spark, sf_dir), SALES))

@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from tesserae.operators import predicates, profile, sketches, times
+from tesserae.operators import predicates, profile, related, sketches, times
 from tesserae.operators.incremental import ProfileStore
 from tesserae.schema import Facet, FacetSchema
 
@@ -155,3 +155,33 @@ def test_sketches_merge_and_stay_near(spark):
     asked = spark.createDataFrame([("ab", "s", "a"), ("ab", "s", "b"), ("ab", "s", "b"), ("no", "s", "q")], "name string, facet string, value string")
     [one] = sketches.any_of(both, asked, [0.5]).collect()
     assert one.name == "ab" and one.n == sum(x[1] in ("a", "b") for x in rows if x[1]) and abs(one.distinct - 3000) < 150
+
+
+def test_suggestions_are_walks_from_the_entity(spark):
+    r = random.Random(2)
+    counts = {(f"e{i}", r.choice("fg"), r.choice("uvwxyz")): r.randrange(1, 9) for i in range(7) for _ in range(5)}
+    rows = [(*k, n) for k, n in counts.items()] + [("alone", "h", "only", 3), (None, "f", "u", 50)]
+    frame = spark.createDataFrame(rows, "entity string, facet string, value string, n long")
+    known = {k: n for *k, n in ((e, (f, v), n) for e, f, v, n in rows if e) for k in [tuple(k)]}
+    size = lambda e=None, f=None, v=None: sum(n for (a, (b, c)), n in known.items() if e in (None, a) and f in (None, b) and v in (None, c))
+    lift = {(e, x): n * size(f=x[0]) / (size(e, x[0]) * size(f=x[0], v=x[1])) for (e, x), n in known.items()}
+    lift = {k: w for k, w in lift.items() if w > 1}
+    down, up = collections.Counter(), collections.Counter()
+    for (e, x), w in lift.items():
+        down[e] += w
+        up[x] += w
+    expected = set()
+    for start in down:
+        at, total = {start: 1.0}, collections.Counter()
+        for _ in range(4):
+            values = collections.Counter()
+            for (e, x), w in lift.items():
+                values[x] += at.get(e, 0) * w / down[e]
+            total.update(values)
+            at = collections.Counter()
+            for (e, x), w in lift.items():
+                at[e] += 0.8 * values[x] * w / up[x]
+        best = sorted(((-round(0.2 * p, 9), x) for x, p in total.items() if p), key=lambda y: (y[0], y[1]))[:5]
+        expected |= {(start, *x, -p, i + 1) for i, (p, x) in enumerate(best)}
+    assert {tuple(x) for x in related.suggestions(frame).collect()} == expected and "alone" not in {x[0] for x in expected}
+    assert related.suggestions(frame.limit(0)).count() == 0
