@@ -66,8 +66,21 @@ def stitched(pattern: regex.Pattern, text: str, chunk: int = CHUNK, overlap: int
         seen = set(following)
         meet = next((p for p in mine if begin <= p <= limit and p in seen), None)
         if meet is None:
-            meet = limit if limit > mine[0] else mine[0]
-            following = boundaries(pattern, text, meet, end)
+            # From the last sure boundary the whole text is matched on, to the first token that begins behind this chunk: a
+            # token that is longer than chunks is matched once, and the chunks within it are passed over.
+            sure, on = max(limit, mine[0]), []
+            for m in pattern.finditer(text, sure):
+                on.append(m.start())
+                if on[-1] >= begin:
+                    break
+            else:
+                on.append(size)
+            yield cut(text, [*(p for p in mine if p < sure), *on])
+            if on[-1] == size:
+                return
+            k = on[-1] // chunk
+            mine = boundaries(pattern, text, on[-1], min(size, (k + 1) * chunk + overlap))
+            continue
         yield cut(text, [p for p in mine if p <= meet])
         mine, k = [p for p in following if p >= meet], k + 1
 

@@ -429,3 +429,26 @@ def test_the_mixing_stage_puts_out_what_was_drawn(spark):
     got = stage(spark, docs, "").collect()
     assert sorted(map(str, ((r.doc_id, r.source, r.text) for r in got))) == sorted(map(str, expected))
     assert all(r.n_chars == len(r.text) for r in got) and stage(spark, docs.limit(0), "").count() == 0
+
+
+def test_stitches_of_runs_are_linear():
+    import time
+
+    import public_tokenizers
+    import regex
+
+    pattern = regex.compile(public_tokenizers.PATTERN)
+    r = random.Random(4)
+    runs = ["x" * 8_000_000, "=" * 3_000_000, " " * 2_000_000 + "a", ("y" * 20_000 + " ") * 50]
+    for text in runs:
+        began = time.process_time()
+        whole = pattern.findall(text)
+        plain = time.process_time() - began
+        began = time.process_time()
+        got = [p for pieces in tokenizer.stitched(pattern, text) for p in pieces]
+        took = time.process_time() - began
+        assert got == whole and took < 2 + 4 * plain
+    for _ in range(300):
+        text = "".join(r.choice(["a" * r.randrange(1, 90), " " * r.randrange(1, 40), "\n" * r.randrange(1, 9), "don't ", "1234567 ", "==" * r.randrange(1, 30), "é日本 "]) for _ in range(r.randrange(1, 40)))
+        for chunk, overlap in ((16, 4), (40, 16), (7, 1)):
+            assert [p for pieces in tokenizer.stitched(pattern, text, chunk, overlap) for p in pieces] == pattern.findall(text)
