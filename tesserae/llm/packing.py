@@ -1,7 +1,8 @@
 """Packing of documents into sequences of bounded length, by bounded-space online best-fit.
 
 Texts are cut into ids, a document's ids are closed by an end, and only a document longer than a sequence is cut into pieces.
-Pieces come in an order that is random and the same on every run. So many bins are open at most; a bitset has a bit for each
+Pieces come in an order that is random and the same on every run, and so many at a time wait to go longest first, for long
+pieces need bins while there is much left to fill them up. So many bins are open at most; a bitset has a bit for each
 free space that an open bin has, so that the smallest that is large enough is found by one shift. Where none is, a bin is
 opened, and if there are as many as may be, the fullest is closed first. A full bin is closed at once.
 
@@ -37,6 +38,8 @@ ship(__name__)
 
 #: Tokens of a sequence; the id that ends a document; bins that are open at once.
 CAPACITY, END, OPEN = 4096, 1, 1024
+#: Pieces that wait at a time.
+WAITING = 4096
 #: Tokens of a group, and most groups.
 GROUP, GROUPS = 1 << 26, 1 << 16
 #: Characters that are cut into ids at once, about; words that a worker remembers, and their longest.
@@ -243,7 +246,11 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, most_open: int = OPEN, lengt
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bins, first = Bins(capacity, most_open), TaskContext.get().partitionId() << 40
         for batch in batches:
-            places = [bins.put(n) for n in batch.column(length).to_pylist()]
+            lengths = batch.column(length).to_pylist()
+            places: list[tuple[int, int]] = [(0, 0)] * len(lengths)
+            for a in range(0, len(lengths), WAITING):
+                for i in sorted(range(a, min(a + WAITING, len(lengths))), key=lambda i: -lengths[i]):
+                    places[i] = bins.put(lengths[i])
             sequence, offset = zip(*places) if places else ((), ())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.array(sequence, np.int64) + first), pa.array(offset, pa.int64())], [*batch.schema.names, "sequence_id", "offset"])
 
