@@ -47,9 +47,10 @@ def best(query: np.ndarray, score: np.ndarray, key: np.ndarray, k: int) -> np.nd
     return order[rank < k]
 
 
-def nearest(rows: DataFrame, vectors: np.ndarray, groups: dict | None, k: int) -> DataFrame:
+def nearest(rows: DataFrame, vectors: np.ndarray, limits: np.ndarray, groups: dict | None, k: int) -> DataFrame:
     """#q (a query's place in vectors), rows' columns but #v and #among, and score: of each task the k nearest of every query.
-    rows: #v, #key, others. groups: the places of the queries that ask a value of #among.
+    rows: #v, #key, others. limits: the largest score that a query asks for. groups: the places of the queries that ask a
+    value of #among.
 
     Distances are summed dimension by dimension, so that they are the same numbers wherever they are made; what a task holds
     is a tile of them and the nearest so far.
@@ -88,7 +89,7 @@ def nearest(rows: DataFrame, vectors: np.ndarray, groups: dict | None, k: int) -
                         score += gap * gap
                     # Only what may be among a query's k nearest is ordered by key too.
                     worst = np.partition(score, k - 1, axis=1)[:, k - 1 : k] if len(some) > k else np.inf
-                    q, r = np.nonzero(score <= worst)
+                    q, r = np.nonzero(score <= np.minimum(worst, limits[queries][:, None]))
                     keep = best(q, score[q, r], ordered(rest["#key"])[some[r]], k)
                     q, r = q[keep], r[keep]
                     found.append((queries[q], score[q, r], rest.take(pa.array(some[r]))))
@@ -104,17 +105,18 @@ def nearest(rows: DataFrame, vectors: np.ndarray, groups: dict | None, k: int) -
     return rows.mapInArrow(run, f"`#q` long, {kinds}, score double")
 
 
-def top_k_each(store: DataFrame, queries: DataFrame, k: int = TOP_K, vector: str = "embedding", key: str = "vec_id", among: str | None = None, carry: list[str] | None = None) -> DataFrame:
+def top_k_each(store: DataFrame, queries: DataFrame, k: int = TOP_K, vector: str = "embedding", key: str = "vec_id", among: str | None = None, carry: list[str] | None = None, limit: str | None = None) -> DataFrame:
     """query_id, key, the store's columns to carry, score, rank of every query's k nearest. queries: query_id, query; a stated
     set, held against all rows; with among, a column that both frames have, against the rows that have the query's value of
-    it, and a query may stand there several times with different ones.
+    it, and a query may stand there several times with different ones; with limit, a column of the queries, rows of a larger
+    score are left out, where it isn't null.
 
     So many queries at a time are sent to all tasks, of which each keeps its own k for every query; more queries take more
     passes over the store, and what each finds is written. Vectors without a distance to the queries (null, with nulls or
     numbers that aren't finite, or of another length) aren't found, and such queries find nothing.
     """
     carry, spark = carry or [], store.sparkSession
-    asked = queries.where(is_comparable(F.col("query"))).select("query_id", F.col("query").cast("array<double>").alias("query"), *([F.col(among).alias("#asked")] if among else []))
+    asked = queries.where(is_comparable(F.col("query"))).select("query_id", F.col("query").cast("array<double>").alias("query"), (F.col(limit) if limit else F.lit(None)).cast("double").alias("#limit"), *([F.col(among).alias("#asked")] if among else []))
     sizes = asked.agg(F.count_distinct("query_id").alias("n"), F.count("*").alias("pairs"), F.min(F.size("query")).alias("least"), F.max(F.size("query")).alias("most")).first()
     if sizes.least != sizes.most:
         raise ValueError(f"queries have {sizes.least} to {sizes.most} dimensions")
@@ -127,8 +129,9 @@ def top_k_each(store: DataFrame, queries: DataFrame, k: int = TOP_K, vector: str
     found = None
     for part in range(parts):
         here = dealt.where(F.col("#part") == part)
-        once = here.groupBy("query_id").agg(F.min("query").alias("query")).toArrow()
+        once = here.groupBy("query_id").agg(F.min("query").alias("query"), F.max("#limit").alias("limit")).toArrow()
         vectors = np.array(once["query"].to_pylist(), float).reshape(len(once), sizes.most or 1)
+        limits = np.array([np.inf if x is None else x for x in once["limit"].to_pylist()], float)
         groups = None
         if among:
             place, groups = {q: i for i, q in enumerate(once["query_id"].to_pylist())}, {}
@@ -136,7 +139,7 @@ def top_k_each(store: DataFrame, queries: DataFrame, k: int = TOP_K, vector: str
                 groups.setdefault(value, []).append(place[q])
             groups = {v: np.array(sorted(p)) for v, p in groups.items()}
         ids = spark.createDataFrame([(i, q) for i, q in enumerate(once["query_id"].to_pylist())], f"`#q` long, query_id {kind}")
-        near = nearest(rows, vectors, groups, k) if len(once) else nearest(rows.limit(0), np.zeros((0, 1)), None, k)
+        near = nearest(rows if len(once) else rows.limit(0), vectors, limits, groups, k)
         ranked = near.withColumn("rank", F.row_number().over(W.partitionBy("#q").orderBy("score", "#key")).cast("long")).where(F.col("rank") <= k)
         told = ranked.join(F.broadcast(ids), "#q").select("query_id", *names, "score", "rank")
         told = staged(told, "nearest") if parts > 1 else told

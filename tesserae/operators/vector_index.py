@@ -97,11 +97,12 @@ class VectorIndex:
     def is_empty(self) -> bool:
         return "centre" not in self.vectors().columns and self.vectors().isEmpty()
 
-    def read(self, asked: DataFrame, k: int) -> DataFrame:
+    def read(self, asked: DataFrame, k: int, limit: str | None = None) -> DataFrame:
         """query_id, key, score, rank of the k nearest among the cells that are asked. asked: query_id, query, cell. Cells
-        that nobody asks are pruned from the scan; which are asked is a list of CELLS numbers at most."""
+        that nobody asks are pruned from the scan; which are asked is a list of CELLS numbers at most. limit: a column of the
+        largest score that is asked for."""
         cells = sorted(r.cell for r in asked.select("cell").distinct().collect())
-        return V.top_k_each(self.vectors().where(F.col("cell").isin(cells)), asked, k, self.vector, self.key, among="cell")
+        return V.top_k_each(self.vectors().where(F.col("cell").isin(cells)), asked, k, self.vector, self.key, among="cell", limit=limit)
 
     def search(self, queries: DataFrame, k: int = V.TOP_K, probes: int | None = None, exact: bool = False) -> DataFrame:
         """query_id, key, score, rank. queries: query_id, query; a stated set."""
@@ -120,7 +121,7 @@ class VectorIndex:
         worst = found.groupBy("query_id").agg(F.when(F.count("*") >= k, F.max("score")).alias("worst"))
         rest = near.where(F.col("rank") > (probes or self.probes)).join(worst, "query_id", "left")
         may = F.col("worst").isNull() | (F.sqrt("score") - F.col("radius") <= F.sqrt("worst") + MARGIN * (F.sqrt("worst") + F.sqrt("score")))
-        further = self.read(staged(rest.where(may).select("query_id", "query", "cell"), "further-cells"), k)
+        further = self.read(staged(rest.where(may).select("query_id", "query", "cell", "worst"), "further-cells"), k, "worst")
         order = W.partitionBy("query_id").orderBy("score", self.key)
         both = found.drop("rank").unionByName(further.drop("rank"))
         return both.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
