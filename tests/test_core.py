@@ -132,7 +132,7 @@ def test_queries_in_parts(spark, monkeypatch):
         assert got == want
 
 
-def clustered(spark, n=4000, seed=4):
+def clustered(spark, n=2000, seed=4):
     import numpy as np
 
     r = np.random.default_rng(seed)
@@ -147,23 +147,23 @@ def test_vector_index(spark, tmp_path, capsys):
     asked = store.where("vec_id % 100 = 0 AND embedding IS NOT NULL AND NOT isnan(embedding[0])").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
     built = VectorIndex.build(store, f"{tmp_path}/index")
     index = built.tuned(asked, 10)
-    assert VectorIndex.open(spark, index.path) == index and index.vectors().count() == 4001 and index.cells().count() == 63
+    assert VectorIndex.open(spark, index.path) == index and index.vectors().count() == 2001 and index.cells().count() == 45
     brute = {tuple(r) for r in vector.top_k_each(index.vectors(), asked, 10).collect()}
     near = index.search(asked, 10)
     found = {tuple(r) for r in near.collect()}
     hit = len({x[:2] for x in found} & {x[:2] for x in brute}) / len(brute)
     with capsys.disabled():
-        print(f" {index.probes} of 63 cells: recall {hit:.3f}, audited {index.recall:.3f}", end="")
+        print(f" {index.probes} of 45 cells: recall {hit:.3f}, audited {index.recall:.3f}", end="")
     assert index.probes < 20 and hit >= 0.93 and index.recall >= 0.95
     # With all cells, or with the second pass, nothing is missed.
-    assert {tuple(r) for r in index.search(asked, 10, probes=63).collect()} == brute
+    assert {tuple(r) for r in index.search(asked, 10, probes=45).collect()} == brute
     assert {tuple(r) for r in built.search(asked, 10, exact=True).collect()} == brute
     # One query reads its own cells only.
     one = index.search(asked.where("query_id = 100"), 10, probes=2)
     scan = next(x for x in plan(one).split("\n\n") if "Scan parquet" in x and "vectors" in x)
     assert "PartitionFilters: [" in scan and "cell" in scan.split("PartitionFilters")[1].split("\n")[0]
     read = {r.cell for r in index.vectors().select("cell").distinct().collect()}
-    assert len(read) == 63 and len({r.cell for r in one.join(index.vectors().select("vec_id", "cell"), "vec_id").select("cell").collect()}) <= 2
+    assert len(read) == 45 and len({r.cell for r in one.join(index.vectors().select("vec_id", "cell"), "vec_id").select("cell").collect()}) <= 2
 
 
 def test_vector_index_grows_and_may_be_empty(spark, tmp_path):
