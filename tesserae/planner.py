@@ -106,12 +106,17 @@ class ScoredPlanner(LexicalPlanner):
         """vocabulary: facet, value, description."""
         super().__init__(schema)
         self.index = choose.VocabularyIndex.of(vocabulary.where(F.col("facet").isin(schema.names)))
+        self.last: tuple[list[str], dict[str, list[str]]] = ([], {})
 
     def chosen(self, query: str, earlier: Sequence[str]) -> dict[str, list[str]]:
-        turns = [(0, i, t) for i, t in enumerate([*earlier, query])]
+        said = [*earlier, query]
+        if self.last[0] == said:
+            return self.last[1]
+        turns = [(0, i, t) for i, t in enumerate(said)]
         frame = self.index.postings.sparkSession.createDataFrame(turns, "conv_id long, turn long, text string")
         found = self.index.choose(choose.said_in_turns(frame, F.col("turn") == len(earlier)), ["conv_id", "turn"])
-        return {r.facet: list(r["values"]) for r in found.collect()}
+        self.last = said, {r.facet: list(r["values"]) for r in found.collect()}
+        return self.last[1]
 
     def plan(self, query: str, earlier: Sequence[str] = ()) -> Plan:
         named, scored = super().plan(query), self.chosen(query, earlier)
