@@ -73,32 +73,28 @@ class VocabularyIndex:
         alike = shared.select("word", "term", (2 * F.col("shared") / (F.col("n") + F.col("size"))).alias("alike"))
         return same.unionByName(alike.where(F.col("alike") >= ALIKE))
 
-    def scores(self, said: DataFrame, keys: list[str]) -> DataFrame:
-        """keys, facet, value, score. said: keys, word, weight."""
-        met = self.spellings(said.select("word").distinct())
-        found = said.join(met, "word").join(self.postings, "term")
-        best = found.groupBy(*keys, "facet", "value", "term").agg(F.max(F.col("weight") * F.col("alike") * F.col("part")).alias("s"))
-        return best.groupBy(*keys, "facet", "value").agg(F.round(F.sum("s"), DECIMALS).alias("score"))
-
-    def choose(self, said: DataFrame, keys: list[str], least: float = LEAST, most: int = MOST) -> DataFrame:
-        """keys, facet, values (best first, ties in order), scores: the values of each question and facet that score enough."""
-        enough = self.scores(said, keys).where(F.col("score") >= least)
+    def met(self, said: DataFrame, keys: list[str]) -> DataFrame:
+        """keys, term, alike: the vocabulary's terms that are said. said: keys, word."""
+        return said.join(self.spellings(said.select("word").distinct()), "word").select(*keys, "term", "alike")
+
+    def chosen(self, met: DataFrame, keys: list[str], least: float, most: int) -> DataFrame:
+        best = met.join(self.postings, "term").groupBy(*keys, "facet", "value", "term").agg(F.max(F.col("alike") * F.col("part")).alias("s"))
+        scores = best.groupBy(*keys, "facet", "value").agg(F.round(F.sum("s"), DECIMALS).alias("score"))
         order = W.partitionBy(*keys, "facet").orderBy(F.desc("score"), "value")
-        top = enough.withColumn("#rank", F.row_number().over(order)).where(F.col("#rank") <= most)
+        top = scores.where(F.col("score") >= least).withColumn("#rank", F.row_number().over(order)).where(F.col("#rank") <= most)
         lists = top.groupBy(*keys, "facet").agg(F.array_sort(F.collect_list(F.struct("#rank", "value", "score"))).alias("l"))
         return lists.select(*keys, "facet", F.transform("l", lambda x: x["value"]).alias("values"), F.transform("l", lambda x: x["score"]).alias("scores"))
 
-
-def said_in(questions: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """keys, word, weight of what each question says."""
-    return questions.select(*keys, F.explode(terms(F.col(text))).alias("word"), F.lit(1.0).alias("weight")).distinct()
-
-
-def said_in_turns(turns: DataFrame, asked: Column, back: int = 2, key: str = "conv_id", turn: str = "turn", text: str = "text") -> DataFrame:
-    """key, turn, word, weight of the turns that are asked: what they say, and at half the weight for each step what the turns
-    numbered up to so many before say."""
-    steps = F.explode(F.sequence(F.lit(0), F.lit(back))).alias("#step")
-    spread = turns.select(F.col(key), F.col(turn).alias("#from"), terms(F.col(text)).alias("#t"), steps)
-    reach = spread.select(key, (F.col("#from") + F.col("#step")).alias(turn), F.explode("#t").alias("word"), F.pow(F.lit(0.5), F.col("#step")).alias("weight"))
-    wanted = turns.where(asked).select(key, turn).distinct()
-    return reach.join(wanted, [key, turn], "left_semi").groupBy(key, turn, "word").agg(F.max("weight").alias("weight"))
+    def choose(self, questions: DataFrame, keys: list[str], text: str = "text", least: float = LEAST, most: int = MOST) -> DataFrame:
+        """keys, facet, values (best first, ties in order), scores: the values of each question and facet that score enough."""
+        said = questions.select(*keys, F.explode(terms(F.col(text))).alias("word")).distinct()
+        return self.chosen(self.met(said, keys), keys, least, most)
+
+    def choose_in_turns(self, turns: DataFrame, asked: Column, back: int = 2, key: str = "conv_id", turn: str = "turn", text: str = "text", least: float = LEAST, most: int = MOST) -> DataFrame:
+        """The same of the turns that are asked: what they say, and at half the likeness for each step what the turns numbered up
+        to so many before say. Only what the vocabulary has goes on to later turns."""
+        met = self.met(turns.select(key, turn, F.explode(terms(F.col(text))).alias("word")).distinct(), [key, turn])
+        spread = met.withColumn("#step", F.explode(F.sequence(F.lit(0), F.lit(back))))
+        spread = spread.select(key, (F.col(turn) + F.col("#step")).alias(turn), "term", (F.col("alike") * F.pow(F.lit(0.5), F.col("#step"))).alias("alike"))
+        wanted = turns.where(asked).select(key, turn).distinct()
+        return self.chosen(spread.join(wanted, [key, turn], "left_semi"), [key, turn], least, most)

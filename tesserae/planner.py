@@ -114,7 +114,7 @@ class ScoredPlanner(LexicalPlanner):
             return self.last[1]
         turns = [(0, i, t) for i, t in enumerate(said)]
         frame = self.index.postings.sparkSession.createDataFrame(turns, "conv_id long, turn long, text string")
-        found = self.index.choose(choose.said_in_turns(frame, F.col("turn") == len(earlier)), ["conv_id", "turn"])
+        found = self.index.choose_in_turns(frame, F.col("turn") == len(earlier))
         self.last = said, {r.facet: list(r["values"]) for r in found.collect()}
         return self.last[1]
 

@@ -542,7 +542,7 @@ def talk(spark, sf_dir) -> tuple[DataFrame, choose.VocabularyIndex]:
 def value_choice(spark, sf_dir):
     turns, index = talk(spark, sf_dir)
     keys = ["conv_id", "turn"]
-    found = index.choose(choose.said_in(turns.where("role = 'user'"), keys), keys)
+    found = index.choose(turns.where("role = 'user'"), keys)
     return found.select(*keys, "facet", F.array_join("values", "|").alias("values"), F.array_max("scores").alias("score"))
 
 
@@ -551,9 +551,8 @@ said AS (SELECT t.conv_id, t.turn, word, max(0.5 ** (t.turn - w.turn)) AS weight
 def value_choice_in_turns(spark, sf_dir):
     """What was said in the two turns before counts too, by a half and a quarter."""
     turns, index = talk(spark, sf_dir)
-    keys = ["conv_id", "turn"]
-    found = index.choose(choose.said_in_turns(turns, F.col("role") == "user"), keys)
-    return found.select(*keys, "facet", F.array_join("values", "|").alias("values"), F.array_max("scores").alias("score"))
+    found = index.choose_in_turns(turns, F.col("role") == "user")
+    return found.select("conv_id", "turn", "facet", F.array_join("values", "|").alias("values"), F.array_max("scores").alias("score"))
 
 
 def delivered(spark: SparkSession, parts: list[DataFrame], stream: Callable[[DataFrame], DataFrame]) -> DataFrame:

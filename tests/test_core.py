@@ -324,7 +324,7 @@ def test_choice_against_brute_force(spark):
     import re
 
     words = lambda t: set(re.findall(r"[^\W]+", (t or "").lower()))
-    got = {(x.turn, x.facet): list(x["values"]) for x in index.choose(choose.said_in(frame.where("conv_id = 1"), ["turn"]), ["turn"]).collect()}
+    got = {(x.turn, x.facet): list(x["values"]) for x in index.choose(frame.where("conv_id = 1"), ["turn"]).collect()}
     assert got == brute_choice(vocabulary, {(t,): dict.fromkeys(words(x), 1.0) for c, t, x in turns if c == 1})
     said = {}
     for c, t, _ in turns:
@@ -333,10 +333,10 @@ def test_choice_against_brute_force(spark):
                 for w in words(x):
                     said.setdefault((c, t), {}).setdefault(w, 0)
                     said[c, t][w] = max(said[c, t][w], 0.5 ** (t - u))
-    got = {(x.conv_id, x.turn, x.facet): list(x["values"]) for x in index.choose(choose.said_in_turns(frame, F.lit(True)), ["conv_id", "turn"]).collect()}
+    got = {(x.conv_id, x.turn, x.facet): list(x["values"]) for x in index.choose_in_turns(frame, F.lit(True)).collect()}
     assert got == brute_choice(vocabulary, said) and got
     empty = choose.VocabularyIndex.of(spark.createDataFrame([], "facet string, value string, description string"))
-    assert empty.choose(choose.said_in(frame, ["turn"]), ["turn"]).count() == 0 and index.choose(choose.said_in(frame.limit(0), ["turn"]), ["turn"]).count() == 0
+    assert empty.choose(frame, ["turn"]).count() == 0 and index.choose(frame.limit(0), ["turn"]).count() == 0
 
 
 def test_scored_planner(spark):
