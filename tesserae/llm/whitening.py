@@ -11,8 +11,9 @@ else stays distributed. The vectors of the fit are written once to the shared fo
 Defined cases: a vector that is null or holds a null or an entry that isn't finite is left out; an empty one is kept; one
 that is shorter than the longest counts as if it ended in zeros; repeated rows, ids and null ids are rows of their own; a
 component whose variance is below 1e-10 of the largest can't be told from rounding and is none, so that vectors that are all
-alike, a single one, or none at all give no rows; other columns are left out. Entries so large that an exact number leaves
-its type are an error, for they have no result: 2 ** 56 for the grid; beyond some 10 ** 9 by 10 ** 9 for a deviation as long.
+alike, a single one, or none at all have no components; other columns are left out. Numbers that leave their type are an
+error, for they have no result: a number of the grid, or n times it, from 2 ** 63 on, and a deviation from 10 ** 38 on, or from
+2 ** 63 on where it is asked for as long.
 """
 
 from __future__ import annotations
