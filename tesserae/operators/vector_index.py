@@ -95,7 +95,7 @@ class VectorIndex:
         return self.spark.read.parquet(f"{self.path}/centres").join(parts, "cell")
 
     def is_empty(self) -> bool:
-        return "centre" not in self.vectors().columns and self.vectors().isEmpty()
+        return self.vectors().isEmpty()
 
     def read(self, asked: DataFrame, k: int, limit: str | None = None) -> DataFrame:
         """query_id, key, score, rank of the k nearest among the cells that are asked. asked: query_id, query, cell. Cells
