@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import ship, staged, unstage
+from tesserae.llm.common import in_shuffle, ship, staged, unstage
 from tesserae.llm.graph import components
 
 ship(__name__)
@@ -171,7 +171,7 @@ def descended(lists: DataFrame, nodes: DataFrame, width: int, more: DataFrame |
     named = lists.withColumn("rank", F.row_number().over(W.partitionBy("v").orderBy(F.desc("sim"), "u"))).where(F.col("rank") <= LIST)
     both = out.union(named.select(F.col("v").alias("at"), F.col("u").alias("node"), "new")).groupBy("at", "node").agg(F.max("new").alias("new"))
     limits = lists.groupBy("u").agg(F.first("least").alias("least")).withColumnRenamed("u", "node")
-    meeting = both.join(nodes.select("node", "vec").join(limits, "node"), "node").select("at", "node", "new", "least", "vec")
+    meeting = both.join(nodes.select("node", "vec").join(in_shuffle(limits), "node"), "node").select("at", "node", "new", "least", "vec")
     fresh = meeting.repartition("at").sortWithinPartitions("at", "node").mapInArrow(met(width), "u long, v long, sim double")
     old = lists.select("u", "v", "sim", F.lit(False).alias("new")).union(lists.select("v", "u", "sim", F.lit(True)))
     known = old.union(fresh.withColumn("new", F.lit(True)))
@@ -357,7 +357,7 @@ def near_dedup(vectors: DataFrame, vector: str = "embedding", key: str = "vec_id
     rows = staged(frame.mapInArrow(described, f"_key {kinds['_key']}, _vec {kinds['_vec']}, rid long, h1 long, h2 long"), "vectors")
     known = rows.where("h1 IS NOT NULL").groupBy("h1", "h2").agg(F.min("rid").alias("node"), F.count("*").alias("copies"))
     member = staged(rows.select("_key", "rid", "h1", "h2").join(known, ["h1", "h2"], "left").drop("h1", "h2"), "members")
-    nodes = staged(rows.select("rid", F.col("_vec").alias("vec")).join(member.where("rid = node").select("rid", "node", "copies"), "rid").drop("rid"), "nodes")
+    nodes = staged(rows.select("rid", F.col("_vec").alias("vec")).join(in_shuffle(member.where("rid = node").select("rid", "node", "copies")), "rid").drop("rid"), "nodes")
     width = nodes.agg(F.coalesce(F.max(F.size("vec")), F.lit(1))).first()[0]
 
     lists = staged(best(ordered(nodes, width, ORDERS, SEED)), "lists")
@@ -367,7 +367,7 @@ def near_dedup(vectors: DataFrame, vector: str = "embedding", key: str = "vec_id
             pairs = lists.where(F.col("sim") >= THRESHOLD).select("u", "v")
 
             def with_vectors(labels: DataFrame) -> DataFrame:
-                return staged(nodes.select("node", "vec").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
+                return staged(nodes.select("node", "vec").join(in_shuffle(labels), "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
 
             labels = components(pairs, "u", "v")
             labelled = with_vectors(labels)
@@ -386,18 +386,18 @@ def near_dedup(vectors: DataFrame, vector: str = "embedding", key: str = "vec_id
         lists, old = staged(descended(lists, nodes, width, more), "lists"), lists
         unstage(old)
 
-    inside = nodes.join(labels, "node")
+    inside = nodes.join(in_shuffle(labels), "node")
     blocks = labels.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
     inside = inside.join(blocks, "label").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     dealt = inside.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = dealt.select("label", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "copies", "vec")
     dealt = dealt.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j", "node")
     counts = dealt.mapInArrow(link_counts(width), "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
-    known = staged(labels.join(counts, "node", "left"), "components")
+    known = staged(labels.join(in_shuffle(counts), "node", "left"), "components")
 
-    out = member.join(known, "node", "left").withColumn("class", F.coalesce("label", "node"))
+    out = member.join(in_shuffle(known), "node", "left").withColumn("class", F.coalesce("label", "node"))
     least = out.where("class IS NOT NULL").groupBy(F.col("class").alias("c")).agg(F.min("_key").alias("least"))
-    out = out.join(least, out["class"] == least["c"], "left").withColumn("component_id", F.coalesce("least", "_key"))
+    out = out.join(in_shuffle(least), out["class"] == least["c"], "left").withColumn("component_id", F.coalesce("least", "_key"))
     links = F.coalesce("links", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))
     kept = F.coalesce(F.col("_key") == F.col("component_id"), F.col("component_id").isNull())
     return out.select(F.col("_key").alias(key), links.cast("long").alias("n_links"), "component_id", kept.alias("kept"))

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import id_key, ship, sieve, staged, unstage
+from tesserae.llm.common import id_key, in_shuffle, ship, sieve, staged, unstage
 from tesserae.llm.graph import components
 
 ship(__name__)
@@ -371,9 +371,9 @@ def candidates(sets: DataFrame, percent: int) -> DataFrame:
     own = shared.select("gram", F.explode("l").alias("x")).select("x.node", "x.n", "gram").union(led.select("node", "n", "gram"))
     own = sieve(own, members, ["node"]).where("_maybe").select("node", "n", F.hash("gram").alias("gram"))
     own = staged(own.groupBy("node").agg(F.first("n").alias("n"), F.collect_list("gram").alias("grams")), "own")
-    weighed = members.join(own.select("node", "n", F.size("grams").alias("m")), "node").groupBy("g1", "g2").agg(F.collect_list(F.struct("node", "n", "m")).alias("l"))
+    weighed = members.join(in_shuffle(own.select("node", "n", F.size("grams").alias("m"))), "node").groupBy("g1", "g2").agg(F.collect_list(F.struct("node", "n", "m")).alias("l"))
     left = weighed.select("g1", "g2", F.explode(with_partner(by_shared(percent))).alias("x")).select("g1", "g2", "x.node")
-    near = left.join(own, "node").repartition("g1", "g2").sortWithinPartitions("g1", "g2", "node").mapInArrow(by_group(["g1", "g2"], OfPrefixes(percent), size="n"), "a long, b long")
+    near = left.join(in_shuffle(own), "node").repartition("g1", "g2").sortWithinPartitions("g1", "g2", "node").mapInArrow(by_group(["g1", "g2"], OfPrefixes(percent), size="n"), "a long, b long")
     # An n-gram of many nodes, of one class, leads from each to the least of them.
     leads = led.select("node", "least").union(classes.where("alone >= 0").select("alone", "least")).where("node <> least")
     found = staged(near.union(leads).distinct(), "candidates")
@@ -401,16 +401,16 @@ def jaccard_links(rows: DataFrame, n: int, percent: int) -> tuple[DataFrame, Dat
     first = owned.where("rid = node")
     near = candidates(first.select("node", "n", "rare", "prefix"), percent)
     family = components(near).select("node", F.col("label").alias("family"))
-    family = staged(family.join(family.groupBy("family").agg(F.count("*").alias("members")), "family"), "families")
+    family = staged(family.join(in_shuffle(family.groupBy("family").agg(F.count("*").alias("members"))), "family"), "families")
     unstage(near)
 
     # The texts of families. Both sides grow with the corpus, so neither is broadcast even where it is still small enough;
     # the sieve keeps texts of no family out of the shuffle. Rows that are alike in id and text are one.
-    wanted = staged(first.join(family, "node").select(id_key(F.col("_key")).alias("_id"), "_mark", "node", "family", "members", "h1", "h2"), "wanted")
+    wanted = staged(first.join(in_shuffle(family), "node").select(id_key(F.col("_key")).alias("_id"), "_mark", "node", "family", "members", "h1", "h2"), "wanted")
     bare = sieve(rows.select(id_key(F.col("_key")).alias("_id"), "_mark", "_text"), wanted, ["_id", "_mark"]).where("_maybe").drop("_maybe")
     alike = W.partitionBy("_id", "_mark").orderBy("_id")
     bare = bare.withColumn("_nth", F.row_number().over(alike)).where("_nth = 1").drop("_nth")
-    texts = staged(bare.join(wanted.hint("merge"), ["_id", "_mark"]).drop("_id", "_mark"), "texts")
+    texts = staged(bare.join(in_shuffle(wanted), ["_id", "_mark"]).drop("_id", "_mark"), "texts")
     exact, pair, made = Exact(percent), "a long, b long", full_sets(n)
     fits = texts.where(F.col("members") <= BLOCK).repartition("family").sortWithinPartitions("family", "node")
     links = staged(fits.mapInArrow(chained(made, by_group(["family"], exact)), pair), "links")
@@ -424,7 +424,7 @@ def jaccard_links(rows: DataFrame, n: int, percent: int) -> tuple[DataFrame, Dat
         star = full.join(hubs, "family").select("node", "grams", "hubs").mapInArrow(against_hubs(percent), pair)
         links = staged(links.union(star), "links")
         so_far = components(links)
-        labelled = family.join(so_far, "node", "left").select("family", "node", F.coalesce("label", "node").alias("label"))
+        labelled = family.join(in_shuffle(so_far), "node", "left").select("family", "node", F.coalesce("label", "node").alias("label"))
         # A family that is one component needs no more. In others, all but the largest component meet everything.
         sizes = labelled.groupBy("family", "label").agg(F.count("*").alias("c"))
         main = sizes.groupBy("family").agg(F.max(F.struct("c", "label"))["label"].alias("main"), F.count("*").alias("parts"), F.sum("c").alias("all"), (F.sum("c") - F.max("c")).alias("rest"))
@@ -436,7 +436,7 @@ def jaccard_links(rows: DataFrame, n: int, percent: int) -> tuple[DataFrame, Dat
         block = F.when(F.col("outer"), F.col("own")).otherwise(F.col("own") + F.col("outer_blocks"))
         dealt = rest.withColumn("block", block).withColumn("other", F.explode(others))
         dealt = dealt.select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "label")
-        dealt = dealt.join(full.select("node", "grams"), "node").repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "node")
+        dealt = dealt.join(in_shuffle(full.select("node", "grams")), "node").repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "node")
         links = staged(links.union(dealt.mapInArrow(by_group(["family", "i", "j"], exact, "label", "block"), pair)), "links")
         unstage(full, rest)
     unstage(texts)
@@ -448,10 +448,10 @@ def jaccard_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", n:
     component, by the least id. Linked: 100 * intersection >= percent * union."""
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.xxhash64(text).alias("_mark"))
     owned, links = jaccard_links(rows, n, percent)
-    labelled = owned.join(components(links), "node", "left").withColumn("class", F.coalesce("label", "node"))
+    labelled = owned.join(in_shuffle(components(links)), "node", "left").withColumn("class", F.coalesce("label", "node"))
     # Written before it is joined, so that a class of very many rows can be split there.
     least = staged(labelled.where("class IS NOT NULL").groupBy(F.col("class").alias("c")).agg(F.min(F.struct(F.col("_key").isNull().alias("x"), "_key", "rid")).alias("l")), "classes")
-    out = labelled.join(least, labelled["class"] == least["c"], "left")
+    out = labelled.join(in_shuffle(least), labelled["class"] == least["c"], "left")
     component = F.when(F.col("class").isNull(), F.col("_key")).otherwise(F.col("l._key"))
     head = F.col("class").isNull() | (F.col("rid") == F.col("l.rid"))
     return out.select(F.col("_key").alias(key), F.col("_mark").alias("mark"), F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"), head.alias("head"))

@@ -11,7 +11,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from tesserae.llm import common, embedding, jaccard, licenses, line_dedup, lm, mixing, quality, queries, tokenizer, toxicity, url_filter
+from tesserae.llm import common, embedding, graph, jaccard, licenses, line_dedup, lm, mixing, quality, queries, tokenizer, toxicity, url_filter
 from tests.llm.test_llm import docs, prose, tokenizers, unlike
 
 SF = "/root/testdata/sf0.001"
@@ -331,6 +331,25 @@ def test_jaccard_of_large_groups_that_share_a_passage(spark, monkeypatch):
     assert collections.Counter(map(tuple, got.collect())) == components(rows)
 
 
+def test_components_and_jaccard_broadcast_no_table_of_nodes(spark, monkeypatch):
+    plans, plain = {}, graph.staged
+
+    def staged(df, name):
+        plans.setdefault(name, []).append(df._jdf.queryExecution().executedPlan().toString())
+        return plain(df, name)
+
+    monkeypatch.setattr(graph, "staged", staged)
+    monkeypatch.setattr(jaccard, "staged", staged)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(30) if i % 4], "a long, b long")
+    assert {(r.node, r.label) for r in graph.components(edges).collect()} == {(i, i - (i - 1) % 4) for i in range(1, 31)}
+    assert len(plans["labels"]) > 2 and not any("BroadcastHashJoin" in p for p in plans["labels"])
+    rows = [(i, " ".join(f"g{i % 20}w{j}" for j in range(60)) + f" x{i}", "s") for i in range(60)]
+    got = jaccard.jaccard_groups(docs(spark, rows))
+    assert {(r.doc_id, r.component_id) for r in got.collect()} == {(i, i % 20) for i in range(60)}
+    assert not any("BroadcastHashJoin" in p for p in plans["families"] + plans["wanted"])
+    assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 # 7 ------------------------------------------------------------------------------------------------------------------
 
 
