@@ -89,6 +89,22 @@ def test_profiles_grow_by_batches(spark, tmp_path):
         store.apply(records(spark, rows), "a/b")
 
 
+def test_batches_of_the_query_join_the_catalogue_once(spark, monkeypatch):
+    from tesserae.plans import queries
+
+    seen, plain = [], ProfileStore.apply
+
+    def apply(self, batch_records, batch, taken_back=False):
+        seen.append(plan(batch_records))
+        plain(self, batch_records, batch, taken_back)
+
+    monkeypatch.setattr(ProfileStore, "apply", apply)
+    sf = "/root/testdata/sf0.001"
+    got = {tuple(r) for r in queries.incremental_profile(spark, sf).collect()}
+    assert got == {tuple(r) for r in queries.entity_facet_profile(spark, sf).collect()}
+    assert len(seen) == 7 and not any("Join" in p for p in seen)
+
+
 def test_profiles_follow_streams(spark, tmp_path):
     rows = [(["m"], ["ocean"], "k"), (["m"], ["land", "ocean"], None), (["n"], ["none"], "l")]
     folder, store = f"{tmp_path}/in", ProfileStore(spark, f"{tmp_path}/p", TWO)
