@@ -45,20 +45,34 @@ def as_of(left: DataFrame, right: DataFrame, key: tuple[str, str], time: tuple[s
     return out.select("#row.*", *(F.col("#best")[f"c{i}"].alias(c) for i, c in enumerate(carry)))
 
 
+#: Levels of interval lengths, of a power of two each, that share one size of cells.
+BAND = 3
+
+
 def in_intervals(points: DataFrame, intervals: DataFrame, key: tuple[str, str], at: str, start: str, end: str) -> DataFrame:
     """The pairs of a point and an interval of its key with start <= at < end, with the columns of both: point, interval.
 
-    Each interval has a level, by its length: on a level whose cells are at least as long as the interval it touches two cells
-    at most. A point is in one cell of each level that there is; they join by key, level and cell. So no interval makes more
-    than two rows, however long it is, and no pair is made that lies further apart than two cells.
+    Each interval has a level, by its length, and levels are put into bands, from the longest interval down. A band's cells are
+    at least as long as its intervals, which touch two cells at most, and not longer than 2 ** BAND times any of them. A point
+    is in one cell of each band that there is; they join by key, band and cell. So no interval makes more than two rows,
+    however long it is, a point makes a row for each band and not for each level, and no pair is made that lies further apart
+    than two cells.
     """
     length = micros(F.col(end)) - micros(F.col(start))
     spans = intervals.where(F.col(key[1]).isNotNull() & (length > 0)).select(F.struct("*").alias("interval"), F.col(key[1]).alias("#k"), micros(F.col(start)).alias("#a"), micros(F.col(end)).alias("#b"))
-    # The cells of level n are 2 ** n microseconds long.
-    spans = spans.withColumn("#level", F.floor(F.log2(F.col("#b") - F.col("#a"))).cast("int") + 1)
-    cell = lambda t: F.floor(t / F.pow(F.lit(2.0), F.col("#level"))).cast("long")
-    dealt = spans.withColumn("#cell", F.explode(F.array_distinct(F.array(cell(F.col("#a")), cell(F.col("#b") - 1)))))
-    levels = F.lit(sorted(r[0] for r in spans.select("#level").distinct().collect())).cast("array<int>")
+    # Intervals of level n are shorter than 2 ** n microseconds.
+    level = F.floor(F.log2(F.col("#b") - F.col("#a"))).cast("int") + 1
+    known = sorted((r[0] for r in spans.select(level).distinct().collect()), reverse=True)
+    bands: list[int] = []
+    for n in known:
+        if not bands or n <= bands[-1] - BAND:
+            bands.append(n)
+    # The cells of band n are 2 ** n microseconds long; an interval is in the least band that isn't below its level.
+    band = F.coalesce(*(F.when(level <= n, F.lit(n)) for n in reversed(bands)), F.lit(None).cast("int"))
+    cell = lambda t: F.floor(t / F.pow(F.lit(2.0), F.col("#band"))).cast("long")
+    spans = spans.withColumn("#band", band)
+    dealt = spans.withColumn("#cell", F.explode(F.array_distinct(F.array(cell(F.col("#a")), cell(F.col("#b") - 1))))).select("interval", "#k", "#band", "#cell")
     here = points.where(F.col(key[0]).isNotNull() & F.col(at).isNotNull()).select(F.struct("*").alias("point"), F.col(key[0]).alias("#k"), micros(F.col(at)).alias("#t"))
-    here = here.withColumn("#level", F.explode(levels)).withColumn("#cell", cell(F.col("#t")))
-    return here.join(dealt, ["#k", "#level", "#cell"]).where((F.col("#a") <= F.col("#t")) & (F.col("#t") < F.col("#b"))).select("point", "interval")
+    here = here.withColumn("#band", F.explode(F.lit(bands).cast("array<int>"))).select("point", "#k", "#band", cell(F.col("#t")).alias("#cell"))
+    t, a, b = micros(F.col("point")[at]), micros(F.col("interval")[start]), micros(F.col("interval")[end])
+    return here.join(dealt, ["#k", "#band", "#cell"]).where((a <= t) & (t < b)).select("point", "interval")

@@ -2,6 +2,7 @@
 
 import collections
 import random
+import re
 from datetime import datetime, timedelta
 
 import pytest
@@ -58,6 +59,14 @@ def test_intervals_against_brute_force(spark):
     assert times.in_intervals(a, b.limit(0), ("k", "k"), "t", "a", "b").count() == 0
 
 
+def test_points_make_a_row_for_each_band_of_lengths(spark):
+    a = spark.createDataFrame([(1, START + timedelta(hours=i)) for i in range(200)], "k long, t timestamp_ntz")
+    b = spark.createDataFrame([(1, START + timedelta(hours=i), START + timedelta(hours=i, days=1 + i % 50)) for i in range(200)], "k long, a timestamp_ntz, b timestamp_ntz")
+    found = times.in_intervals(a, b, ("k", "k"), "t", "a", "b")
+    bands = re.search(r"explode\(\[([\d,]+)\]", plan(found))[1].split(",")
+    assert len(bands) == 2 and found.count() == sum(i <= j < i + 24 * (1 + i % 50) for i in range(200) for j in range(200))
+
+
 def records(spark, rows):
     return spark.createDataFrame(rows, DDL)
 
