@@ -7,10 +7,9 @@ components. A link between two nodes whose enlarged lists are full may be in nei
 components are compared exactly, but for those that the distance from another component's representative rules out.
 
 An audit holds the components against brute force for a sample of nodes against all rows. The sample grows until it holds
-enough nodes with few links, and recall is a mean over nodes, of those with few links and of the others, so that a large
-group doesn't speak for isolated pairs; a sample without links proves nothing, unless it is the whole table. Where recall is
-too low, or the sample can't tell, or any link of the sample is missing in a small table, small tables are searched exactly
-at once; larger ones get further rounds with more and more orders, and are searched exactly if these don't reach it either.
+enough nodes with few links, so that a large group doesn't speak for isolated pairs; a sample without links proves nothing,
+unless it is the whole table. Where a link of the sample is missing, tables of any size get further rounds with more and more
+orders, and are searched exactly if these don't reach it either, or if the sample can't tell, which no round would change.
 So no result is returned that an audit has not passed or an exact search made. Then the members of a component are compared in blocks, which gives every vector's number of links in double precision, and
 lists no pairs.
 
@@ -40,10 +39,10 @@ ship(__name__)
 THRESHOLD = 0.9
 #: Neighbours in a list, and in one whose entries all reach the threshold; orders by projections, next ones in an order.
 LIST, ENLARGED, ORDERS, NEXT = 8, 24, 4, 4
-#: Least and most rounds; nodes of the audit, and the recall that ends the rounds.
-FEWEST, MOST, AUDIT, RECALL = 2, 10, 256, 0.99
-#: Most numbers of vectors that are held against all rows at once. Up to so many nodes an exact search costs less than rounds.
-HELD, SMALL = 1 << 20, 1 << 17
+#: Least and most rounds; nodes of the audit, and the recall that ends the rounds, for tables of any size.
+FEWEST, MOST, AUDIT, RECALL = 2, 10, 256, 1.0
+#: Most numbers of vectors that are held against all rows at once. A node of fewer links than SMALL has few.
+HELD, SMALL = 1 << 20, 8
 #: Rows and columns that are compared at once; what is added to single precision's error, and to angles.
 TILE, MARGIN = 2048, 1e-3
 BLOCK, BITS, SEED = 1024, 24, 11
@@ -308,18 +307,17 @@ class Audit:
         true = got["true"].to_numpy()
         return true, got["found"].to_numpy() / np.maximum(true, 1)
 
-    def passed(self, labelled: DataFrame) -> bool:
-        """Whether recall is reached by nodes with few links, and by those with many; False if the sample can't tell."""
+    def passed(self, labelled: DataFrame) -> bool | None:
+        """Whether recall is reached by nodes with few links, and by those with many; None if the sample can't tell."""
         while True:
             true, share = self.shares(labelled)
-            few = true < LIST
+            few = true < SMALL
             if few.sum() >= AUDIT or self.size >= self.n_nodes or self.size * self.width >= HELD:
                 break
             self.size = min(4 * self.size, max(HELD // self.width, AUDIT))
         if few.sum() < AUDIT and self.size < self.n_nodes:
-            return False
-        target = RECALL if self.n_nodes > SMALL else 1.0
-        return all(share[c].mean() >= target for c in (few, ~few) if c.any())
+            return None
+        return all(share[c].mean() >= RECALL for c in (few, ~few) if c.any())
 
 
 def link_counts(width: int):
@@ -376,9 +374,10 @@ def near_dedup(vectors: DataFrame, vector: str = "embedding", key: str = "vec_id
                 pairs = pairs.union(further)
                 labels = components(pairs, "u", "v")
                 labelled = with_vectors(labels)
-            if audit.passed(labelled):
+            passed = audit.passed(labelled)
+            if passed:
                 break
-            if done == MOST or audit.n_nodes <= SMALL:
+            if done == MOST or passed is None:
                 labels = components(pairs.union(joined_exactly(labelled, width)), "u", "v")
                 break
             orders *= 2

@@ -404,6 +404,21 @@ def test_embeddings_where_the_audit_never_passes(spark, monkeypatch):
     assert got == {i: (1, i - i % 2) for i in range(600)}
 
 
+def test_embeddings_of_small_tables_get_rounds_too(spark, monkeypatch):
+    monkeypatch.setattr(embedding, "ORDERS", 1)
+    said, compared, passed, joined = [], [], embedding.Audit.passed, embedding.joined_exactly
+    monkeypatch.setattr(embedding.Audit, "passed", lambda self, labelled: said.append(passed(self, labelled)) or said[-1])
+    monkeypatch.setattr(embedding, "joined_exactly", lambda rows, width: compared.append(rows.count()) or joined(rows, width))
+    draw = np.random.default_rng(12)
+    vecs = []
+    for x in draw.standard_normal((300, 64)):
+        vecs += [x, unlike(draw, x, 0.93)]
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vecs)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding.near_dedup(frame).collect()}
+    assert got == {i: (1, i - i % 2) for i in range(600)}
+    assert said[0] is False and said[-1] is True and not any(compared)
+
+
 # SQL ----------------------------------------------------------------------------------------------------------------
 
 
